@@ -28,14 +28,17 @@ def hot_keys(df: DataFrame, keys, rows_per_task: int = ROWS_PER_TASK) -> DataFra
             .select(*keys, parts.alias("_parts")))
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys, spread=None,
+def salted_join(many: DataFrame, few: DataFrame, keys, spread=None, many_rows: int | None = None,
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Inner equi-join; hot keys of `many` are cut into parts and `few` is copied to each part.
 
     `spread` names columns that tell rows of `many` apart; without them row numbers are used, so
-    that exact copies are spread too.
+    that exact copies are spread too. `many_rows` is the length of `many` where it is known: a table
+    shorter than one task's share has no hot keys.
     """
     keys = list(keys)
+    if many_rows is not None and many_rows <= rows_per_task:
+        return many.join(few, keys)
     hot = F.broadcast(hot_keys(many, keys, rows_per_task))
     part = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
     left = (many.withColumn("_spread", part).join(hot, keys, "left")

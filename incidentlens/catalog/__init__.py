@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning  # noqa: F401
+from . import cleaning, statistics  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

@@ -162,10 +162,11 @@ VIEWS = {
 NEEDS = {"typed": ["raw"], "inc": ["raw", "typed"]}
 
 
-def sql(views: str, body: str, recursive: bool = False) -> str:
+def sql(views: str, body: str) -> str:
     """Check query: the named fixture views as CTEs in front of the body.
 
-    A body that brings its own CTEs starts with a comma-free `name AS (...)` list and ends in SELECT.
+    A body that brings its own CTEs starts with "@". The hotspot views close over core spots, so they
+    are recursive.
     """
     names = []
     for v in views.split():
@@ -173,5 +174,81 @@ def sql(views: str, body: str, recursive: bool = False) -> str:
     parts = ",".join(VIEWS[n] for n in names)
     joiner = ",\n" if body.lstrip().startswith("@") else "\n"
     body = body.lstrip().removeprefix("@")
-    head = "WITH RECURSIVE" if recursive else "WITH"
+    head = "WITH RECURSIVE" if {"hot", "quad"} & set(names) else "WITH"
     return f"{head} {parts}{joiner}{body}"
+
+
+# --- hotspots in SQL: spots, neighbours, core flags, closure over core spots, numbering -------
+
+def _closure(near: str) -> str:
+    """CTEs from spots(id, w, x, y, ...) and a neighbour condition to numbered clusters."""
+    return f"""
+near AS (SELECT a.id AS a, b.id AS b, b.w AS w FROM spots a JOIN spots b ON {near}),
+core AS (SELECT a AS id, sum(w) AS total FROM near GROUP BY a),
+edge AS (SELECT a, b FROM near JOIN core c1 ON c1.id = a JOIN core c2 ON c2.id = b
+         WHERE c1.total >= min_points() AND c2.total >= min_points()),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+"""
+
+
+def _labels(order: str) -> str:
+    return f"""
+numbered AS (SELECT root, dense_rank() OVER (ORDER BY {order}) - 1 AS cluster
+             FROM (SELECT DISTINCT root FROM root) JOIN spots ON id = root),
+lab AS (SELECT s.id, coalesce(n.cluster,
+          (SELECT min(m.cluster) FROM near JOIN root r ON r.id = near.b JOIN numbered m
+             ON m.root = r.root WHERE near.a = s.id), -1) AS cluster,
+          n.cluster IS NOT NULL AS core
+        FROM spots s LEFT JOIN root r ON r.id = s.id LEFT JOIN numbered n ON n.root = r.root)"""
+
+
+_HOT_DISTANCE = haversine("a.y", "a.x", "b.y", "b.x", rules.HOTSPOT_EARTH_KM)
+
+VIEWS["hot"] = f"""
+spots AS (SELECT min(CAST(incident_id AS BIGINT)) AS id, latitude AS y, longitude AS x,
+            count(*) AS w FROM inc GROUP BY latitude, longitude),
+{_closure(f"abs(a.y - b.y) <= 0.0046 AND abs(a.x - b.x) <= 0.0062 AND {_HOT_DISTANCE} <= 0.5")
+ .replace("min_points()", "10")}{_labels("root").lstrip()},
+hot AS (SELECT inc.*, lab.cluster, lab.core FROM inc
+        JOIN spots ON latitude = y AND longitude = x JOIN lab ON lab.id = spots.id)"""
+
+VIEWS["quad"] = f"""
+q AS (SELECT *, (CASE WHEN latitude >= (40.4::DOUBLE + 41.0::DOUBLE) / 2 THEN 'N' ELSE 'S' END) ||
+        (CASE WHEN longitude >= (-74.3::DOUBLE + -73.7::DOUBLE) / 2 THEN 'E' ELSE 'W' END)
+        AS quadrant FROM inc),
+mom AS (SELECT quadrant, avg(latitude) AS ma, avg(longitude) AS mo, stddev_pop(latitude) AS sa,
+          stddev_pop(longitude) AS so FROM q GROUP BY quadrant HAVING count(*) >= 50),
+spots AS (SELECT quadrant, min(CAST(incident_id AS BIGINT)) AS id, latitude, longitude,
+            any_value((latitude - ma) / sa) AS y, any_value((longitude - mo) / so) AS x,
+            count(*) AS w FROM q JOIN mom USING (quadrant) GROUP BY quadrant, latitude, longitude),
+{_closure("a.quadrant = b.quadrant AND abs(a.y - b.y) <= 0.01 AND "
+          "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01")
+ .replace("min_points()", "5")}{_labels("quadrant, root").lstrip()},
+quad AS (SELECT inc.*, spots.quadrant, lab.cluster, lab.core FROM inc
+         JOIN spots ON inc.latitude = spots.latitude AND inc.longitude = spots.longitude
+         JOIN lab ON lab.id = spots.id)"""
+
+VIEWS["zon"] = """
+zon AS (SELECT *, CAST(floor(latitude / 0.1::DOUBLE) AS BIGINT) || '_' ||
+          CAST(floor(longitude / 0.1::DOUBLE) AS BIGINT) AS zone FROM inc)"""
+
+NEEDS.update({"hot": ["raw", "typed", "inc"], "quad": ["raw", "typed", "inc"],
+              "zon": ["raw", "typed", "inc"]})
+
+
+def counts_json(value: str, count: str) -> str:
+    """Aggregate: counts as one JSON object in value order."""
+    return f"""'{{' || string_agg('"' || {value} || '":' || {count}, ',' ORDER BY {value}) || '}}'"""
+
+
+def list_text(value: str, count: str) -> str:
+    """Aggregate: "value=count" items, largest first, then by value."""
+    return f"string_agg({value} || '=' || {count}, '; ' ORDER BY {count} DESC, {value})"
+
+
+def modal(table: str, keys: str, column: str) -> str:
+    """Commonest value per key, smallest on ties."""
+    return (f"(SELECT {keys}, {column} FROM (SELECT {keys}, {column}, row_number() OVER "
+            f"(PARTITION BY {keys} ORDER BY count(*) DESC, {column}) AS r FROM {table} "
+            f"WHERE {column} IS NOT NULL GROUP BY {keys}, {column}) WHERE r = 1)")

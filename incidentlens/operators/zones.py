@@ -19,6 +19,7 @@ from ..functions import rules
 from ..session import stored
 from . import stats
 from .distance_join import nearest_centre
+from .skew import is_small
 
 COORDINATES = ("latitude", "longitude")
 COORDINATE_FACTOR = 0.7
@@ -255,3 +256,26 @@ def locate(model: PipelineModel, locations: DataFrame, table: DataFrame) -> Data
 def fitted(model: PipelineModel, incidents: DataFrame) -> DataFrame:
     """Incidents with their zone, written once for the profiles that follow."""
     return stored(assign(model, incidents))
+
+
+def assign_to_centres(df: DataFrame, centres: DataFrame, scale: dict, zone: str = "zone",
+                      out: str = "zone") -> DataFrame:
+    """Zone by the nearest given centre in standardised space (lowest zone on ties).
+
+    `scale` is {"latitude": (mean, deviation), ...}; centres are in degrees, a few dozen at most
+    (checked), and travel as one array.
+    """
+    if not is_small(centres, MAX_LABELS):
+        raise ValueError(f"more than {MAX_LABELS} centres")
+    listed = centres.select(F.sort_array(F.collect_list(
+        F.struct(zone, "center_lat", "center_lon")))).scalar()
+    spread = {c: F.lit(s) for c, (_, s) in scale.items()}
+
+    def squared(c):
+        dy = (F.col("latitude") - c["center_lat"]) / spread["latitude"]
+        dx = (F.col("longitude") - c["center_lon"]) / spread["longitude"]
+        return F.struct((dx * dx + dy * dy).alias("d"), c[zone].alias("zone"))
+
+    return (df.withColumn("_centres", listed)
+            .withColumn(out, F.array_min(F.transform("_centres", squared))["zone"])
+            .drop("_centres"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, geography, statistics  # noqa: F401
+from . import cleaning, geography, models, statistics  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules
 from ..functions import text as T
+from ..functions.geo import haversine_km
 from . import stats
 from .distance_join import counts_within, within_box, within_distance
+from .skew import salted_join
 
 
 def gazetteer_index(gazetteer: DataFrame) -> DataFrame:
@@ -50,10 +52,14 @@ def coordinates_of(texts: DataFrame, gazetteer: DataFrame, text: str = "message"
 
 def places_near(incidents: DataFrame, places: DataFrame, km: float,
                 key: str = "incident_id") -> DataFrame:
-    """(incident, place) pairs with the distance in metres to one decimal, both positions kept."""
+    """(incident, place) pairs with the distance in metres to one decimal, both positions kept.
+
+    Places are the shorter table, so they are the side that is copied to cells.
+    """
     where = incidents.select(key, F.col("latitude").alias("crime_lat"),
                              F.col("longitude").alias("crime_lon"))
-    return within_distance(where, places, km, "crime_lat", "crime_lon").withColumn(
+    return within_distance(places, where, km, "latitude", "longitude", "crime_lat",
+                           "crime_lon").withColumn(
         "distance_meters", C.round_half_up(F.col("distance") * 1000, 1)).drop("distance")
 
 
@@ -69,24 +75,26 @@ def nearest_places_per_type(incidents: DataFrame, places: DataFrame,
 def places_with_fallback(incidents: DataFrame, places: DataFrame, km: float,
                          box_degrees: float = rules.FALLBACK_BOX_DEG,
                          key: str = "incident_id") -> DataFrame:
-    """Places within `km`; incidents without any get those in a small box around them."""
-    near = places_near(incidents, places, km, key).select(
-        key, "name", "type", "distance_meters").withColumn("method", F.lit("radius"))
-    # Counted by coordinate, so deciding who needs the box does not list all pairs again.
-    served = counts_within(incidents, places, km, key=key, lat="latitude", lon="longitude")
-    rest = incidents.join(served, key, "left_anti").select(
-        key, F.col("latitude").alias("crime_lat"), F.col("longitude").alias("crime_lon"))
-    distance = C.round_half_up(_km("crime_lat", "crime_lon") * 1000, 1)
-    boxed = within_box(rest, places, box_degrees, "crime_lat", "crime_lon").select(
-        key, "name", "type", distance.alias("distance_meters")).withColumn(
-        "method", F.lit("box"))
-    return near.unionByName(boxed)
-
-
-def _km(lat: str, lon: str):
-    from ..functions.geo import haversine_km
-
-    return haversine_km(F.col(lat), F.col(lon), F.col("latitude"), F.col("longitude"))
+    """Places within `km`; incidents without any get those in a small box around them.
+
+    Both searches run on distinct incident coordinates and are then given to the incidents there.
+    """
+    spots = incidents.select("latitude", "longitude").distinct().select(
+        F.concat_ws(",", "latitude", "longitude").alias("spot"), "latitude", "longitude")
+    near = places_near(spots, places, km, "spot").withColumn("method", F.lit("radius"))
+    rest = spots.join(near.select("spot").distinct(), "spot", "left_anti").select(
+        "spot", F.col("latitude").alias("crime_lat"), F.col("longitude").alias("crime_lon"))
+    metres = haversine_km(F.col("crime_lat"), F.col("crime_lon"), F.col("latitude"),
+                          F.col("longitude")) * 1000
+    boxed = within_box(places, rest, box_degrees, "latitude", "longitude", "crime_lat",
+                       "crime_lon").withColumns({
+        "distance_meters": C.round_half_up(metres, 1), "method": F.lit("box")})
+    names = ["crime_lat", "crime_lon", "name", "type", "distance_meters", "method"]
+    found = near.select(*names).unionByName(boxed.select(*names))
+    where = incidents.select(key, F.col("latitude").alias("crime_lat"),
+                             F.col("longitude").alias("crime_lon"))
+    return salted_join(where, found, ["crime_lat", "crime_lon"], [key]).select(
+        key, "name", "type", "distance_meters", "method")
 
 
 def amenities_of_top_hotspots(hotspots: DataFrame, amenities: DataFrame, top: int = 10,

@@ -284,12 +284,12 @@ _L_KM = haversine("loc.lat", "loc.lon", "y", "x")
 
 
 @query("m15_density_at_locations", sql("inc loc", f"""@{_GRID},
-at AS (SELECT loc_id, {_kernel(_L_KM, 1.11)} * (SELECT sum(density) / sum(kernel) FROM dens)
+here AS (SELECT loc_id, {_kernel(_L_KM, 1.11)} * (SELECT sum(density) / sum(kernel) FROM dens)
   AS density FROM loc JOIN s ON true GROUP BY 1)
-SELECT loc_id, round(at.density, 6) AS density, CASE WHEN at.density <= low_max THEN 'Low'
-  WHEN at.density <= medium_max THEN 'Medium' ELSE 'High' END AS classification,
-  round(count(*) FILTER (dens.density < at.density) * 100::DOUBLE / count(*), 6)
-  AS density_percentile FROM at JOIN dens ON true JOIN lim ON true GROUP BY ALL"""))
+SELECT loc_id, round(here.density, 6) AS density, CASE WHEN here.density <= low_max THEN 'Low'
+  WHEN here.density <= medium_max THEN 'Medium' ELSE 'High' END AS classification,
+  round(count(*) FILTER (dens.density < here.density) * 100::DOUBLE / count(*), 6)
+  AS density_percentile FROM here JOIN dens ON true JOIN lim ON true GROUP BY ALL"""))
 def m15(spark, d):
     found = D.density_at(fx.locations(spark, d).select("loc_id", "lat", "lon"),
                          fx.incidents(spark, d), density(spark, d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cards, cleaning, geography, models, statistics  # noqa: F401
+from . import cards, cleaning, geography, models, risk, statistics  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+from ..session import prepare
+
 QUERIES = {}
 CHECKS = {}
 
@@ -10,7 +14,12 @@ def query(name: str, check: str | None = None):
     def add(function):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = function
+
+        @functools.wraps(function)
+        def prepared(spark, folder):
+            return function(prepare(spark), folder)
+
+        QUERIES[name] = prepared
         if check is not None:
             CHECKS[name] = check
         return function

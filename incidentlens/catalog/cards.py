@@ -11,6 +11,7 @@ from ..operators import density as D
 from ..operators import distance_join as J
 from ..operators import hotspots as H
 from ..operators import layers, places, scoring, zones
+from ..operators.risk import category_sums
 from ..plans import safety_card as card
 from ..plans.safety_card import Models
 from ..session import stored
@@ -98,7 +99,7 @@ SELECT loc_id, demographic_group, round(base, 6) AS base_score, CASE WHEN
 def r2(spark, d):
     where = based(spark, d).select("loc_id", "lat", "lon", "demographic_group", "base_score")
     counts = J.counts_within(where, fx.incidents(spark, d), rules.INCIDENT_RADIUS_KM,
-                             ["crime_category"])
+                             sums=category_sums()).drop("n")
     return scoring.adjust_scores(where, counts).select(
         "loc_id", "demographic_group", F.round("base_score", 6).alias("base_score"),
         F.when(F.col("adjusted_score") == F.col("base_score"), F.round("base_score", 6))

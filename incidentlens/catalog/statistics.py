@@ -142,8 +142,8 @@ LEFT JOIN {modal('p', 'loc_id', 'vic_age_group')} USING (loc_id)
 LEFT JOIN {modal('p', 'loc_id', 'vic_race')} USING (loc_id)
 LEFT JOIN {modal('p', 'loc_id', 'vic_sex')} USING (loc_id)"""))
 def a6(spark, d):
-    facets = card.nearby_facets(fx.locations(spark, d), fx.incidents(spark, d))
-    return card.summarise(facets).select("loc_id", *rules.DEMOGRAPHIC_COLUMNS)
+    return card.nearby_values(fx.locations(spark, d), fx.incidents(spark, d)).select(
+        "loc_id", *rules.DEMOGRAPHIC_COLUMNS)
 
 
 _BUCKETS = ", ".join(
@@ -156,9 +156,8 @@ t AS (SELECT loc_id, {_BUCKETS}, count(*) FILTER (occurred_at >= TIMESTAMP '{NOW
 
 @query("a7_time_of_day", sql("inc loc", _TIMES + " SELECT * FROM t"))
 def a7(spark, d):
-    facets = card.nearby_facets(fx.locations(spark, d), fx.incidents(spark, d), now=NOW)
-    return card.summarise(facets).select(
-        "loc_id", *[n for n, _, _ in rules.TIME_BUCKETS], "total_recent")
+    return card.nearby_times(fx.locations(spark, d), fx.incidents(spark, d), now=NOW).select(
+        "loc_id", *card.BUCKETS, "total_recent")
 
 
 @query("a8_peak_time", sql("inc loc", _TIMES + """
@@ -168,8 +167,8 @@ SELECT loc_id, CASE WHEN m = morning THEN 'morning' WHEN m = afternoon THEN 'aft
 FROM (SELECT *, greatest(morning, afternoon, evening, night) AS m,
         morning + afternoon + evening + night AS total FROM t) WHERE total > 0"""))
 def a8(spark, d):
-    facets = card.nearby_facets(fx.locations(spark, d), fx.incidents(spark, d))
-    return (card.time_analysis(card.summarise(facets)).filter("peak IS NOT NULL")
+    times = card.nearby_times(fx.locations(spark, d), fx.incidents(spark, d))
+    return (card.time_analysis(times).filter("peak IS NOT NULL")
             .select("loc_id", "peak.bucket", F.round("peak.percent", 6).alias("percent")))
 
 

@@ -73,24 +73,27 @@ def within_box(locations: DataFrame, points: DataFrame, degrees: float, lat="lat
         & F.col(point_lon).between(F.col(lon) - degrees, F.col(lon) + degrees))
 
 
-def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), weight=None,
+def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), sums=None,
                   key="loc_id", lat="lat", lon="lon", point_lat="latitude",
                   point_lon="longitude", cells_per_radius: int = 4) -> DataFrame:
-    """Number of points within `km` of each location, split by the `by` columns.
+    """Number of points within `km` of each location (`n`), split by the `by` columns.
 
-    Points are first counted per coordinate, and those counts per cell, so a crowded place costs one
-    row. A cell that lies wholly inside a circle contributes its count; only the cells on the rim
-    are resolved point by point. Locations at one coordinate are searched once.
+    `sums` is {name: column} to add up other figures in the same pass; one wide row is far cheaper
+    than one row per value, so short fixed value lists are better asked for as `sums` than as `by`.
+
+    Points are first added up per coordinate, and those sums per cell, so a crowded place costs one
+    row. A cell that lies wholly inside a circle contributes its sum; only the cells on the rim are
+    resolved point by point. Locations at one coordinate are searched once.
     Locations with nothing in reach are absent.
     """
-    by = list(by)
+    by, sums = list(by), {"n": F.lit(1), **(sums or {})}
+    again = [F.sum(name).alias(name) for name in sums]
     grid = geo.CellGrid(km / cells_per_radius)
-    amount = F.sum(weight) if weight else F.count("*")
     known = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull())
     spots = with_cell(
         known.groupBy(F.col(point_lat).alias("_plat"), F.col(point_lon).alias("_plon"), *by)
-        .agg(amount.alias("n")), grid, "_plat", "_plon")
-    cells = spots.groupBy(*CELL, *by).agg(F.sum("n").alias("n"))
+        .agg(*[F.sum(c).alias(name) for name, c in sums.items()]), grid, "_plat", "_plon")
+    cells = spots.groupBy(*CELL, *by).agg(*again)
 
     places = locations.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
     search = with_search_cells(places, grid, km, "_lat", "_lon")
@@ -101,12 +104,13 @@ def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), wei
         "_lat", "_lon", *CELL, near.alias("_near"),
         (far <= km * (1 - slack)).alias("_inside")).filter(F.col("_near") <= km * (1 + slack))
     distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
-    whole = search.filter("_inside").join(cells, CELL).select("_lat", "_lon", *by, "n")
+    out = ["_lat", "_lon", *by, *sums]
+    whole = search.filter("_inside").join(cells, CELL).select(*out)
     rim = (search.filter(~F.col("_inside")).join(spots, CELL).filter(distance <= km)
-           .select("_lat", "_lon", *by, "n"))
-    found = whole.unionByName(rim).groupBy("_lat", "_lon", *by).agg(F.sum("n").alias("n"))
+           .select(*out))
+    found = whole.unionByName(rim).groupBy("_lat", "_lon", *by).agg(*again)
     home = locations.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    return home.join(found, ["_lat", "_lon"]).select(key, *by, "n")
+    return home.join(found, ["_lat", "_lon"]).select(key, *by, *sums)
 
 
 def nearest(locations: DataFrame, points: DataFrame, order: str, lat="lat", lon="lon",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from . import stats
 from .distance_join import counts_within
 from .quantiles import percent_rank_by
 from .scoring import known_group, weight_tenths
@@ -87,12 +86,16 @@ def group_counts(incidents: DataFrame, keys) -> DataFrame:
         .groupBy(*keys, "demographic_group").agg(F.count("*").alias("count")))
 
 
+def category_sums() -> dict:
+    """One figure per category, for a counting join."""
+    return {c: (F.col("crime_category") == c).cast("long") for c in rules.CATEGORIES}
+
+
 def risk_vectors(locations: DataFrame, incidents: DataFrame, km: float = 1.0,
                  key: str = "loc_id") -> DataFrame:
     """One count per category and location, zeros filled."""
-    counts = counts_within(locations, incidents, km, ["crime_category"], key=key)
-    wide = counts.groupBy(key).pivot("crime_category", rules.CATEGORIES).agg(F.sum("n"))
-    return locations.join(wide, key, "left").na.fill(0, rules.CATEGORIES)
+    counts = counts_within(locations, incidents, km, sums=category_sums(), key=key).drop("n")
+    return locations.join(counts, key, "left").na.fill(0, rules.CATEGORIES)
 
 
 def exposure(group: Column, people: Column, venue: Column, hour: Column) -> Column:
@@ -138,11 +141,11 @@ def compare_places(risks: DataFrame, request: str, key: str = "loc_id") -> DataF
 def safe_times(locations: DataFrame, incidents: DataFrame, km: float = 1.0,
                key: str = "loc_id") -> DataFrame:
     """Incidents per time bucket around each location, and the quietest bucket (first on ties)."""
-    counts = counts_within(locations, stats.bucket_of_hour(incidents), km, ["time_bucket"],
-                           key=key)
     names = [n for n, _, _ in rules.TIME_BUCKETS]
-    wide = locations.select(key).join(
-        counts.groupBy(key).pivot("time_bucket", names).agg(F.sum("n")), key, "left").na.fill(0)
+    buckets = {n: F.col("hour_of_day").between(a, b).cast("long")
+               for n, a, b in rules.TIME_BUCKETS}
+    counts = counts_within(locations, incidents, km, sums=buckets, key=key).drop("n")
+    wide = locations.select(key).join(counts, key, "left").na.fill(0, names)
     best = F.array_min(F.array(*[
         F.struct(F.col(n).alias("n"), F.lit(i).alias("i"), F.lit(n).alias("bucket"))
         for i, n in enumerate(names)]))

@@ -37,18 +37,18 @@ def adjust_scores(locations: DataFrame, category_counts: DataFrame, base: str =
                   key: str = "loc_id", group: str = "demographic_group") -> DataFrame:
     """Base score less ten points per unit of extra mean weight, within 0 and 100.
 
-    Unchanged for the general group and where there are no incidents.
+    `category_counts` has one column per category. Scores are unchanged for the general group and
+    where there are no incidents.
     """
-    mine = locations.select(key, known_group(F.col(group)).alias("_group"))
-    tenths = weight_tenths(F.col("_group"), F.col("crime_category"))
-    sums = (category_counts.join(mine, key).groupBy(key).agg(
-        F.sum(F.col("n") * (tenths - 10)).alias("_extra"), F.sum("n").alias("_n")))
-    shift = F.when((F.col(group) != rules.DEFAULT_GROUP) & (F.col("_n") > 0),
-                   F.col("_extra") / F.col("_n"))
+    who = known_group(F.col(group))
+    count = {c: F.coalesce(c, F.lit(0)) for c in rules.CATEGORIES}
+    extra = sum((n * (weight_tenths(who, F.lit(c)) - 10) for c, n in count.items()), F.lit(0))
+    total = sum(count.values(), F.lit(0))
+    shift = F.when((F.col(group) != rules.DEFAULT_GROUP) & (total > 0), extra / total)
     adjusted = C.round_half_up(C.clamp(F.col(base) - shift), 1)
-    return (locations.join(sums, key, "left")
+    return (locations.join(category_counts, key, "left")
             .withColumn("adjusted_score", F.when(shift.isNotNull(), adjusted)
-                        .otherwise(F.col(base))).drop("_extra", "_n"))
+                        .otherwise(F.col(base))).drop(*rules.CATEGORIES))
 
 
 def nearby_counts(locations: DataFrame, points: DataFrame, km: float,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,8 +14,10 @@ from ..functions import text as T
 from ..operators import density as D
 from ..operators import distance_join as J
 from ..operators import scoring, stats, zones
+from ..operators.risk import category_sums
 
-FACETS = ["crime_type", "crime_category", "time_bucket", "recent", *rules.DEMOGRAPHIC_COLUMNS]
+BUCKETS = [name for name, _, _ in rules.TIME_BUCKETS]
+LISTED = ["crime_type", *rules.DEMOGRAPHIC_COLUMNS]
 
 
 @dataclass
@@ -31,59 +33,64 @@ class Models:
     density: DataFrame
 
 
-def nearby_facets(locations: DataFrame, incidents: DataFrame, km: float = rules.INCIDENT_RADIUS_KM,
-                  now: str | None = None, key: str = "loc_id") -> DataFrame:
-    """Counts by (attribute, value) of the incidents around each location.
+def nearby_times(locations: DataFrame, incidents: DataFrame,
+                 km: float = rules.INCIDENT_RADIUS_KM, now: str | None = None,
+                 key: str = "loc_id") -> DataFrame:
+    """Incidents around each location: all, by time bucket, of the last 30 days, and by category.
 
-    All attributes go through one radius join: incidents become (attribute, value) rows that are
-    counted per coordinate before they meet a location.
+    These are fixed lists, so they are figures of one wide row. Undated incidents have no bucket.
     """
-    rows = stats.bucket_of_hour(incidents)
-    since = F.lit(now).cast("timestamp") - F.expr("INTERVAL 30 DAYS")
-    recent = F.when(F.col("occurred_at") >= since, "yes") if now else F.lit(None).cast("string")
-    dated = F.when(F.col("occurred_at").isNotNull(), F.col("time_bucket"))
-    rows = rows.withColumns({"recent": recent, "time_bucket": dated})
-    long = stats.facets(rows, FACETS, ["latitude", "longitude"])
-    return J.counts_within(locations, long, km, ["attribute", "value"], key=key)
-
-
-def summarise(facets: DataFrame, key: str = "loc_id") -> DataFrame:
-    """One row per location from its (attribute, value) counts."""
+    dated = F.col("occurred_at").isNotNull()
+    sums = {name: (dated & F.col("hour_of_day").between(a, b)).cast("long")
+            for name, a, b in rules.TIME_BUCKETS}
+    recent = F.lit(0)
+    if now:
+        since = F.lit(now).cast("timestamp") - F.expr("INTERVAL 30 DAYS")
+        recent = F.coalesce(F.col("occurred_at") >= since, F.lit(False)).cast("long")
+    return J.counts_within(
+        locations, incidents, km, sums={**sums, "total_recent": recent, **category_sums()},
+        key=key).withColumnRenamed("n", "nearby_crime_count")
+
+
+def nearby_values(locations: DataFrame, incidents: DataFrame,
+                  km: float = rules.INCIDENT_RADIUS_KM, key: str = "loc_id") -> DataFrame:
+    """Offenses around each location with counts, and the commonest victim attributes.
+
+    Incidents become (attribute, value) rows that are counted per coordinate before they meet a
+    location, so one radius join serves all attributes.
+    """
+    long = stats.facets(incidents, LISTED, ["latitude", "longitude"])
+    found = J.counts_within(locations, long, km, ["attribute", "value"], key=key)
     is_ = lambda a: F.col("attribute") == a
     item = F.struct((-F.col("n")).alias("o"), F.col("value").alias("value"))
+    # Offense names are a code list, so the array is short.
+    offenses = F.transform(
+        F.sort_array(F.collect_list(F.when(is_("crime_type"), item))),
+        lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("count")))
+    modal = [F.min_by(F.when(is_(c), F.col("value")), F.when(is_(c), item)).alias(c)
+             for c in rules.DEMOGRAPHIC_COLUMNS]
+    return found.groupBy(key).agg(offenses.alias("crime_types"), *modal)
 
-    def listed(a):
-        # Offense names, categories and buckets are short code lists.
-        return F.transform(
-            F.sort_array(F.collect_list(F.when(is_(a), item))),
-            lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("count")))
-
-    def bucket(name):
-        return F.coalesce(F.sum(F.when(is_("time_bucket") & (F.col("value") == name),
-                                       F.col("n"))), F.lit(0)).cast("long")
 
-    modal = {c: F.min_by(F.when(is_(c), F.col("value")), F.when(is_(c), item))
-             for c in rules.DEMOGRAPHIC_COLUMNS}
-    return facets.groupBy(key).agg(
-        F.sum(F.when(is_("crime_type"), F.col("n"))).alias("nearby_crime_count"),
-        listed("crime_type").alias("crime_types"),
-        listed("crime_category").alias("crime_categories"),
-        *[bucket(n).alias(n) for n, _, _ in rules.TIME_BUCKETS],
-        F.coalesce(F.sum(F.when(is_("recent"), F.col("n"))), F.lit(0)).cast("long")
-        .alias("total_recent"),
-        *[c.alias(n) for n, c in modal.items()])
+def listed_categories() -> Column:
+    """Category figures of a row as an array of (value, count), largest first, zeros left out."""
+    items = F.array_sort(F.array(*[
+        F.struct((-F.col(c)).alias("o"), F.lit(c).alias("value")) for c in rules.CATEGORIES]))
+    return F.transform(F.filter(items, lambda x: x["o"] < 0),
+                       lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("count")))
 
 
 def nearby_summary(locations: DataFrame, incidents: DataFrame,
                    km: float = rules.INCIDENT_RADIUS_KM, now: str | None = None,
                    key: str = "loc_id") -> DataFrame:
     """Every location with the summary of the incidents around it; zeros where there are none."""
-    found = summarise(nearby_facets(locations, incidents, km, now, key), key)
-    counts = ["nearby_crime_count", "total_recent", *[n for n, _, _ in rules.TIME_BUCKETS]]
+    times = nearby_times(locations, incidents, km, now, key)
+    values = nearby_values(locations, incidents, km, key)
+    counts = ["nearby_crime_count", "total_recent", *BUCKETS, *rules.CATEGORIES]
     empty = F.array().cast("array<struct<value:string,count:bigint>>")
-    return locations.join(found, key, "left").na.fill(0, counts).withColumns({
-        "crime_types": F.coalesce("crime_types", empty),
-        "crime_categories": F.coalesce("crime_categories", empty)})
+    return (locations.join(times, key, "left").join(values, key, "left").na.fill(0, counts)
+            .withColumns({"crime_types": F.coalesce("crime_types", empty),
+                          "crime_categories": listed_categories()}).drop(*rules.CATEGORIES))
 
 
 def scored(summary: DataFrame, base: str = "base_score",
@@ -102,8 +109,7 @@ def scored(summary: DataFrame, base: str = "base_score",
 
 
 def time_analysis(summary: DataFrame) -> DataFrame:
-    names = [n for n, _, _ in rules.TIME_BUCKETS]
-    return summary.withColumn("peak", stats.peak_bucket(*[F.col(n) for n in names]))
+    return summary.withColumn("peak", stats.peak_bucket(*[F.col(n) for n in BUCKETS]))
 
 
 def safety_cards(locations: DataFrame, incidents: DataFrame, amenities: DataFrame, models: Models,

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from incidentlens.functions import rules
 from incidentlens.operators import risk
 from incidentlens.operators.scoring import adjust_scores
 from incidentlens.session import scratch_folder
@@ -46,9 +47,9 @@ def test_adjusted_scores(spark):
     places = spark.createDataFrame(
         [(1, 50.0, "women"), (2, 50.0, "general"), (3, 50.0, "nobody"), (4, 50.0, "women")],
         "loc_id INT, base_score DOUBLE, demographic_group STRING")
-    counts = spark.createDataFrame([(i, c, n) for i in (1, 2, 3) for c, n in
-                                    (("sexual", 1), ("other", 1))],
-                                   "loc_id INT, crime_category STRING, n BIGINT")
+    counts = spark.createDataFrame(
+        [(i, *[int(c in ("sexual", "other")) for c in rules.CATEGORIES]) for i in (1, 2, 3)],
+        "loc_id INT, " + ", ".join(f"{c} BIGINT" for c in rules.CATEGORIES))
     got = {r.loc_id: r.adjusted_score for r in adjust_scores(places, counts).collect()}
     assert got == {1: 46.0, 2: 50.0, 3: 50.0, 4: 50.0}
 

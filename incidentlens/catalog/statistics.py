@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -369,13 +368,10 @@ SELECT loc_id, name, CAST(row_number() OVER (PARTITION BY loc_id ORDER BY dist,
   FROM loc JOIN am ON {AM_DIST} <= 5)"""))
 def w5(spark, d):
     """Amenities of each location in order of distance."""
-    from ..operators.distance_join import within_distance
-
-    pairs = within_distance(fx.locations(spark, d), fx.amenities(spark, d), 5.0).withColumn(
-        "dist", C.round_half_up(F.col("distance") * 1000, 1))
-    order = Window.partitionBy("loc_id").orderBy("dist", "name")
-    return pairs.select("loc_id", "name", F.row_number().over(order).alias("position")).orderBy(
-        "loc_id", "position")
+    pairs = J.within_distance(fx.locations(spark, d), fx.amenities(spark, d), 5.0).select(
+        "loc_id", "name", C.round_half_up(F.col("distance") * 1000, 1).alias("dist"))
+    return ranking.rank_within(pairs, ["loc_id"], ["dist", "name"], "position").select(
+        "loc_id", "name", "position").orderBy("loc_id", "position")
 
 
 @query("w6_first_rows", sql("inc", """

@@ -14,6 +14,7 @@ from ..session import stored
 from .skew import SMALL_ROWS, is_small, salted_join
 
 CELL = ["_row", "_col"]
+MAX_DIRECT_PAIRS = 200_000_000
 
 
 def with_cell(points: DataFrame, grid: geo.CellGrid, lat="latitude", lon="longitude") -> DataFrame:
@@ -114,11 +115,12 @@ def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), sum
 
 
 def nearest(locations: DataFrame, points: DataFrame, order: str, lat="lat", lon="lon",
-            point_lat="latitude", point_lon="longitude", first_km: float = 2.0) -> DataFrame:
+            point_lat="latitude", point_lon="longitude", first_km: float = 2.0,
+            max_pairs: int = MAX_DIRECT_PAIRS) -> DataFrame:
     """The nearest point of each location (smallest `order` on ties), with its `distance`.
 
-    Rings widen fourfold until every location has an answer. From the second ring on, cells that
-    cannot hold the nearest point are dropped by their distance bounds before points are read.
+    Rings widen fourfold until every location has an answer. In each ring, cells that cannot hold
+    the nearest point are dropped by their distance bounds before points are read.
     Returns the location's coordinates with a struct `nearest`.
     """
     columns = [c for c in points.columns if c not in (lat, lon)]
@@ -130,17 +132,12 @@ def nearest(locations: DataFrame, points: DataFrame, order: str, lat="lat", lon=
         return todo.limit(0).withColumn(
             "nearest", F.lit(None)).withColumn("distance", F.lit(None).cast("double"))
     # One row per coordinate: the one that wins ties.
-    points = points.groupBy(point_lat, point_lon).agg(
+    points = stored(points.groupBy(point_lat, point_lon).agg(
         F.min_by(F.struct(*columns), F.col(order)).alias("_p")).select(
-        point_lat, point_lon, "_p", F.col(f"_p.{order}").alias("_order"))
+        point_lat, point_lon, "_p", F.col(f"_p.{order}").alias("_order")))
     answers, km = None, first_km
     while True:
-        if answers is None:
-            grid = geo.CellGrid(km)
-            pairs = with_search_cells(todo, grid, km, lat, lon).join(
-                with_cell(points, grid, point_lat, point_lon), CELL)
-        else:
-            pairs = _pruned_pairs(todo, points, km, lat, lon, point_lat, point_lon)
+        pairs = _candidates(todo, points, km, lat, lon, point_lat, point_lon, max_pairs)
         best = (pairs.withColumn("distance", distance).filter(F.col("distance") <= km)
                 .groupBy(lat, lon).agg(
                     F.min_by(F.struct("distance", "_p"),
@@ -155,20 +152,39 @@ def nearest(locations: DataFrame, points: DataFrame, order: str, lat="lat", lon=
         km *= 4
 
 
-def _pruned_pairs(todo, points, km, lat, lon, point_lat, point_lon):
-    grid = geo.CellGrid(km / 8)
-    spots = with_cell(points, grid, point_lat, point_lon)
-    boxes = spots.groupBy(*CELL).agg(
-        F.min(point_lat).alias("_a"), F.max(point_lat).alias("_b"),
-        F.min(point_lon).alias("_c"), F.max(point_lon).alias("_d"))
-    near, far = geo.box_distance_bounds(
-        F.col(lat), F.col(lon), [F.col(c) for c in ("_a", "_b", "_c", "_d")])
-    cells = (with_search_cells(todo, grid, km, lat, lon).join(boxes, CELL)
-             .select(lat, lon, *CELL, near.alias("_near"), far.alias("_far")))
-    limit = cells.groupBy(lat, lon).agg((F.min("_far") * (1 + 1e-9)).alias("_limit"))
-    kept = (cells.join(limit, [lat, lon]).filter(F.col("_near") <= F.col("_limit"))
-            .select(lat, lon, *CELL))
-    return salted_join(spots, kept, CELL)
+def _candidates(todo, points, km, lat, lon, point_lat, point_lon, max_pairs):
+    """(location, point) pairs that can be nearest: points of the cells that survive their bounds.
+
+    While the surviving cells hold more points than `max_pairs` in total, they are cut finer.
+    """
+    box = ["_a", "_b", "_c", "_d"]
+    near, far = geo.box_distance_bounds(F.col(lat), F.col(lon), [F.col(c) for c in box])
+    bounds = [F.min(point_lat).alias("_a"), F.max(point_lat).alias("_b"),
+              F.min(point_lon).alias("_c"), F.max(point_lon).alias("_d"),
+              F.count("*").alias("_n")]
+
+    def surviving(cells):
+        cells = cells.withColumn("_near", near).withColumn("_far", far)
+        limit = cells.groupBy(lat, lon).agg((F.min("_far") * (1 + 1e-9)).alias("_limit"))
+        return stored(cells.join(limit, [lat, lon]).filter(F.col("_near") <= F.col("_limit"))
+                      .select(lat, lon, *CELL, "_n"))
+
+    side = km / 8
+    spots = with_cell(points, geo.CellGrid(side), point_lat, point_lon)
+    search = with_search_cells(todo, geo.CellGrid(side), km, lat, lon)
+    kept = surviving(search.join(spots.groupBy(*CELL).agg(*bounds), CELL))
+    for _ in range(8):
+        if (kept.agg(F.sum("_n")).first()[0] or 0) <= max_pairs:
+            break
+        side /= 4
+        coarse = spots.withColumnsRenamed({"_row": "_row0", "_col": "_col0"})
+        finer = with_cell(coarse, geo.CellGrid(side), point_lat, point_lon)
+        parts = finer.groupBy("_row0", "_col0", *CELL).agg(*bounds)
+        mine = kept.select(lat, lon, F.col("_row").alias("_row0"), F.col("_col").alias("_col0"))
+        kept = surviving(mine.join(parts, ["_row0", "_col0"]))
+        spots = finer.drop("_row0", "_col0")
+    # A fine cell on the border of two coarse ones may be there twice.
+    return salted_join(spots, kept.drop("_n").distinct(), CELL, [point_lat, point_lon])
 
 
 def nearest_centre(locations: DataFrame, centres: DataFrame, zone="zone", centre_lat="center_lat",

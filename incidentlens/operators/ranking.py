@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .skew import is_small
 
 
 def global_rank(df: DataFrame, order, out: str) -> DataFrame:
@@ -25,9 +26,30 @@ def global_rank(df: DataFrame, order, out: str) -> DataFrame:
             .drop("_part", "_pos", "_shift"))
 
 
+def rank_within(df: DataFrame, group, order, out: str) -> DataFrame:
+    """Position (from 1) of each row in its group; `order` must tell all rows of a group apart.
+
+    Taken from the position in the whole table, so a group of any size is ranked by many tasks.
+    """
+    group = list(group)
+    ranked = global_rank(df, [*group, *order], "_at")
+    starts = ranked.groupBy(*group).agg(F.min("_at").alias("_start"))
+    return (ranked.join(starts, group)
+            .withColumn(out, (F.col("_at") - F.col("_start") + 1).cast("int"))
+            .drop("_at", "_start"))
+
+
 def sample_rows(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
-    """`n` rows without replacement, the same ones for the same seed.
+    """`n` rows without replacement, the same ones for the same seed: those of lowest key hash.
 
-    Rows are ordered by a hash of their key; a top-n plan keeps `n` rows per task.
+    On a long table only hashes in the lowest share that should hold 4·n rows are ordered; when
+    they turn out too few, all rows are.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    rank = F.xxhash64(F.col(key), F.lit(seed))
+    total = df.count()
+    if total > 100 * n:
+        cut = int(-2 ** 63 + 2 ** 64 * (4 * n / total))
+        low = df.filter(rank < F.lit(cut))
+        if not is_small(low, n - 1):
+            df = low
+    return df.orderBy(rank, key).limit(n)

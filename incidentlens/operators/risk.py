@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
+from ..session import stored
 from .distance_join import counts_within
 from .quantiles import percent_rank_by
+from .ranking import rank_within
 from .scoring import known_group, weight_tenths
 
 
@@ -133,9 +135,11 @@ def personal_risk(vectors: DataFrame, group: str = "demographic_group",
 
 def compare_places(risks: DataFrame, request: str, key: str = "loc_id") -> DataFrame:
     """Rank of each place within its request, and the safest one (lowest key on ties)."""
-    order = Window.partitionBy(request).orderBy("personal_risk", key)
-    return (risks.withColumn("rank", F.row_number().over(order))
-            .withColumn("safer_choice", F.first(key).over(order)))
+    risks = stored(risks)
+    best = risks.groupBy(request).agg(
+        F.min_by(key, F.struct("personal_risk", key)).alias("safer_choice"))
+    ranked = rank_within(risks, [request], ["personal_risk", key], "rank")
+    return ranked.join(best, request)
 
 
 def safe_times(locations: DataFrame, incidents: DataFrame, km: float = 1.0,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -63,10 +63,11 @@ def nearest_of_each_type(locations: DataFrame, amenities: DataFrame,
                          km: float = rules.AMENITY_RADIUS_KM, key: str = "loc_id") -> DataFrame:
     """The nearest amenity of each type within `km` (by name, then position, on ties)."""
     pairs = within_distance(locations.select(key, "lat", "lon"), amenities, km)
-    first = Window.partitionBy(key, "type").orderBy("distance", "name", "latitude", "longitude")
-    return (pairs.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-            .select(key, "type", "name", C.round_half_up(F.col("distance"), 2)
-                    .alias("distance_km"), "latitude", "longitude"))
+    item = F.struct("distance", "name", "latitude", "longitude")
+    return (pairs.groupBy(key, "type").agg(F.min(item).alias("_best"))
+            .select(key, "type", "_best.name",
+                    C.round_half_up(F.col("_best.distance"), 2).alias("distance_km"),
+                    "_best.latitude", "_best.longitude"))
 
 
 def amenity_cards(locations: DataFrame, amenities: DataFrame,

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -116,7 +116,7 @@ def fit_demographic_zones(incidents: DataFrame, k: int = 25, seed: int = 42, n_i
                           max_iter: int = 100, parallel: int = 4):
     """Zones by position (×0.7) and one-hot victim attributes (×3); None below 1,000 rows."""
     known = with_demographics(incidents)
-    if known.limit(MIN_DEMOGRAPHIC_ROWS).count() < MIN_DEMOGRAPHIC_ROWS:
+    if is_small(known, MIN_DEMOGRAPHIC_ROWS - 1):
         return None
     scale = moments(known, COORDINATES)
     features = {f"f_{c}": f"({c} - ({m!r})) / {s!r}D * {COORDINATE_FACTOR}D"
@@ -190,17 +190,15 @@ def attribute_importance(zoned: DataFrame, zone: str = "zone") -> DataFrame:
     """
     counts = (stats.facets(zoned, rules.DEMOGRAPHIC_COLUMNS, [zone])
               .groupBy("attribute", zone, "value").agg(F.count("*").alias("n")))
-    in_zone = F.sum("n").over(Window.partitionBy("attribute", zone))
-    in_value = F.sum("n").over(Window.partitionBy("attribute", "value"))
-    total = F.sum("n").over(Window.partitionBy("attribute"))
-    shares = counts.select("attribute", zone, "value", F.col("n"), in_zone.alias("nz"),
-                           in_value.alias("nv"), total.alias("nt"))
-    # Σ w(z)·p(v|z)² - p(v)² summed over values, with absent (zone, value) pairs adding zero.
-    inner = shares.groupBy("attribute").agg(
-        F.sum(F.col("n") * F.col("n") / (F.col("nz") * F.col("nt"))).alias("within"),
-        F.sum(F.col("n") * F.col("nv") / (F.col("nt") * F.col("nt"))).alias("overall"))
+    # Σ w(z)·p(v|z)² and Σ p(v)²: absent (zone, value) pairs add nothing.
+    within = (counts.groupBy("attribute", zone).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("s"))
+        .groupBy("attribute").agg((F.sum("s") / F.sum("n")).alias("within")))
+    overall = (counts.groupBy("attribute", "value").agg(F.sum("n").alias("n"))
+               .groupBy("attribute").agg(
+        (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("overall")))
     measured = (F.col("within") - F.col("overall")) / (1 - F.col("overall"))
-    return inner.select(
+    return within.join(overall, "attribute").select(
         "attribute", C.first_match(rules.STATED_IMPORTANCE.items(), F.col("attribute").__eq__)
         .alias("stated_importance"),
         F.when(F.col("overall") < 1, measured).otherwise(0.0).alias("measured_importance"))

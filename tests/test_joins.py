@@ -4,7 +4,7 @@ from brute import haversine
 from pyspark.sql import functions as F
 
 from incidentlens.operators import distance_join as J
-from incidentlens.operators.ranking import global_rank, sample_rows
+from incidentlens.operators.ranking import global_rank, rank_within, sample_rows
 from incidentlens.operators.skew import salted_join
 
 
@@ -55,12 +55,13 @@ def test_within_box(spark):
         assert got == set(zip(*np.nonzero(near)))
 
 
-def test_nearest_reaches_far_locations(spark):
+@pytest.mark.parametrize("max_pairs", [10**6, 50])
+def test_nearest_reaches_far_locations(spark, max_pairs):
     loc, pts, _, points = frames(spark)
     far = [(100, 41.9, -73.2), (101, 10.0, 20.0), (102, None, 1.0)]
     rows = [(i, float(a), float(o)) for i, (a, o) in enumerate(loc)] + far
     locations = spark.createDataFrame(rows, "loc_id INT, lat DOUBLE, lon DOUBLE")
-    found = J.nearest(locations, points, "pid", first_km=0.5)
+    found = J.nearest(locations, points, "pid", first_km=0.5, max_pairs=max_pairs)
     got = {r.loc_id: (r.nearest.pid, r.distance) for r in
            locations.join(found, ["lat", "lon"]).collect()}
     assert 102 not in got and len(got) == len(rows) - 1
@@ -106,6 +107,23 @@ def test_global_rank(spark):
     assert got == {v: v for v in values}
 
 
+def test_rank_within(spark):
+    df = spark.range(300).select((F.col("id") % 4 * (F.col("id") % 2)).alias("g"),
+                                 (-F.col("id")).alias("v"))
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.g, r.v)):
+        want[r.v] = 1 + sum(1 for v, g in [(k, w[1]) for k, w in want.items()] if g == r.g), r.g
+    got = {r.v: (r.pos, r.g) for r in rank_within(df, ["g"], ["v"], "pos").collect()}
+    assert got == want
+
+
+def test_sample_of_a_long_table(spark):
+    df = spark.range(5000).withColumn("key", F.col("id").cast("string"))
+    got = [r.id for r in sample_rows(df, 20, "key").collect()]
+    ordered = df.orderBy(F.xxhash64("key", F.lit(42))).limit(20)
+    assert got == [r.id for r in ordered.collect()]
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(1000).withColumn("key", F.col("id").cast("string"))
     one = [r.id for r in sample_rows(df, 50, "key").collect()]

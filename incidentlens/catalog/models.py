@@ -41,8 +41,15 @@ def demographic_zones(spark, d):
 
 
 def demographic_rows(spark, d):
-    return fx.kept(spark, d, "demographic", lambda: zones.assign(
-        demographic_zones(spark, d), zones.with_demographics(fx.incidents(spark, d))))
+    """Incidents with their demographic zone; no rows where there is no model."""
+    def build():
+        known = zones.with_demographics(fx.incidents(spark, d))
+        fitted = demographic_zones(spark, d)
+        if fitted is None:
+            return known.limit(0).withColumn("zone", F.lit(None).cast("int"))
+        return zones.assign(fitted, known)
+
+    return fx.kept(spark, d, "demographic", build)
 
 
 def density(spark, d):
@@ -168,9 +175,6 @@ def m8(spark, d):
 @query("m9_demographic_zones")
 def m9(spark, d):
     """One row per fitted zone; none below 1,000 usable incidents."""
-    if demographic_zones(spark, d) is None:
-        return zones.zone_centres(fx.incidents(spark, d).limit(0).withColumn(
-            "zone", F.lit(0)))
     return zones.zone_centres(demographic_rows(spark, d))
 
 

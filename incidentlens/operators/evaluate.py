@@ -191,7 +191,7 @@ def score_spread(scores: DataFrame) -> DataFrame:
 
 
 def graded(quality: DataFrame, concentration: DataFrame) -> DataFrame:
-    """Rating per model, and the overall score with its verdict on every row."""
+    """Rating per model there is, and the overall score with its verdict on every row."""
     def rating(c, high, low):
         return F.when(c > high, "EXCELLENT").when(c > low, "GOOD").otherwise("FAIR")
 
@@ -200,7 +200,7 @@ def graded(quality: DataFrame, concentration: DataFrame) -> DataFrame:
         F.lit("DBSCAN Clustering").alias("model"), rating(separation, 0.5, 0.25).alias("rating"),
         separation.alias("score"))
     share = F.col("avg_concentration")
-    zones = concentration.select(
+    zones = concentration.filter("n_zones > 0").select(
         F.lit("Demographic Zones").alias("model"), rating(share, 60, 40).alias("rating"),
         (share / 100).alias("score"))
     rows = stored(clusters.unionByName(zones))

@@ -169,17 +169,17 @@ def demographic_zone_table(zoned: DataFrame, zone: str = "zone") -> DataFrame:
 
 def predict_demographic_zone(model, centres: DataFrame, locations: DataFrame) -> DataFrame:
     """Zone of each location: by the model where all attributes are known, else nearest centre."""
-    names = rules.DEMOGRAPHIC_COLUMNS
-    known = F.lit(True)
-    for c in names:
+    known = F.lit(model is not None)
+    for c in rules.DEMOGRAPHIC_COLUMNS:
         known = known & F.col(c).isNotNull()
-    moved = locations.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
-    by_model = assign(model, moved.filter(known), "demographic_zone").withColumnsRenamed(
+    found = nearest_centre(locations.filter(~known), centres, out="demographic_zone").withColumns({
+        "demographic_zone": F.col("demographic_zone").cast("int"), "source": F.lit("centre")})
+    if model is None:
+        return found
+    moved = locations.filter(known).withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
+    by_model = assign(model, moved, "demographic_zone").withColumnsRenamed(
         {"latitude": "lat", "longitude": "lon"})
-    by_centre = nearest_centre(locations.filter(~known), centres, out="demographic_zone")
-    return by_model.withColumn("source", F.lit("attributes")).unionByName(
-        by_centre.withColumn("demographic_zone", F.col("demographic_zone").cast("int"))
-        .withColumn("source", F.lit("centre")))
+    return by_model.withColumn("source", F.lit("attributes")).unionByName(found)
 
 
 def attribute_importance(zoned: DataFrame, zone: str = "zone") -> DataFrame:

@@ -33,7 +33,9 @@ def evaluation(incidents: DataFrame, sample: int = 2_000) -> DataFrame:
     """Ratings of the hotspot and demographic models, with the overall verdict."""
     labelled = stored(hotspots.label_by_quadrant(incidents))
     quality = evaluate.cluster_quality(labelled, sample=sample)
+    known = zones.with_demographics(incidents)
     model = zones.fit_demographic_zones(incidents)
-    known = zones.assign(model, zones.with_demographics(incidents))
+    known = (known.limit(0).withColumn("zone", F.lit(None).cast("int")) if model is None
+             else zones.assign(model, known))
     share = evaluate.concentration_summary(zones.demographic_profiles(known))
     return evaluate.graded(quality, share)

@@ -18,6 +18,8 @@ from ..operators.risk import category_sums
 
 BUCKETS = [name for name, _, _ in rules.TIME_BUCKETS]
 LISTED = ["crime_type", *rules.DEMOGRAPHIC_COLUMNS]
+NO_ZONE = ("struct<zone_id:int,profiles:array<struct<attribute:string,dominant_value:string,"
+           "concentration:double,value_counts:map<string,bigint>>>,crime_count:bigint>")
 
 
 @dataclass
@@ -140,6 +142,8 @@ def safety_cards(locations: DataFrame, incidents: DataFrame, amenities: DataFram
         df = df.join(placed.select(key, "demographic_zone"), key, "left").join(
             profile, "demographic_zone", "left").drop("demographic_zone").withColumnRenamed(
             "zone_info", "demographic_zone")
+    else:
+        df = df.withColumn("demographic_zone", F.lit(None).cast(NO_ZONE))
     dense = D.density_at(locations.select(key, "lat", "lon"), incidents, models.density, key=key)
     df = df.join(dense.select(key, F.struct(
         "density", "classification", "density_percentile").alias("density")), key, "left")

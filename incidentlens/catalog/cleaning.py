@@ -201,11 +201,9 @@ _MAPPED = " OR ".join(f"regexp_matches(upper(ofns_desc), {quoted(p)})"
 SELECT count(*) FILTER ({_MAPPED}) AS mapped, count(DISTINCT trim(upper(ofns_desc))) AS before,
   count(DISTINCT {offense_type()}) AS after FROM raw"""))
 def p5_statistics(spark, d):
-    text = C.offense_text(F.col("ofns_desc"))
-    return fx.complaints(spark, d).agg(
-        F.count_if(C.offense_pattern(text).isNotNull()).alias("mapped"),
-        F.count_distinct(text).alias("before"),
-        F.count_distinct(C.offense_type(F.col("ofns_desc"))).alias("after"))
+    texts = fx.complaints(spark, d).groupBy(
+        C.offense_text(F.col("ofns_desc")).alias("text")).agg(F.count("*").alias("n"))
+    return plan.offense_totals(texts)
 
 
 @query("p6_offense_category", sql("raw", f"""

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
+STEPS = 4
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for nodes(node) and edges(a, b); the root is the smallest node reached.
 
-    Each round every node moves to its smallest neighbour, and eight such steps are taken at once by
-    joining the step table with itself three times. Edges are moved along and those inside one node
-    disappear. Long chains shrink at least eightfold a round, so a few rounds are enough. Every
-    round's tables are written to the shared folder, which keeps plans short and survives lost
-    executors.
+    Each round every node moves to its smallest neighbour, four steps at a time. Edges are moved
+    along and those inside one node disappear. Long chains shrink at least fourfold a round, so a
+    few rounds are enough. Every round's tables are written to the shared folder, which keeps plans
+    short and survives lost executors.
     """
     live = stored(edges.select("a", "b").filter("a <> b").distinct())
     moves = []
@@ -23,12 +24,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         if live.isEmpty():
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        for _ in range(3):
-            onward = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            step = step.join(onward, "to", "left").select(
-                "node", F.coalesce("further", "to").alias("to"))
+        once = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        step = once
+        for _ in range(STEPS - 1):
+            step = step.join(_renamed(once, "to", "further"), "to").select(
+                "node", F.col("further").alias("to"))
         step = stored(step)
         moves.append(step)
         live = stored(

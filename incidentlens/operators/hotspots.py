@@ -121,7 +121,7 @@ def density_clusters(points: DataFrame, plane: Plane, min_points: float, x: str
     core_cells = stored(_cells(core))
     edges = _core_edges(core, core_cells, plane, max_direct_pairs)
     roots = connected_components(core_cells.select(F.col("cell").alias("node")), edges)
-    roots = stored(roots.select(F.col("node").alias("cell"), "root"))
+    roots = roots.select(F.col("node").alias("cell"), "root")
     starts = (core_cells.join(roots, "cell").groupBy("root")
               .agg(F.min("first").alias("first")).withColumn("g", F.col("root.g")))
     ranked = global_rank(starts, ["g", "first"], "cluster").select("root", "cluster")
@@ -225,7 +225,7 @@ def _core_edges(core: DataFrame, core_cells: DataFrame, plane: Plane,
         if not work:
             return edges
         if work <= max_direct_pairs or level >= 24:
-            return edges.unionByName(_direct_edges(unsure, core, plane, level)).distinct()
+            return edges.unionByName(_direct_edges(unsure, core, plane, level))
         level += 1
         parts = (_parts(core, plane, level).groupBy("cell", "u", "v").agg(
             F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
@@ -261,7 +261,7 @@ def _direct_edges(unsure: DataFrame, core: DataFrame, plane: Plane, level: int)
             F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"))
         pairs = pairs.join(mine, [s, f"{s}_u", f"{s}_v"])
     close = plane.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= plane.eps
-    return pairs.filter(close).select("a", "b").distinct()
+    return pairs.filter(close).select("a", "b")
 
 
 # --- hotspots of the incident table ---------------------------------------------------------

@@ -58,7 +58,8 @@ def _model(df: DataFrame, expressions: dict, k, seed, n_init, max_iter, parallel
     select = ", ".join(f"{sql} AS {name}" for name, sql in expressions.items())
     features = SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
     assembler = VectorAssembler(inputCols=list(expressions), outputCol="features")
-    flat = features.transform(df).groupBy(*expressions).agg(F.count("*").alias("w"))
+    # Written once: the many passes of the fit then read as many partitions as the bytes need.
+    flat = stored(features.transform(df).groupBy(*expressions).agg(F.count("*").alias("w")))
     rows = assembler.transform(flat).select("features", F.col("w").cast("double").alias("w"))
     best = _fit(rows, k, seed, n_init, max_iter, parallel)
     return PipelineModel(stages=[features, assembler, best])
@@ -72,7 +73,7 @@ def assign(model: PipelineModel, df: DataFrame, out: str = "zone") -> DataFrame:
 
 
 def fit_crime_zones(incidents: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10,
-                    max_iter: int = 100, parallel: int = 4, standardise: bool = True):
+                    max_iter: int = 100, parallel: int = 8, standardise: bool = True):
     """Zones by position; with `standardise=False` on raw degrees."""
     if standardise:
         scale = moments(incidents, COORDINATES)
@@ -113,7 +114,7 @@ def _literal(value: str) -> str:
 
 
 def fit_demographic_zones(incidents: DataFrame, k: int = 25, seed: int = 42, n_init: int = 10,
-                          max_iter: int = 100, parallel: int = 4):
+                          max_iter: int = 100, parallel: int = 8):
     """Zones by position (×0.7) and one-hot victim attributes (×3); None below 1,000 rows."""
     known = with_demographics(incidents)
     if is_small(known, MIN_DEMOGRAPHIC_ROWS - 1):

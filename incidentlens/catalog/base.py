@@ -174,7 +174,7 @@ def sql(views: str, body: str) -> str:
     parts = ",".join(VIEWS[n] for n in names)
     joiner = ",\n" if body.lstrip().startswith("@") else "\n"
     body = body.lstrip().removeprefix("@")
-    head = "WITH RECURSIVE" if {"hot", "quad"} & set(names) else "WITH"
+    head = "WITH RECURSIVE" if {"hot", "quad", "decayed"} & set(names) else "WITH"
     return f"{head} {parts}{joiner}{body}"
 
 
@@ -205,11 +205,18 @@ lab AS (SELECT s.id, coalesce(n.cluster,
 
 _HOT_DISTANCE = haversine("a.y", "a.x", "b.y", "b.x", rules.HOTSPOT_EARTH_KM)
 
-VIEWS["hot"] = f"""
+
+
+def hotspot_view(weight: str = "count(*)", least: int = 10) -> str:
+    """spots, neighbours and numbered clusters (`lab`) by great-circle distance, 0.5 km."""
+    near = f"abs(a.y - b.y) <= 0.0046 AND abs(a.x - b.x) <= 0.0062 AND {_HOT_DISTANCE} <= 0.5"
+    return f"""
 spots AS (SELECT min(CAST(incident_id AS BIGINT)) AS id, latitude AS y, longitude AS x,
-            count(*) AS w FROM inc GROUP BY latitude, longitude),
-{_closure(f"abs(a.y - b.y) <= 0.0046 AND abs(a.x - b.x) <= 0.0062 AND {_HOT_DISTANCE} <= 0.5")
- .replace("min_points()", "10")}{_labels("root").lstrip()},
+            {weight} AS w FROM inc GROUP BY latitude, longitude),
+{_closure(near).replace("min_points()", str(least))}{_labels("root").lstrip()}"""
+
+
+VIEWS["hot"] = f"""{hotspot_view()},
 hot AS (SELECT inc.*, lab.cluster, lab.core FROM inc
         JOIN spots ON latitude = y AND longitude = x JOIN lab ON lab.id = spots.id)"""
 

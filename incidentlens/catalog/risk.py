@@ -13,7 +13,8 @@ from ..operators import risk, zones
 from ..session import scratch_folder
 from ..sources import fixtures as fx
 from ..streaming import incremental
-from .base import cases, counts_json, haversine, quoted, sql, time_bucket
+from .base import (
+    NEEDS, VIEWS, cases, counts_json, haversine, hotspot_view, quoted, sql, time_bucket)
 from .cards import _tenths
 from .models import _NODES, _SCORE
 from .registry import query
@@ -211,9 +212,17 @@ def d10_refresh(spark, d):
     return _shown(risk.refresh_risk(table, old, new, AS_OF))
 
 
-@query("d10_streamed_cell_counts")
+@query("d10_streamed_cell_counts", sql("inc", f"""@
+n AS (SELECT {_cell(2)} AS grid_cell_id, date_trunc('day', occurred_at) AS w, count(*) AS count
+  FROM inc WHERE occurred_at IS NOT NULL GROUP BY 1, 2)
+SELECT grid_cell_id, strftime(w, '%Y-%m-%d') AS window_start, count,
+  (SELECT count(DISTINCT {_cell(3)}) FROM inc) AS cells_marked
+FROM n WHERE w + INTERVAL 1 DAY <= (SELECT max(occurred_at) FROM inc) - INTERVAL 2 DAY"""))
 def d10_stream(spark, d):
-    """Incident files read as a stream; copies dropped, windows counted, touched cells marked."""
+    """Incident files read as a stream; copies dropped, windows counted, touched cells marked.
+
+    Windows younger than the two-day delay are still open and not written yet.
+    """
     feed, out, marks = (scratch_folder(spark, n) for n in ("feed", "windows", "marks"))
     rows = fx.incidents(spark, d).select("incident_id", "occurred_at", "latitude", "longitude")
     rows.write.parquet(feed)
@@ -224,7 +233,9 @@ def d10_stream(spark, d):
         F.count_distinct("grid_cell_id").alias("cells_marked"))
     windows = spark.read.schema("grid_cell_id STRING, window_start TIMESTAMP, count BIGINT"
                                 ).parquet(out)
-    return windows.withColumn("cells_marked", touched.scalar())
+    return windows.withColumns({
+        "window_start": F.date_format("window_start", "yyyy-MM-dd"),
+        "cells_marked": touched.scalar()})
 
 
 @query("d11_amenity_freshness", f"""
@@ -342,11 +353,16 @@ def d17(spark, d):
     return grid.select("crime_category", "i", "j", F.round("density", 6).alias("density"))
 
 
-@query("d18_decayed_hotspots")
+VIEWS["decayed"] = hotspot_view(f"sum({_DECAY})", 100)
+NEEDS["decayed"] = ["raw", "typed", "inc"]
+
+
+@query("d18_decayed_hotspots", sql("decayed", """
+SELECT cluster, count(*) AS spots, CAST(sum(w) AS BIGINT) AS tenths
+FROM lab JOIN spots ON lab.id = spots.id GROUP BY 1"""))
 def d18(spark, d):
-    """Hotspots where an old incident counts for less."""
-    df = fx.incidents(spark, d).withColumn(
-        "decay", risk.decay_tenths(F.col("occurred_at"), AS_OF) / F.lit(10.0))
-    spots = H.density_clusters(df, H.sphere_for(df, 0.5), 10, weight="decay")
+    """Hotspots where an old incident counts for less; weights in whole tenths."""
+    df = fx.incidents(spark, d).withColumn("decay", risk.decay_tenths(F.col("occurred_at"), AS_OF))
+    spots = H.density_clusters(df, H.sphere_for(df, 0.5), 100, weight="decay")
     return spots.groupBy("cluster").agg(
-        F.count("*").alias("spots"), F.round(F.sum("w"), 3).alias("weight"))
+        F.count("*").alias("spots"), F.sum("w").alias("tenths"))

@@ -94,7 +94,7 @@ def test_saved_zone_model(spark, tmp_path):
 def test_demographic_zones_need_a_thousand_rows(spark):
     _, _, df = blobs(spark)
     assert zones.fit_demographic_zones(df) is None
-    many = df.crossJoin(spark.range(5).withColumnRenamed("id", "copy"))
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5))))
     model = zones.fit_demographic_zones(many, k=4, n_init=1)
     assert zones.assign(model, many).select("zone").distinct().count() == 4
 

@@ -5,44 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
-STEPS = 4
+HOPS = 2
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) for nodes(node) and edges(a, b); the root is the smallest node reached.
 
-    Each round every node moves to its smallest neighbour, four steps at a time. Edges are moved
-    along and those inside one node disappear. Long chains shrink at least fourfold a round, so a
-    few rounds are enough. Every round's tables are written to the shared folder, which keeps plans
-    short and survives lost executors.
+    Each round deals the live nodes a random order and hooks every node to its first neighbour in
+    that order, if it comes before the node itself. Paths of hooks are short under a random order;
+    `HOPS` squarings of the hook table follow them, edges are moved along, and edges inside one node
+    disappear. Of the nodes of a chain a third stay at most, so the rounds grow with the logarithm of
+    the graph's size, whatever its shape; there is no limit to them. The tables of a round are stored
+    and removed when the next one is there. Nodes without edges are their own root; edges to nodes
+    that are not in `nodes` still connect.
     """
-    live = stored(edges.select("a", "b").filter("a <> b").distinct())
+    return settle(nodes, edges)[0]
+
+
+def settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """The components, and how many rounds it took."""
+    live = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                  .filter("a <> b").distinct())
     moves = []
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        once = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("to")))
-        step = once
-        for _ in range(STEPS - 1):
-            step = step.join(_renamed(once, "to", "further"), "to").select(
+    while not live.isEmpty():
+        hooks = _hooks(live, len(moves))
+        for _ in range(HOPS):
+            # A root hooks to itself, so the table squared is the path of twice the length.
+            hooks = hooks.join(_renamed(hooks, "to", "further"), "to").select(
                 "node", F.col("further").alias("to"))
-        step = stored(step)
-        moves.append(step)
-        live = stored(
-            live.join(_renamed(step, "a", "x"), "a").join(_renamed(step, "b", "y"), "b")
+        moved = stored(hooks)
+        moves.append(moved)
+        following = stored(
+            live.join(_renamed(moved, "a", "x"), "a").join(_renamed(moved, "b", "y"), "b")
             .filter("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    out = nodes.select("node", F.col("node").alias("root"))
-    for step in moves:
-        out = out.join(_renamed(step, "root", "next"), "root", "left").select(
-            "node", F.coalesce("next", "root").alias("root"))
-    return out
+        discard(live)
+        live = following
+    rounds = len(moves)
+    if not moves:
+        return nodes.select("node", F.col("node").alias("root")), rounds
+    whole = moves.pop()
+    while moves:
+        step = moves.pop()
+        whole = step.join(_renamed(whole, "to", "further"), "to", "left").select(
+            "node", F.coalesce("further", "to").alias("to"))
+    whole = stored(whole)
+    first = whole.groupBy("to").agg(F.min("node").alias("root"))
+    roots = stored(whole.join(first, "to").select("node", "root"))
+    return nodes.select("node").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root")), rounds
+
+
+def _hooks(live: DataFrame, turn: int) -> DataFrame:
+    """(node, to): the first neighbour in this round's order, or the node itself if that is first."""
+    both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def place(c):
+        return F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
+
+    first = both.groupBy("a").agg(F.min(place("b")).alias("m"))
+    return stored(first.select(F.col("a").alias("node"),
+                               F.least(place("a"), F.col("m"))["id"].alias("to")))
 
 
 def _renamed(step: DataFrame, key: str, value: str) -> DataFrame:

@@ -62,4 +62,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_folder(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later action reads; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

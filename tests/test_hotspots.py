@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from incidentlens.functions import rules
 from incidentlens.operators import hotspots as H
-from incidentlens.operators.components import connected_components
+from incidentlens.operators.components import connected_components, settle
 
 
 def cloud(seed, n=260):
@@ -111,3 +111,12 @@ def test_components(spark, kind):
     table = spark.createDataFrame(edges, "a BIGINT, b BIGINT")
     got = {r.node: r.root for r in connected_components(nodes, table).collect()}
     assert [got[i] for i in range(n)] == roots(n, edges)
+
+
+def test_components_of_a_long_chain_settle_in_few_rounds(spark):
+    n = 10_000
+    nodes = spark.range(n + 1).select(F.col("id").alias("node"))
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out, rounds = settle(nodes, chain)
+    assert rounds <= 20
+    assert {r.root: r["count"] for r in out.groupBy("root").count().collect()} == {0: n, n: 1}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,16 @@ def build_session(cpus: int | str = "*", memory: str = "8g", **extra: str) -> Sp
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that results depend on (time zone) or that skew handling needs."""
+    """Settings that results depend on (time zone) or that skew handling needs.
+
+    Python workers get this package's folder on their path; on a cluster it has to be installed there
+    or sent along with --py-files.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    home, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(filter(None, [home, known.get("PYTHONPATH", "")]))
     return spark
 
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, line_frequency, packing, sharding
+from . import decontaminate, line_frequency, packing, sharding, simhash_trees, substring_dedup
 
 QUERIES = {}
 CHECKS = {}
@@ -38,6 +38,27 @@ def checks():
     return dict(CHECKS)
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT gram, min(doc_id) AS m FROM g GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (gram) WHERE m < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark, read):
+    return substring_dedup.remove_repeats(read("documents"), with_text=False).drop("kept")
+
+
 @query("op2_best_fit_packing")
 def op2(spark, read):
     return packing.pack_documents(read("documents"))
@@ -108,3 +129,9 @@ def op8(spark, read):
     out = sharding.shard_documents(read("documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_simhash_components")
+def op9(spark, read):
+    out = simhash_trees.components(read("documents"))
+    return out.select("doc_id", simhash_trees.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")

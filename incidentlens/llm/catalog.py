@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, line_frequency, packing, sharding, simhash_trees, substring_dedup
+from . import (decontaminate, language_mixture, line_frequency, packing, quality_rules, sharding,
+               simhash_trees, substring_dedup)
 
 QUERIES = {}
 CHECKS = {}
@@ -64,6 +65,15 @@ def op2(spark, read):
     return packing.pack_documents(read("documents"))
 
 
+@query("op3_language_mixture")
+def op3(spark, read):
+    docs = read("documents")
+    remainder = language_mixture.remainder("doc_id", 4)
+    model = language_mixture.learn(docs.filter(remainder != 2))
+    return language_mixture.predict(docs, model).select(
+        "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 OP5_SQL = rf"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
@@ -135,3 +145,10 @@ def op8(spark, read):
 def op9(spark, read):
     out = simhash_trees.components(read("documents"))
     return out.select("doc_id", simhash_trees.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op10_quality_rules")
+def op10(spark, read):
+    remainder = language_mixture.remainder("doc_id", 5)
+    out = quality_rules.score_documents(read("documents"), read("labels"), remainder != 0)
+    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")

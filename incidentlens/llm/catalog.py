@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (decontaminate, language_mixture, line_frequency, packing, quality_rules, sharding,
-               simhash_trees, substring_dedup)
+from . import (decontaminate, language_mixture, line_frequency, packing, projection_forest, quality_rules,
+               sharding, simhash_trees, substring_dedup)
 
 QUERIES = {}
 CHECKS = {}
@@ -74,6 +74,12 @@ def op3(spark, read):
         "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
+@query("op4_projection_forest")
+def op4(spark, read):
+    vectors = read("embeddings")
+    return projection_forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 OP5_SQL = rf"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,

@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (decontaminate, language_mixture, line_frequency, packing, projection_forest, quality_rules,
-               sharding, simhash_trees, substring_dedup)
+from . import (attention_lm, decontaminate, language_mixture, line_frequency, packing, projection_forest,
+               quality_rules, sharding, simhash_trees, substring_dedup)
 
 QUERIES = {}
 CHECKS = {}
@@ -16,13 +16,23 @@ CHECKS = {}
 BATCH_ROWS = "1000"
 
 
+class Tables:
+    """Reads the given tables by name."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, table):
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+
+
 def query(name: str, check: str | None = None):
     def add(function):
         @functools.wraps(function)
         def prepared(spark, folder):
             prepare(spark)
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-            return function(spark, lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
+            return function(spark, Tables(spark, folder))
 
         QUERIES[name] = prepared
         if check is not None:
@@ -112,6 +122,14 @@ def op5(spark, read):
     return out.select("page_id", "host", "n_lines", "n_removed", "text")
 
 
+@query("op6_attention_lm")
+def op6(spark, read):
+    remainder = language_mixture.remainder("doc_id", 7)
+    out = attention_lm.score_documents(read("documents"), remainder != 2)
+    return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -158,3 +176,10 @@ def op10(spark, read):
     remainder = language_mixture.remainder("doc_id", 5)
     out = quality_rules.score_documents(read("documents"), read("labels"), remainder != 0)
     return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("pipeline")
+def pipeline(spark, read):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, read.folder)

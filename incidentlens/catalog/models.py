@@ -284,6 +284,19 @@ def m14(spark, d):
         F.round("density", 6).alias("density"), "classification")
 
 
+_ONE = "latitude BETWEEN 40.547 AND 40.553 AND longitude BETWEEN -74.153 AND -74.147"
+
+
+@query("m14_density_of_one_cluster", sql("inc", f"""@
+one AS (SELECT * FROM inc WHERE {_ONE}),{_GRID.replace("FROM inc", "FROM one")}
+SELECT i, j, round(density, 6) AS density, density > 0 AS reached, classification FROM grid"""))
+def m14_far(spark, d):
+    """One small cluster in the city's box: most nodes are far from every incident."""
+    grid = D.density_grid(fx.incidents(spark, d).filter(_ONE))
+    return grid.select("i", "j", F.round("density", 6).alias("density"),
+                       (F.col("density") > 0).alias("reached"), "classification")
+
+
 _L_KM = haversine("loc.lat", "loc.lon", "y", "x")
 
 

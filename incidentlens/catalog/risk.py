@@ -345,12 +345,17 @@ _K = f"sum(n * exp(power({haversine('lat', 'lon', 'y', 'x')}, 2) / (-2 * power(1
     "s AS (SELECT crime_category, latitude AS y, longitude AS x, count(*) AS n FROM inc "
     "GROUP BY 1, 2, 3)")},
 k AS (SELECT crime_category, i, j, {_K} AS kernel FROM node JOIN s ON true GROUP BY 1, 2, 3),
-c AS (SELECT crime_category, count(*) AS total FROM inc GROUP BY 1)
-SELECT crime_category, i, j, round(kernel * (total / sum(kernel) OVER (PARTITION BY
-  crime_category)) * (2500 / 783.8::DOUBLE), 6) AS density FROM k JOIN c USING (crime_category)"""))
+c AS (SELECT crime_category, count(*) AS total FROM inc GROUP BY 1),
+dens AS (SELECT crime_category, i, j, kernel * (total / sum(kernel) OVER (PARTITION BY
+  crime_category)) * (2500 / 783.8::DOUBLE) AS density FROM k JOIN c USING (crime_category)),
+lim AS (SELECT crime_category, quantile_cont(density, 0.33) AS low_max, quantile_cont(density, 0.67)
+  AS medium_max FROM dens GROUP BY 1)
+SELECT crime_category, i, j, round(density, 6) AS density, CASE WHEN density <= low_max THEN 'Low'
+  WHEN density <= medium_max THEN 'Medium' ELSE 'High' END AS classification
+FROM dens JOIN lim USING (crime_category)"""))
 def d17(spark, d):
     grid = D.density_grid(fx.incidents(spark, d), by=["crime_category"])
-    return grid.select("crime_category", "i", "j", F.round("density", 6).alias("density"))
+    return grid.select("crime_category", "i", "j", F.round("density", 6).alias("density"), "classification")
 
 
 VIEWS["decayed"] = hotspot_view(f"sum({_DECAY})", 100)

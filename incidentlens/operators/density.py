@@ -1,8 +1,12 @@
 """Kernel density on a grid and at locations, and its classes.
 
-A spot only adds to grid nodes within nine bandwidths, where a kernel has fallen to 3e-18 of its
-peak. The nodes a spot reaches follow from its coordinates by arithmetic, so there is no join: each
-task explodes its spots to nodes, adds up at most one row per node, and only those sums are shuffled.
+No kernel term that counts is left out. Beyond `UNDERFLOW` bandwidths a term is exactly zero in double
+precision. Within that, a node whose nearest spot is at distance d needs the spots up to
+sqrt(d^2 + 2 h^2 (40 + ln n)) only: all others together are below double precision of the nearest one's
+term, however far out the node is. That nearest distance is bounded through cells of spots. The nodes
+that a cell reaches follow from its coordinates by arithmetic, so nodes are never joined with spots:
+each task explodes its spots to their cell's nodes, adds up at most one row per node, and only those
+sums are shuffled.
 """
 
 from __future__ import annotations
@@ -14,10 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
+from ..session import stored
 from . import stats
-from .distance_join import within_distance
+from .distance_join import CELL, with_cell, with_search_cells
+from .skew import is_small, salted_join
 
-CUTOFF = 9.0
+#: exp(-x^2 / 2) is zero in double precision beyond this.
+UNDERFLOW = 39.0
+#: exp(-DIGITS) is below the last digit of a double.
+DIGITS = 40.0
 
 
 @dataclass(frozen=True)
@@ -45,7 +54,7 @@ class Kernel:
 
     def reach(self, box):
         """Degrees of latitude and longitude beyond which the kernel counts as zero."""
-        cut = CUTOFF * self.degrees
+        cut = UNDERFLOW * self.degrees
         lat_min, lat_max = box[0] - cut, box[1] + cut
         if self.mode == "geodesic":
             smallest = math.cos(math.radians(min(max(abs(lat_min), abs(lat_max)), 89.9)))
@@ -62,24 +71,89 @@ def spot_weights(points: DataFrame, by=(), lat="latitude", lon="longitude") -> D
         F.count("*").alias("n"))
 
 
-def kernel_grid(points: DataFrame, box=None, size: int = 50, kernel: Kernel = Kernel(),
-                by=()) -> DataFrame:
-    """(i, j, lat, lon, kernel sum) for every grid node, per `by` group."""
-    box = box or geo.city_box(rules.DEFAULT_CITY)
+class _Axis:
+    """Evenly spaced values of one axis of the grid."""
+
+    def __init__(self, low: float, high: float, size: int, reach: float):
+        self.low, self.high, self.size, self.reach = low, high, size, reach
+        self.step = (high - low) / (size - 1)
+
+    def cell(self, c: Column) -> Column:
+        """Number of the nearest value, also beyond the ends."""
+        return F.round((c - self.low) / self.step).cast("long")
+
+    def within(self, first: Column, last: Column) -> Column:
+        """Numbers of the values that lie within reach of the range, null if there is none."""
+        a = F.greatest(F.ceil((first - self.reach - self.low) / self.step), F.lit(0))
+        b = F.least(F.floor((last + self.reach - self.low) / self.step), F.lit(self.size - 1))
+        return F.when(a <= b, F.sequence(a, b))
+
+    def value(self, index: Column) -> Column:
+        return geo.linspace(self.low, self.high, self.size, index)
+
+
+def _axes(box, size, kernel):
     lat_min, lat_max, lon_min, lon_max = box
     reach_lat, reach_lon = kernel.reach(box)
-    step_lat, step_lon = (lat_max - lat_min) / (size - 1), (lon_max - lon_min) / (size - 1)
+    return _Axis(lat_min, lat_max, size, reach_lat), _Axis(lon_min, lon_max, size, reach_lon)
+
+
+def _in_cells(spots: DataFrame, axes) -> DataFrame:
+    return spots.withColumns({"ci": axes[0].cell(F.col("plat")), "cj": axes[1].cell(F.col("plon"))})
+
 
-    def nodes(c, low, step, reach):
-        first = F.greatest(F.ceil((c - reach - low) / step), F.lit(0))
-        last = F.least(F.floor((c + reach - low) / step), F.lit(size - 1))
-        return F.when(first <= last, F.sequence(first, last))
+def _node_cells(spots: DataFrame, by, axes) -> DataFrame:
+    """(by, ci, cj, i, j, near, far, total): the cells that may reach a node, with bounds of the
+    distance to their spots and the group's number of incidents."""
+    cells = _in_cells(spots, axes).groupBy(*by, "ci", "cj").agg(
+        F.min("plat").alias("a"), F.max("plat").alias("b"), F.min("plon").alias("c"),
+        F.max("plon").alias("d"), F.sum("n").alias("n"))
+    pairs = (cells.withColumn("i", F.explode(axes[0].within(F.col("a"), F.col("b"))))
+             .withColumn("j", F.explode(axes[1].within(F.col("c"), F.col("d")))))
+    near, far = geo.box_distance_bounds(
+        axes[0].value(F.col("i")), axes[1].value(F.col("j")), [F.col(x) for x in "abcd"])
+    return pairs.withColumns({"near": near, "far": far}).drop("a", "b", "c", "d")
 
+
+def _limits(pairs: DataFrame, by) -> DataFrame:
+    """(by, i, j, nearest, total): an upper bound of each node's nearest distance."""
+    return pairs.groupBy(*by, "i", "j").agg(F.min("far").alias("nearest"), F.sum("n").alias("total"))
+
+
+def _reach(nearest: Column, total: Column, bandwidth: float) -> Column:
+    """How far spots can count, given the nearest one's distance and how many there are."""
+    return F.sqrt(nearest * nearest + 2 * bandwidth ** 2 * (DIGITS + F.log(F.greatest(total, F.lit(1.0)))))
+
+
+def _hits(spots: DataFrame, by, axes, kernel: Kernel) -> DataFrame:
+    """A row per spot and node that it counts at."""
+    if kernel.mode != "geodesic":
+        # The bounds of boxes hold on the sphere only; here every node in reach is taken.
+        return (spots.withColumn("i", F.explode(axes[0].within(F.col("plat"), F.col("plat"))))
+                .withColumn("j", F.explode(axes[1].within(F.col("plon"), F.col("plon")))))
+    pairs = _node_cells(spots, by, axes)
+    limits = _limits(pairs, by)
+    # At most one row per node and group, so the join's other side is what is long.
+    reached = pairs.drop("n").join(limits, [*by, "i", "j"]).filter(
+        F.col("near") <= _reach(F.col("nearest"), F.col("total"), kernel.bandwidth) * (1 + 1e-9))
+    # A cell's nodes are at most the grid's.
+    nodes = stored(reached.groupBy(*by, "ci", "cj").agg(F.collect_list(F.struct("i", "j")).alias("nodes")))
+    keys = [*by, "ci", "cj"]
+    placed = _in_cells(spots, axes)
+    joined = (placed.join(F.broadcast(nodes), keys) if is_small(nodes, 2_000)
+              else salted_join(placed, nodes, keys, ["plat", "plon"]))
+    return joined.withColumn("node", F.explode("nodes")).select(
+        *by, "plat", "plon", "n", "node.i", "node.j")
+
+
+def kernel_grid(points: DataFrame, box=None, size: int = 50, kernel: Kernel = Kernel(),
+                by=()) -> DataFrame:
+    """(i, j, lat, lon, kernel sum) for every grid node, per `by` group."""
+    box, by = box or geo.city_box(rules.DEFAULT_CITY), list(by)
+    axes = _axes(box, size, kernel)
     spots = spot_weights(points, by)
-    hits = (spots.withColumn("i", F.explode(nodes(F.col("plat"), lat_min, step_lat, reach_lat)))
-            .withColumn("j", F.explode(nodes(F.col("plon"), lon_min, step_lon, reach_lon)))
-            .withColumn("lat", geo.linspace(lat_min, lat_max, size, F.col("i")))
-            .withColumn("lon", geo.linspace(lon_min, lon_max, size, F.col("j"))))
+    hits = _hits(spots, by, axes, kernel).withColumns(
+        {"lat": axes[0].value(F.col("i")), "lon": axes[1].value(F.col("j"))})
     value = kernel.value(kernel.distance(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
     sums = hits.groupBy("i", "j", *by).agg(F.sum(F.col("n") * value).alias("kernel"))
     full = grid_nodes(points.sparkSession, box, size)
@@ -90,8 +164,7 @@ def kernel_grid(points: DataFrame, box=None, size: int = 50, kernel: Kernel = Ke
         full = (groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
                 .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
                 .withColumns({"i": i.cast("long"), "j": j.cast("long")})
-                .withColumns({"lat": geo.linspace(lat_min, lat_max, size, i),
-                              "lon": geo.linspace(lon_min, lon_max, size, j)}))
+                .withColumns({"lat": axes[0].value(i), "lon": axes[1].value(j)}))
     return full.join(sums, ["i", "j", *by], "left").withColumn(
         "kernel", F.coalesce("kernel", F.lit(0.0)))
 
@@ -158,11 +231,28 @@ def density_at(locations: DataFrame, points: DataFrame, grid: DataFrame,
     """Density, class and percentile in the grid of each location, on the grid's own scale."""
     if kernel.mode != "geodesic":
         raise ValueError("locations are only evaluated with the geodesic kernel")
-    places = locations.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
-    pairs = within_distance(places, spot_weights(points), CUTOFF * kernel.bandwidth, "_lat",
-                            "_lon", "plat", "plon")
-    sums = pairs.groupBy("_lat", "_lon").agg(
-        F.sum(F.col("n") * kernel.value(F.col("distance"))).alias("_kernel"))
+    box = geo.city_box(rules.DEFAULT_CITY)
+    axes = _axes(box, 50, kernel)
+    spots = spot_weights(points)
+    places = locations.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct().filter(
+        F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
+    # Through its nearest node a location is not farther from a spot than this.
+    node = [F.greatest(F.lit(0), F.least(a.cell(F.col(c)), F.lit(a.size - 1))).cast("long")
+            for a, c in zip(axes, ("_lat", "_lon"), strict=True)]
+    limits = _limits(_node_cells(spots, [], axes), [])
+    there = places.withColumns({"i": node[0], "j": node[1]}).join(F.broadcast(limits), ["i", "j"])
+    detour = geo.haversine_km(F.col("_lat"), F.col("_lon"), axes[0].value(F.col("i")), axes[1].value(F.col("j")))
+    total = spots.agg(F.sum("n")).scalar()
+    there = there.withColumn("_km", F.least(F.lit(UNDERFLOW * kernel.bandwidth), _reach(
+        F.col("nearest") + detour, total, kernel.bandwidth))).select("_lat", "_lon", "_km")
+    cells = geo.CellGrid(4 * kernel.bandwidth)
+    search = stored(with_search_cells(there, cells, F.col("_km"), "_lat", "_lon"))
+    near = with_cell(spots, cells, "plat", "plon")
+    pairs = near.join(F.broadcast(search), CELL) if is_small(search, 200_000) else salted_join(
+        near, search, CELL, ["plat", "plon"])
+    distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("plat"), F.col("plon"))
+    sums = pairs.withColumn("distance", distance).filter(F.col("distance") <= F.col("_km")).groupBy(
+        "_lat", "_lon").agg(F.sum(F.col("n") * kernel.value(F.col("distance"))).alias("_kernel"))
     scale = grid.agg((F.sum("density") / F.sum("kernel")).alias("s")).scalar()
     values = grid.agg(F.sort_array(F.collect_list("density"))).scalar()
     limits = thresholds(grid)

@@ -79,8 +79,7 @@ def fit_tree(unit: np.ndarray, leaf: int, rng) -> Tree:
         return at
 
     build(np.arange(len(unit)))
-    width = unit.shape[1] if unit.ndim == 2 else 0
-    return Tree(np.array(normals).reshape(-1, width), np.array(offsets),
+    return Tree(np.array(normals).reshape(len(normals), unit.shape[1]), np.array(offsets),
                 np.array(children, np.int64).reshape(-1, 2), n_leaves)
 
 

@@ -38,10 +38,14 @@ def test_plan_places_every_piece(seed):
         for n, t in held:
             used[n] = used.get(n, 0) + count * t
     assert used == histogram
-    total = sum(n * c for n, c in histogram.items())
-    lower = max(-(-total // capacity), sum(c for n, c in histogram.items() if 2 * n > capacity),
-                -(-sum(c for n, c in histogram.items() if 3 * n > capacity) // 2))
-    assert sum(c for c, _ in groups) <= 1.25 * lower + 1
+    rooms = []  # first fit decreasing, piece by piece
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        at = next((i for i, room in enumerate(rooms) if room >= n), None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    assert sum(c for c, _ in groups) <= 1.03 * len(rooms) + 1
 
 
 def test_large_pieces_are_matched_as_well_as_possible():

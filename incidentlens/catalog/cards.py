@@ -434,7 +434,7 @@ def _report_sql():
         "substr(peak, 2) || ' (' || CAST(round_even(m * 100::DOUBLE / total, 0) AS BIGINT) || "
         "'% of crimes)' ELSE '' END",
         _text(nl + t["amenities"]),
-        f"{_text(nl + t['amenity_total'])} || coalesce(nearby_count, 0)",
+        f"{_text(nl + t['amenity_total'].format(km=3))} || coalesce(nearby_count, 0)",
         f"CASE WHEN nearby_count > 0 THEN {_text(nl + t['amenity_types'])} || (SELECT string_agg("
         f"{_text(nl + '  - ')} || upper(left(type, 1)) || lower(substr(type, 2)) || ': ' || c, '' "
         "ORDER BY c DESC, type) FROM kinds WHERE kinds.loc_id = x.loc_id) ELSE '' END",
@@ -463,19 +463,25 @@ def r15(spark, d):
     return df.select("loc_id", T.safety_report(
         F.col("safety_score"), F.col("message"), T.before_comma(F.col("message")),
         F.col("common_crimes"), F.col("nearby_crime_count"), F.col("crime_types"), F.col("peak"),
-        F.col("nearby_count"), kinds).alias("report"))
+        F.col("nearby_count"), kinds, amenity_km=3.0).alias("report"))
 
 
 @query("r15_full_answers")
 def r15_full(spark, d):
-    """From request text to answer: coordinates by gazetteer, full card, report and group advice."""
+    """From request text to answer: coordinates by gazetteer, full card, report and group advice.
+
+    A request whose place is not found is answered too, with a status that says so.
+    """
     asked = fx.requests(spark, d)
-    found = places.coordinates_of(asked, fx.gazetteer(spark, d)).filter("lat IS NOT NULL")
-    where = stored(found.join(asked, "loc_id").select(
+    found = stored(places.coordinates_of(asked, fx.gazetteer(spark, d)))
+    where = stored(found.filter("lat IS NOT NULL").join(asked, "loc_id").select(
         "loc_id", "lat", "lon", "city", "message", "group_text",
         T.before_comma(F.col("message")).alias("amenity_type"),
         F.lit(rules.DEFAULT_GROUP).alias("demographic_group")))
     cards = card.safety_cards(where, fx.incidents(spark, d), fx.amenities(spark, d),
                               models(spark, d), now=NOW)
-    return card.with_reports(cards).select(
-        "loc_id", "lat", "lon", "city", "safety_score", "safety_level", "report")
+    answers = card.with_reports(cards).select("loc_id", "safety_score", "safety_level", "report")
+    return found.join(answers, "loc_id", "left").select(
+        "loc_id", "lat", "lon", "city", "safety_score", "safety_level", "report",
+        F.when(F.col("lat").isNotNull(), rules.ANSWER_STATUS["found"]).otherwise(
+            rules.ANSWER_STATUS["not_found"]).alias("status"))

@@ -309,13 +309,11 @@ s AS (SELECT zone, CAST(sum({severity_points('crime_type')}) AS BIGINT) AS v FRO
 SELECT a.zone, a.v AS severity, round(count(*) FILTER (b.v < a.v) * 100::DOUBLE / count(*), 6)
   AS percentile FROM s a JOIN s b ON true GROUP BY 1, 2"""))
 def a19(spark, d):
-    """Each zone's total severity against all zones: a bounded number of squares."""
+    """Each zone's total severity against all zones."""
     totals = zoned(spark, d).groupBy("zone").agg(
         F.sum(C.severity_points(F.col("crime_type"))).alias("severity"))
-    values = totals.agg(F.sort_array(F.collect_list("severity"))).scalar()
-    return totals.withColumn("_all", values).select(
-        "zone", "severity",
-        F.round(stats.percentile_rank(F.col("severity"), F.col("_all")), 6).alias("percentile"))
+    return stats.share_below(totals, "severity", "percentile").withColumn(
+        "percentile", F.round("percentile", 6))
 
 
 @query("a20_crosstab", sql("inc", """
@@ -414,7 +412,8 @@ def w9(spark, d):
     return counts.select(kind.alias("kind"), F.to_json(F.struct("value", "count")).alias("record"))
 
 
-@query("r5_heat_points")
+@query("r5_heat_points", sql("inc", """
+SELECT incident_id, latitude, longitude, severity_weight AS weight FROM inc"""))
 def r5(spark, d):
     return layers.heat_points(fx.incidents(spark, d))
 

@@ -209,6 +209,7 @@ GROUP_COUNT_PATTERNS = [
 ]
 
 # --- fixed values: sentences of the text report ---------------------------------------------
+ANSWER_STATUS = {"found": "ok", "not_found": "Invalid location"}
 REPORT_TEXT = {
     "title": "📍 SAFETY ANALYSIS",
     "location": "Location: ",
@@ -218,7 +219,7 @@ REPORT_TEXT = {
     "nearby_total": "Total Nearby Crimes: ",
     "peak": "\n⏰ HIGHEST RISK TIME: ",
     "amenities": "\nNEARBY AMENITIES",
-    "amenity_total": "Total amenities within 1 km: ",
+    "amenity_total": "Total amenities within {km} km: ",
     "amenity_types": "Amenities by type:",
     "group": "\n👥 FOR ",
     "concerns": "⚠️ Specific Concerns:",

@@ -164,9 +164,11 @@ def _capitalised(c: Column) -> Column:
 def safety_report(score: Column, address: Column, amenity: Column, top: Column,
                   nearby: Column, offenses: Column, peak: Column | None = None,
                   amenity_count: Column | None = None,
-                  amenity_types: Column | None = None) -> Column:
+                  amenity_types: Column | None = None,
+                  amenity_km: float = rules.AMENITY_RADIUS_KM) -> Column:
     """Text report of a location; sections without data are left out.
 
+    `amenity_km` is the radius within which amenities were counted.
     `top`, `offenses` and `amenity_types` are arrays of (value, count); `peak` is (bucket, percent).
     """
     t = rules.REPORT_TEXT
@@ -191,7 +193,8 @@ def safety_report(score: Column, address: Column, amenity: Column, top: Column,
             F.lit("  - "), _capitalised(x["value"]), F.lit(": "), x["count"].cast("string")))
         parts += [
             F.array(F.lit(t["amenities"]),
-                    F.concat(F.lit(t["amenity_total"]), amenity_count.cast("string"))),
+                    F.concat(F.lit(t["amenity_total"].format(km=f"{amenity_km:g}")),
+                             amenity_count.cast("string"))),
             _when(F.size(amenity_types) > 0, _lines(t["amenity_types"], kinds))]
     context = amenity_context(amenity)
     related = relevant_offenses(context["concerns"], offenses)

@@ -6,6 +6,8 @@ join. Which side is copied to neighbouring cells is always the locations side.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from .skew import SMALL_ROWS, is_small, salted_join
 
 CELL = ["_row", "_col"]
 MAX_DIRECT_PAIRS = 200_000_000
+SMALL_SEARCH = 400_000
 
 
 def with_cell(points: DataFrame, grid: geo.CellGrid, lat="latitude", lon="longitude") -> DataFrame:
@@ -42,7 +45,7 @@ def within_distance(locations: DataFrame, points: DataFrame, km: float, lat="lat
     near = with_cell(points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()),
                      grid, point_lat, point_lon)
     search = with_search_cells(locations, grid, km, lat, lon)
-    if is_small(locations, small_rows):
+    if is_small(locations, small_rows) and is_small(search, 10 * small_rows):
         pairs = near.join(F.broadcast(search), CELL)
     else:
         pairs = salted_join(near, search, CELL)
@@ -65,7 +68,7 @@ def within_box(locations: DataFrame, points: DataFrame, degrees: float, lat="lat
     near = points.withColumns({"_row": key(F.col(point_lat)), "_col": key(F.col(point_lon))})
     search = (locations.withColumn("_row", F.explode(reach(F.col(lat))))
               .withColumn("_col", F.explode(reach(F.col(lon)))))
-    if is_small(locations, small_rows):
+    if is_small(locations, small_rows) and is_small(search, 10 * small_rows):
         pairs = near.join(F.broadcast(search), CELL)
     else:
         pairs = salted_join(near, search, CELL)
@@ -74,6 +77,20 @@ def within_box(locations: DataFrame, points: DataFrame, degrees: float, lat="lat
         & F.col(point_lon).between(F.col(lon) - degrees, F.col(lon) + degrees))
 
 
+def _around(places: DataFrame, km: float, point_lat, point_lon):
+    """Condition that a point lies in the box of all places, widened by `km`: a filter of plain
+    comparisons that reaches the scan, worth a pass over the places when they are in one region."""
+    d = geo.degrees_north(km) * 1.01
+    a, b, c, e = places.agg(F.min("_lat"), F.max("_lat"), F.min("_lon"), F.max("_lon")).first()
+    if a is None:
+        return F.lit(False)
+    far = max(abs(a), abs(b)) + d
+    if far >= 89.0:
+        return F.col(point_lat).between(a - d, b + d) & F.col(point_lon).isNotNull()
+    w = d / math.cos(math.radians(far))
+    return F.col(point_lat).between(a - d, b + d) & F.col(point_lon).between(c - w, e + w)
+
+
 def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), sums=None,
                   key="loc_id", lat="lat", lon="lon", point_lat="latitude",
                   point_lon="longitude", cells_per_radius: int = 4) -> DataFrame:
@@ -85,30 +102,37 @@ def counts_within(locations: DataFrame, points: DataFrame, km: float, by=(), sum
     Points are first added up per coordinate, and those sums per cell, so a crowded place costs one
     row. A cell that lies wholly inside a circle contributes its sum; only the cells on the rim are
     resolved point by point. Locations at one coordinate are searched once.
-    Locations with nothing in reach are absent.
+    Locations with nothing in reach are absent. The search list is broadcast only if it is short after
+    the explode; otherwise both joins are salted.
     """
     by, sums = list(by), {"n": F.lit(1), **(sums or {})}
     again = [F.sum(name).alias(name) for name in sums]
     grid = geo.CellGrid(km / cells_per_radius)
-    known = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull())
+    places = locations.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
+    known = points.filter(_around(places, km, point_lat, point_lon))
     spots = with_cell(
         known.groupBy(F.col(point_lat).alias("_plat"), F.col(point_lon).alias("_plon"), *by)
         .agg(*[F.sum(c).alias(name) for name, c in sums.items()]), grid, "_plat", "_plon")
     cells = spots.groupBy(*CELL, *by).agg(*again)
 
-    places = locations.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
     search = with_search_cells(places, grid, km, "_lat", "_lon")
     near, far = geo.box_distance_bounds(
         F.col("_lat"), F.col("_lon"), grid.box(F.col("_row"), F.col("_col")))
     slack = 1e-9
-    search = search.select(
+    # Stored: two joins read it, and its length after the explode decides how.
+    search = stored(search.select(
         "_lat", "_lon", *CELL, near.alias("_near"),
-        (far <= km * (1 - slack)).alias("_inside")).filter(F.col("_near") <= km * (1 + slack))
+        (far <= km * (1 - slack)).alias("_inside")).filter(F.col("_near") <= km * (1 + slack)).drop("_near"))
     distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
     out = ["_lat", "_lon", *by, *sums]
-    whole = search.filter("_inside").join(cells, CELL).select(*out)
-    rim = (search.filter(~F.col("_inside")).join(spots, CELL).filter(distance <= km)
-           .select(*out))
+    inside, rim = search.filter("_inside").drop("_inside"), search.filter(~F.col("_inside")).drop("_inside")
+    if is_small(search, SMALL_SEARCH):
+        whole, rim = cells.join(F.broadcast(inside), CELL), spots.join(F.broadcast(rim), CELL)
+    else:
+        # A cell that many locations search, and a cell of many coordinates.
+        whole = salted_join(inside, cells, CELL, ["_lat", "_lon"])
+        rim = salted_join(spots, rim, CELL, ["_plat", "_plon"])
+    whole, rim = whole.select(*out), rim.filter(distance <= km).select(*out)
     found = whole.unionByName(rim).groupBy("_lat", "_lon", *by).agg(*again)
     home = locations.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     return home.join(found, ["_lat", "_lon"]).select(key, *by, *sums)
@@ -129,8 +153,9 @@ def nearest(locations: DataFrame, points: DataFrame, order: str, lat="lat", lon=
         F.col(lat).isNotNull() & F.col(lon).isNotNull())
     distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(point_lat), F.col(point_lon))
     if points.isEmpty():
+        kind = points.select(F.struct(*columns).alias("p")).schema["p"].dataType
         return todo.limit(0).withColumn(
-            "nearest", F.lit(None)).withColumn("distance", F.lit(None).cast("double"))
+            "nearest", F.lit(None).cast(kind)).withColumn("distance", F.lit(None).cast("double"))
     # One row per coordinate: the one that wins ties.
     points = stored(points.groupBy(point_lat, point_lon).agg(
         F.min_by(F.struct(*columns), F.col(order)).alias("_p")).select(

@@ -9,8 +9,8 @@ from .ranking import sample_rows
 from .zones import demographic_zone_table
 
 
-def heat_points(incidents: DataFrame, limit: int | None = 5_000, seed: int = 42) -> DataFrame:
-    """Position and severity of a seeded sample of incidents, or of all (`limit=None`)."""
+def heat_points(incidents: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Position and severity of all incidents, or of a seeded sample of `limit`."""
     rows = incidents if limit is None else sample_rows(incidents, limit, "incident_id", seed)
     return rows.select("incident_id", "latitude", "longitude",
                        F.col("severity_weight").alias("weight"))

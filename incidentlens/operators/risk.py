@@ -196,9 +196,8 @@ def merge_verified(amenities: DataFrame, seen: DataFrame, key: str = "name") ->
 
 def normalise_between_cities(scores: DataFrame, city: str = "city",
                              score: str = "safety_score") -> DataFrame:
-    """Percentile of each score within its city. Scores are rounded to one decimal first."""
-    rounded = scores.withColumn("_score", C.round_half_up(F.col(score), 1))
-    return percent_rank_by(rounded, city, "_score", "percentile").drop("_score")
+    """Percentile of each score within its city."""
+    return percent_rank_by(scores, city, score, "percentile")
 
 
 def layer_counts(layers: dict, digits: int = 2) -> DataFrame:

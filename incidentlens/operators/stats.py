@@ -163,6 +163,13 @@ def percentile_rank(value: Column, ordered: Column) -> Column:
     return F.when(F.size(ordered) > 0, below * 100.0 / F.size(ordered)).otherwise(0.0)
 
 
+def share_below(table: DataFrame, value: str, out: str) -> DataFrame:
+    """Share (in %) of all rows whose value is strictly smaller, for a table of one row per zone."""
+    n = F.count("*").over(Window.partitionBy())
+    rank = F.rank().over(Window.orderBy(value))
+    return table.withColumn(out, (rank - 1) * 100.0 / n)
+
+
 def facets(df: DataFrame, names, keep) -> DataFrame:
     """Long form (`keep` columns, attribute, value), nulls left out."""
     pairs = F.array(*[F.struct(F.lit(n).alias("attribute"),

@@ -246,10 +246,13 @@ def grid_zone(lat: Column, lon: Column, side: float = 0.1) -> Column:
 
 
 def locate(model: PipelineModel, locations: DataFrame, table: DataFrame) -> DataFrame:
-    """Zone of each location with what is known about the zone."""
+    """Zone of each location with what is known about the zone; null without coordinates."""
     moved = locations.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
-    placed = assign(model, moved).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
-    return placed.join(table, "zone", "left")
+    placed = assign(model, moved)
+    lost = moved.filter(F.col("latitude").isNull() | F.col("longitude").isNull()).withColumn(
+        "zone", F.lit(None).cast(placed.schema["zone"].dataType))
+    return placed.unionByName(lost).withColumnsRenamed(
+        {"latitude": "lat", "longitude": "lon"}).join(table, "zone", "left")
 
 
 def fitted(model: PipelineModel, incidents: DataFrame) -> DataFrame:

@@ -376,12 +376,33 @@ def m19(spark, d):
                 E.centroids(inner, "cluster")).scalar(), 3)})
 
 
-@query("m19_cluster_quality")
+_SIL = """
+p AS (SELECT cluster, x, y, count(*) AS w FROM h GROUP BY ALL),
+v AS (SELECT c.cluster, any_value(c.n) AS n, any_value(cx) AS cx, any_value(cy) AS cy,
+  avg(power(x - cx, 2) + power(y - cy, 2)) AS v FROM h JOIN c USING (cluster) GROUP BY 1),
+far AS (SELECT p.cluster, x, y, w, v.cluster AS k, v.n, power(x - cx, 2) + power(y - cy, 2) + v AS d
+  FROM p JOIN v ON true),
+ab AS (SELECT any_value(w) AS w, max(n) FILTER (k = cluster) AS n,
+  max(d * n / (n - 1.0::DOUBLE)) FILTER (k = cluster AND n > 1) AS a, min(d) FILTER (k <> cluster) AS b
+  FROM far GROUP BY cluster, x, y),
+sil AS (SELECT sum(w * CASE WHEN n > 1 THEN coalesce((b - a) / greatest(a, b), 0) ELSE 0 END) / sum(w) AS s
+  FROM ab WHERE b IS NOT NULL)"""
+_CH_QUAD = _CH.replace("FROM hot", "FROM quad")
+
+
+@query("m19_cluster_quality", sql("quad", f"""@{_CH_QUAD},{_SIL}
+SELECT (SELECT count(*) FROM c) AS n_clusters,
+  (SELECT count(*) FROM quad WHERE cluster = -1) AS n_noise_points,
+  round((SELECT s FROM sil), 6) AS silhouette_score,
+  round((SELECT avg(worst) FROM db), 6) AS davies_bouldin_score,
+  round((SELECT sum(sc.n * (power(cx - mx, 2) + power(cy - my, 2))) / (count(*) - 1)
+    / (sum(w) / (any_value(m.n) - count(*))) FROM sc JOIN m ON true), 3)
+    AS calinski_harabasz_score"""))
 def m19_quality(spark, d):
-    df = quadrants(spark, d)
-    squared = E.silhouette_squared(df.filter("cluster <> -1"), "cluster")
-    return E.cluster_quality(df).withColumn(
-        "silhouette_squared", F.lit(squared).cast("double"))
+    return E.cluster_quality(quadrants(spark, d)).withColumns({
+        "silhouette_score": F.round("silhouette_score", 6),
+        "davies_bouldin_score": F.round("davies_bouldin_score", 6),
+        "calinski_harabasz_score": F.round("calinski_harabasz_score", 3)})
 
 
 @query("m20_mean_concentration", sql("zon", f"""@{_PROFILES},
@@ -416,8 +437,23 @@ def m23(spark, d):
         F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "range")], "good_variance")
 
 
-@query("m24_overall_grade")
+def _rating(c, high, low):
+    return f"CASE WHEN {c} > {high} THEN 'EXCELLENT' WHEN {c} > {low} THEN 'GOOD' ELSE 'FAIR' END"
+
+
+@query("m24_overall_grade", sql("quad zon", f"""@{_CH_QUAD},{_SIL},{_PROFILES},
+z AS (SELECT zone, avg(concentration) AS c FROM prof GROUP BY 1),
+conc AS (SELECT count(*) AS n, avg(c) AS c FROM z),
+g AS (SELECT 'DBSCAN Clustering' AS model, {_rating("s", 0.5, 0.25)} AS rating, s AS score FROM sil
+  WHERE s IS NOT NULL UNION ALL
+  SELECT 'Demographic Zones', {_rating("c", 60, 40)}, c / 100::DOUBLE FROM conc WHERE n > 0),
+o AS (SELECT avg(score) AS o FROM g)
+SELECT model, rating, round(score, 6) AS score, round(o, 6) AS overall_score, CASE WHEN o > 0.6
+  THEN 'STRONG' WHEN o > 0.4 THEN 'ACCEPTABLE' ELSE 'NEEDS IMPROVEMENT' END AS verdict
+FROM g JOIN o ON true"""))
 def m24(spark, d):
+    """Grade of the hotspots by quadrant and of the given zones."""
     quality = E.cluster_quality(quadrants(spark, d))
-    share = E.concentration_summary(zones.demographic_profiles(demographic_rows(spark, d)))
-    return E.graded(quality, share)
+    share = E.concentration_summary(zones.demographic_profiles(zoned(spark, d)))
+    return E.graded(quality, share).withColumns({
+        "score": F.round("score", 6), "overall_score": F.round("overall_score", 6)})

@@ -119,7 +119,3 @@ def city_box(city: str):
 def linspace(low: float, high: float, n: int, index: Column) -> Column:
     """Value number `index` of `n` evenly spaced values, ends included."""
     return F.lit(low) + index * F.lit((high - low) / (n - 1))
-
-
-def radians_of(degrees: float) -> float:
-    return math.radians(degrees)

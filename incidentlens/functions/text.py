@@ -22,10 +22,6 @@ def direct_coordinates(text: Column) -> Column:
                   F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def has_coordinates(text: Column) -> Column:
-    return text.rlike(rules.COORDINATE_PATTERN)
-
-
 def without_business_word(text: Column) -> Column:
     words = "|".join(rules.BUSINESS_WORDS)
     return F.regexp_replace(text, rf"(?i)^({words}),\s*", "")

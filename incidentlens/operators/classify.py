@@ -30,7 +30,8 @@ def fit_offense_model(incidents: DataFrame, features=("latitude", "longitude"),
     rows = only_top(incidents.na.drop(subset=[*features, label]), label, top)
     train, test = split_by_hash(rows, key, seed=seed)
     stages = [
-        StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc"),
+        StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc",
+                      handleInvalid="skip"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
     ]
@@ -66,10 +67,12 @@ def tree_importance(incidents: DataFrame, categorical, numeric, label: str = "cr
     """Importance of each feature in a random forest for the label, largest first."""
     rows = incidents.na.drop(subset=[*numeric, label]).fillna("MISSING", list(categorical))
     indexed = [f"{c}_index" for c in categorical]
+    # A tree needs as many bins as the longest list of values.
+    longest = rows.agg(*[F.count_distinct(c) for c in categorical]).first() if categorical else [0]
     stages = [
         StringIndexer(inputCols=[*categorical, label], outputCols=[*indexed, "label"]),
         VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features"),
-        RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=256),
+        RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=max(256, *longest)),
     ]
     model = Pipeline(stages=stages).fit(rows)
     weights = model.stages[-1].featureImportances.toArray()

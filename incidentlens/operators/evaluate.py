@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .ranking import sample_rows
 from .skew import is_small
 
 MAX_LISTED = 2_000
@@ -102,66 +97,45 @@ def _worst_by_rings(scatter: DataFrame, label: str) -> DataFrame:
         radius *= 4
 
 
-def silhouette(df: DataFrame, label: str, key: str, x: str = "longitude", y: str = "latitude",
-               sample: int = 2_000, seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette of a seeded sample of rows against all rows.
+def silhouette(df: DataFrame, label: str, x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """One row: mean silhouette of all rows by squared distances, null below two clusters.
 
-    Exact when the table has at most `sample` rows. The sample is of fixed size; each task adds up
-    distances from it to its own share of the (weighted, distinct) spots, per cluster.
+    The mean squared distance from a point to a cluster is that to its centre plus the cluster's own
+    variance, so every point needs the clusters' centres only; time grows with the different points.
     """
-    chosen = sample_rows(df.select(key, label, x, y), sample, key, seed).select(label, x, y)
-    points = chosen.toPandas()
-    sx, sy = points[x].to_numpy(), points[y].to_numpy()
-    spots = df.groupBy(F.col(label).cast("string").alias("label"), F.col(x).alias("x"),
-                       F.col(y).alias("y")).agg(F.count("*").alias("w"))
-
-    def sums(batches):
-        for batch in batches:
-            for name, part in batch.groupby("label"):
-                px, py, w = (part[c].to_numpy(dtype=float) for c in ("x", "y", "w"))
-                total = np.zeros(len(sx))
-                for start in range(0, len(px), 1_000):
-                    cut = slice(start, start + 1_000)
-                    total += np.hypot(sx[:, None] - px[None, cut],
-                                      sy[:, None] - py[None, cut]) @ w[cut]
-                yield pd.DataFrame({"i": np.arange(len(sx)), "other": name, "d": total,
-                                    "w": w.sum()})
-
-    found = (spots.mapInPandas(sums, "i BIGINT, other STRING, d DOUBLE, w DOUBLE")
-             .groupBy("i", "other").agg(F.sum("d").alias("d"), F.sum("w").alias("w")))
-    labels = df.sparkSession.createDataFrame(
-        pd.DataFrame({"i": range(len(points)), "own": points[label].astype(str)}),
-        "i BIGINT, own STRING")
-    same = F.col("other") == F.col("own")
-    per = found.join(F.broadcast(labels), "i").groupBy("i").agg(
-        F.sum(F.when(same, F.col("d"))).alias("d"), F.sum(F.when(same, F.col("w"))).alias("w"),
-        F.min(F.when(~same, F.col("d") / F.col("w"))).alias("b"))
-    a = F.col("d") / (F.col("w") - 1)
-    value = F.when(F.col("w") > 1, F.coalesce(
-        (F.col("b") - a) / F.greatest(a, F.col("b")), F.lit(0.0))).otherwise(0.0)
-    return per.agg(F.avg(F.when(F.col("b").isNotNull(), value)).alias("silhouette"))
-
-
-def silhouette_squared(df: DataFrame, label: str, x: str = "longitude",
-                       y: str = "latitude") -> float | None:
-    """Silhouette by squared distances over the whole table (linear time)."""
-    if df.select(label).distinct().limit(2).count() < 2:
-        return None
-    rows = VectorAssembler(inputCols=[x, y], outputCol="features").transform(
-        df.groupBy(label, x, y).agg(F.count("*").cast("double").alias("w")))
-    return ClusteringEvaluator(predictionCol=label, featuresCol="features", weightCol="w").evaluate(
-        rows.withColumn(label, F.col(label).cast("double")))
-
-
-def cluster_quality(labelled: DataFrame, label: str = "cluster", key: str = "incident_id",
-                    sample: int = 2_000) -> DataFrame:
+    spots = df.groupBy(F.col(label).alias("c"), F.col(x).alias("x"), F.col(y).alias("y")).agg(
+        F.count("*").alias("w"))
+    centres = spots.groupBy("c").agg(
+        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("cx"),
+        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("cy"))
+
+    def squared(cx, cy):
+        return (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
+
+    inner = spots.join(centres, "c").groupBy("c").agg(
+        F.first("n").alias("n"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
+        (F.sum(F.col("w") * squared(F.col("cx"), F.col("cy"))) / F.first("n")).alias("v"))
+    # One entry per cluster.
+    listed = inner.agg(F.collect_list(F.struct("c", "n", "cx", "cy", "v"))).scalar()
+    ways = F.transform(F.col("all"), lambda k: F.struct(
+        k["c"].alias("c"), k["n"].alias("n"), (squared(k["cx"], k["cy"]) + k["v"]).alias("d")))
+    own = F.get(F.filter("ways", lambda k: k["c"] == F.col("c")), 0)
+    a, b = own["d"] * own["n"] / (own["n"] - 1), F.array_min(
+        F.transform(F.filter("ways", lambda k: k["c"] != F.col("c")), lambda k: k["d"]))
+    value = F.when(own["n"] > 1, F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0))).otherwise(0.0)
+    seen = spots.withColumn("all", listed).withColumn("ways", ways).select(
+        "w", F.when(b.isNotNull(), value).alias("s"))
+    return seen.agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("silhouette"))
+
+
+def cluster_quality(labelled: DataFrame, label: str = "cluster") -> DataFrame:
     """One row: cluster and noise counts and the three separation measures, noise left out."""
     inside = labelled.filter(F.col(label) != -1)
     centres = centroids(inside, label)
     return labelled.agg(
         F.count_distinct(F.when(F.col(label) != -1, F.col(label))).alias("n_clusters"),
         F.count_if(F.col(label) == -1).alias("n_noise_points")).withColumns({
-            "silhouette_score": silhouette(inside, label, key, sample=sample).scalar(),
+            "silhouette_score": silhouette(inside, label).scalar(),
             "davies_bouldin_score": davies_bouldin(inside, label).scalar(),
             "calinski_harabasz_score": calinski_harabasz(centres).scalar()})
 

@@ -72,12 +72,11 @@ def _value_at(counts: DataFrame, rank: int, max_distinct: int) -> float:
         F.min("v")).first()[0]
 
 
-def percent_rank_by(df: DataFrame, group: str, value: str, out: str,
-                    max_values: int = MAX_DISTINCT) -> DataFrame:
-    """`percent_rank()` of a score within its group without sorting the group.
+def percent_rank_by(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """`percent_rank()` of a score within its group without sorting the group's rows.
 
-    Scores are rounded figures with few distinct values, so ranks are running totals over the
-    (group, value) counts and reach the rows by a join on those two columns.
+    Ranks are running totals over the (group, value) counts and reach the rows by a join on those two
+    columns.
     """
     counts = df.groupBy(group, value).agg(F.count("*").alias("_n"))
     ordered = Window.partitionBy(group).orderBy(value)

@@ -40,16 +40,16 @@ def rank_within(df: DataFrame, group, order, out: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
-    """`n` rows without replacement, the same ones for the same seed: those of lowest key hash.
+    """`n` rows without replacement, the same ones for the same seed: those of lowest key hash (MD5, so that
+    any engine can draw the same ones).
 
     On a long table only hashes in the lowest share that should hold 4·n rows are ordered; when
     they turn out too few, all rows are.
     """
-    rank = F.xxhash64(F.col(key), F.lit(seed))
+    rank = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
     total = df.count()
     if total > 100 * n:
-        cut = int(-2 ** 63 + 2 ** 64 * (4 * n / total))
-        low = df.filter(rank < F.lit(cut))
+        low = df.filter(rank < F.lit(f"{int(2 ** 128 * 4 * n / total):032x}"))
         if not is_small(low, n - 1):
             df = low
     return df.orderBy(rank, key).limit(n)

@@ -121,11 +121,6 @@ def shares(df: DataFrame, key, value, above: float = 0.0) -> DataFrame:
             .filter(F.col("share") > above))
 
 
-def time_bucket_counts(hour: str = "hour_of_day"):
-    """Aggregates: one count per time bucket."""
-    return [F.count_if(F.col(hour).between(a, b)).alias(name) for name, a, b in rules.TIME_BUCKETS]
-
-
 def peak_bucket(*counts: Column) -> Column:
     """(bucket, share of all) of the largest bucket, first on ties; null when all are zero."""
     names = [n for n, _, _ in rules.TIME_BUCKETS]
@@ -175,7 +170,3 @@ def facets(df: DataFrame, names, keep) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("attribute"),
                                F.col(n).cast("string").alias("value")) for n in names])
     return df.select(*keep, F.inline(pairs)).filter("value IS NOT NULL")
-
-
-def bucket_of_hour(df: DataFrame) -> DataFrame:
-    return df.withColumn("time_bucket", C.time_bucket(F.col("hour_of_day")))

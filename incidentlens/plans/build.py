@@ -29,10 +29,10 @@ def build_models(incidents: DataFrame, n_init: int = 10, seed: int = 42) -> Mode
         density=stored(density.density_grid(incidents)))
 
 
-def evaluation(incidents: DataFrame, sample: int = 2_000) -> DataFrame:
+def evaluation(incidents: DataFrame) -> DataFrame:
     """Ratings of the hotspot and demographic models, with the overall verdict."""
     labelled = stored(hotspots.label_by_quadrant(incidents))
-    quality = evaluate.cluster_quality(labelled, sample=sample)
+    quality = evaluate.cluster_quality(labelled)
     known = zones.with_demographics(incidents)
     model = zones.fit_demographic_zones(incidents)
     known = (known.limit(0).withColumn("zone", F.lit(None).cast("int")) if model is None

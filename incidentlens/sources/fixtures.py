@@ -83,11 +83,6 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _STORED[key]
 
 
-def forget() -> None:
-    """Build derived tables anew on next use (the bench times them from cold)."""
-    _STORED.clear()
-
-
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned incident table, as the cleaning job would have stored it."""
     return kept(spark, sf_dir, "incidents",

@@ -33,14 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .fm_index import FMIndex
 from .textarrays import NOT_SPACE, Words, chunks, gram_hashes, ranges, utf8, word_hashes, words
 
 WINDOW = 13
 ANCHOR = 4
 HOT_ENTRIES = 20_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Text of one task's step: what it holds twice is settled before anything is sent.
 STEP_BYTES = 8 << 20
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("start", "<u4"), ("n", "<u1")])
@@ -156,12 +156,12 @@ def _meet(hot_entries: int):
     return run
 
 
-SEGMENT = "to int, doc long, mark long, start int, n int, content binary"
+SEGMENT = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<u4"), ("n", "<u1"), ("size", "<u4")])
 
 
 def _cut(n_shards: int, window: int):
     """The words of listed segments, by shard; hot ones window by window. Equal contents of a step go
-    once, the others of them are answered at once (content null)."""
+    once; the others of them are already answered and go without content."""
     def run(batches):
         for table in chunks(batches, "text", STEP_BYTES):
             data, offsets = utf8(table["text"])
@@ -171,36 +171,57 @@ def _cut(n_shards: int, window: int):
             flat = lists.flatten()
             start, n = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
             hot = flat.field(2).to_numpy(zero_copy_only=False)
-            anchor = flat.field(3).to_numpy().view(np.uint64)
             text = np.repeat(np.arange(len(counts)), counts)
             if hot.any():
                 each = np.where(hot, n, 1)
+                n, text, hot = (np.repeat(x, each) for x in (np.where(hot, 1, n), text, hot))
                 start = ranges(start, each)
-                n, text, anchor, hot = (np.repeat(x, each) for x in (np.where(hot, 1, n), text, anchor, hot))
             first = w.first[text] + start
             if not len(first):
                 continue
             hashes = word_hashes(w)
-            key = np.where(hot, gram_hashes(hashes, window)[np.minimum(first, len(hashes) - window)], anchor)
-            to = ((key >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64)
+            grams = gram_hashes(hashes, ANCHOR)
+            key = np.min([grams[first + j] for j in range(window - ANCHOR + 1)], axis=0)
+            key[hot] = gram_hashes(hashes, window)[first[hot]]
             joined, begin, end = _joined(w)
             b, e = begin[first].tolist(), end[first + n + window - 2].tolist()
             content = [joined[i:j] for i, j in zip(b, e, strict=True)]
-            doc = table["doc"].to_numpy()[text]
+            segment = np.empty(len(first), SEGMENT)
+            segment["start"], segment["n"] = start, n
+            segment["doc"], segment["mark"] = table["doc"].to_numpy()[text], table["mark"].to_numpy()[text]
             least: dict[bytes, int] = {}
-            for c, d in zip(content, doc.tolist(), strict=True):
+            for c, d in zip(content, segment["doc"].tolist(), strict=True):
                 if least.setdefault(c, d) > d:
                     least[c] = d
-            # A repeated segment within its own smallest document is cut and answered like the first.
-            own = np.fromiter((least[c] == d for c, d in zip(content, doc.tolist(), strict=True)), bool, len(doc))
-            yield pa.record_batch([
-                pa.array(to, pa.int32()), pa.array(doc), pa.array(table["mark"].to_numpy()[text]),
-                pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                pa.array([c if o else None for c, o in zip(content, own.tolist(), strict=True)], pa.binary())],
-                names=["to", "doc", "mark", "start", "n", "content"])
+            content = [c if least[c] == d else b"" for c, d in zip(content, segment["doc"].tolist(), strict=True)]
+            segment["size"] = [len(c) for c in content]
+            yield _by_shard(segment, content, ((key >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64))
     return run
 
 
+def _by_shard(segment, content, shard):
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    press = zstandard.ZstdCompressor(level=1)
+    blobs = []
+    for part in np.split(order, cuts[1:]):
+        columns = [np.ascontiguousarray(segment[part][name]).tobytes() for name in SEGMENT.names]
+        blobs.append(press.compress(b"".join([np.int64(len(part)).tobytes(), *columns, *[content[i] for i in part.tolist()]])))
+    return pa.record_batch([pa.array(shard[order][cuts], pa.int32()), pa.array(blobs, pa.binary())],
+                           names=["to", "blob"])
+
+
+def _segments(blob: bytes):
+    """Segments of a blob and their contents laid end to end."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = np.empty(int(np.frombuffer(raw, np.int64, 1)[0]), SEGMENT), 8
+    for name in SEGMENT.names:
+        kind = SEGMENT[name]
+        out[name] = np.frombuffer(raw, kind, len(out), at)
+        at += kind.itemsize * len(out)
+    return out, raw[at:]
+
+
 def _joined(w: Words):
     """The words with one space behind each, and where each begins and ends."""
     inside = NOT_SPACE[w.data]
@@ -217,13 +238,16 @@ VERDICT = "doc long, mark long, start int, n int"
 def _search(window: int):
     """Windows to remove, as runs (first window, windows) of each segment."""
     def run(table: pa.Table) -> pa.Table:
-        known = table["content"].is_null().to_numpy(zero_copy_only=False)
-        doc, mark, start, n = (table[c].to_numpy() for c in ("doc", "mark", "start", "n"))
+        segments, raw = zip(*map(_segments, table["blob"].to_pylist()), strict=True)
+        segment = np.concatenate(segments)
+        doc, mark, start, n = (segment[c].astype(np.int64) for c in ("doc", "mark", "start", "n"))
+        size = segment["size"].astype(np.int64)
+        known, rest = np.flatnonzero(size == 0), np.flatnonzero(size)
         out = [(doc[known], mark[known], start[known], n[known])]
-        rest = np.flatnonzero(~known)
         if len(rest):
-            out.append(_search_contents(table["content"].filter(pa.array(~known)), doc[rest], mark[rest],
-                                        start[rest], window))
+            offsets = np.concatenate([[0], np.cumsum(size[rest])])
+            contents = pa.LargeStringArray.from_buffers(len(rest), pa.py_buffer(offsets), pa.py_buffer(b"".join(raw)))
+            out.append(_search_contents(contents, doc[rest], mark[rest], start[rest], window))
         doc, mark, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc": pa.array(doc), "mark": pa.array(mark), "start": pa.array(start, pa.int32()),
                          "n": pa.array(n, pa.int32())})
@@ -231,11 +255,11 @@ def _search(window: int):
 
 
 def _search_contents(contents, doc, mark, start, window):
-    coded = contents.combine_chunks().dictionary_encode()
+    coded = contents.dictionary_encode()
     which = coded.indices.to_numpy().astype(np.int64)
     least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    data, offsets = utf8(coded.dictionary.cast(pa.string()))
+    data, offsets = utf8(coded.dictionary)
     w = words(data, offsets, NOT_SPACE)
     vocabulary, number = np.unique(word_hashes(w), return_inverse=True)
     text = w.text_of()
@@ -267,26 +291,30 @@ def _search_contents(contents, doc, mark, start, window):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """(doc, mark, spans): per document the runs of removed windows as (first word, windows); `mark`
-    is the crc32 of the text, which tells rows of one id apart."""
+    tells rows of one id apart (see `_keyed`)."""
     rows = _keyed(docs, id_col, text_col).filter("doc is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(8, -(-size // SHARD_BYTES))
     sent = rows.mapInArrow(_send(n_shards, window), "to int, kind int, blob binary")
     found = stored(sent.repartition(n_shards, "to").groupBy("to").applyInArrow(_meet(hot_entries), FOUND))
     hot = found.filter("hot").select("anchor", F.lit(True).alias("is_hot"))
-    entries = found.filter("not hot").drop("hot").join(hot, "anchor", "left")
-    lists = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct(
-        "start", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"), "anchor")).alias("list"))
+    entries = found.filter("not hot").drop("hot").join(hot, "anchor", "left").select(
+        "doc", "mark", F.struct("start", "n", F.coalesce("is_hot", F.lit(False)).alias("hot")).alias("one"))
+    lists = entries.groupBy("doc", "mark").agg(F.collect_list("one").alias("list"))
     cut = rows.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "list").mapInArrow(
-        _cut(n_shards, window), SEGMENT)
+        _cut(n_shards, window), "to int, blob binary")
     verdicts = stored(cut.repartition(n_shards, "to").groupBy("to").applyInArrow(_search(window), VERDICT))
+    discard(found)
     return verdicts.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def _keyed(docs, id_col, text_col):
+    """(doc, mark, text): mark is 0, or where ids repeat the text's crc32, which tells their rows apart."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc"))
+    repeats = not ids.filter("doc is not null").groupBy("doc").count().filter("count > 1").isEmpty()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(text.cast("binary")).alias("mark"),
-                       text.alias("text"))
+    mark = F.crc32(text.cast("binary")) if repeats else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), mark.alias("mark"), text.alias("text"))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD_MULTIPLIER = 0xD6E8FEB86659FD93
 
@@ -103,7 +104,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if n <= 2 * CHUNK_BYTES:
+        if n <= 2 * HASH_BYTES:
             _powers.kept = up, down
     return up[:n], down[:n]
 
@@ -122,12 +123,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash per word, the same for equal words everywhere."""
-    if not len(w.start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(w.data) + 1)
-    total = np.zeros(len(w.data) + 1, np.uint64)
-    np.cumsum((w.data.astype(np.uint64) + np.uint64(1)) * up[:len(w.data)], out=total[1:])
-    return mixed((total[w.end] - total[w.start]) * down[w.start])
+    out = np.empty(len(w.start), np.uint64)
+    at = 0
+    while at < len(out):
+        base = w.start[at]
+        upto = max(at + 1, int(np.searchsorted(w.end, base + HASH_BYTES, "right")))
+        data = w.data[base:w.end[upto - 1]]
+        up, down = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
+        start, end = w.start[at:upto] - base, w.end[at:upto] - base
+        out[at:upto] = mixed((total[end] - total[start]) * down[start])
+        at = upto
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

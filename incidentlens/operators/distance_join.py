@@ -194,7 +194,7 @@ def _candidates(todo, points, km, lat, lon, point_lat, point_lon, max_pairs):
         return stored(cells.join(limit, [lat, lon]).filter(F.col("_near") <= F.col("_limit"))
                       .select(lat, lon, *CELL, "_n"))
 
-    side = km / 8
+    side = km / 2
     spots = with_cell(points, geo.CellGrid(side), point_lat, point_lon)
     search = with_search_cells(todo, geo.CellGrid(side), km, lat, lon)
     kept = surviving(search.join(spots.groupBy(*CELL).agg(*bounds), CELL))

@@ -178,6 +178,15 @@ def _closest(items):
         x["type"], F.lit(":"), x["name"], F.lit("@"), x["distance_km"].cast("string"))), "; ")
 
 
+@query("r4_amenity_cards_within_1km", sql("loc am", f"""@{_AM.replace("<= 3", "<= 1")}
+SELECT loc_id, coalesce(nearby_count, 0) AS nearby_count, type_counts, closest
+FROM loc LEFT JOIN acard USING (loc_id)"""))
+def r4_near(spark, d):
+    cards = scoring.amenity_cards(fx.locations(spark, d), fx.amenities(spark, d))
+    return cards.select("loc_id", "nearby_count", as_text(F.col("type_counts"))
+                        .alias("type_counts"), _closest(F.col("closest")).alias("closest"))
+
+
 @query("r4_amenity_cards", sql("loc am", f"""@{_AM}
 SELECT loc_id, coalesce(nearby_count, 0) AS nearby_count, type_counts, closest
 FROM loc LEFT JOIN acard USING (loc_id)"""))

@@ -152,10 +152,20 @@ def g10(spark, d):
         "distance_meters").orderBy("crime_lat", "crime_lon", "distance_meters")
 
 
-@query("g11_three_places_per_type", sql("inc am", f"""
+def _g11_sql(km):
+    return sql("inc am", f"""
 SELECT * FROM (SELECT incident_id, type, name, CAST(row_number() OVER (PARTITION BY incident_id,
   type ORDER BY {half_up(_I_DIST + ' * 1000', 1)}, name) AS INTEGER) AS rank
-  FROM inc JOIN am ON {_near_places(5)}) WHERE rank <= 3"""))
+  FROM inc JOIN am ON {_near_places(km)}) WHERE rank <= 3""")
+
+
+@query("g11_three_places_within_100m", _g11_sql("0.1::DOUBLE"))
+def g11_near(spark, d):
+    return places.nearest_places_per_type(
+        fx.incidents(spark, d), fx.amenities(spark, d), 0.1).select("incident_id", "type", "name", "rank")
+
+
+@query("g11_three_places_per_type", _g11_sql(5))
 def g11(spark, d):
     """5 km instead of 100 m: the test amenities are sparse."""
     return places.nearest_places_per_type(

@@ -225,10 +225,21 @@ top AS (SELECT cluster, avg(latitude) AS lat, avg(longitude) AS lon, count(*) AS
 _TOP_DIST = haversine("top.lat", "top.lon", "am.latitude", "am.longitude")
 
 
-@query("a13_amenities_of_hotspots", sql("am hot", _TOP_HOT + f""",
-n AS (SELECT cluster, type, count(*) AS c FROM top JOIN am ON {_TOP_DIST} <= 2 GROUP BY 1, 2)
+def _a13_sql(km):
+    return sql("am hot", _TOP_HOT + f""",
+n AS (SELECT cluster, type, count(*) AS c FROM top JOIN am ON {_TOP_DIST} <= {km} GROUP BY 1, 2)
 SELECT top.cluster, crime_count, coalesce(j, '{{}}') AS top_amenities FROM top LEFT JOIN
-  (SELECT cluster, {counts_json('type', 'c')} AS j FROM n GROUP BY 1) USING (cluster)"""))
+  (SELECT cluster, {counts_json('type', 'c')} AS j FROM n GROUP BY 1) USING (cluster)""")
+
+
+@query("a13_amenities_within_200m", _a13_sql("0.2::DOUBLE"))
+def a13_near(spark, d):
+    found = places.amenities_of_top_hotspots(
+        H.hotspot_profiles(hotspots(spark, d)), fx.amenities(spark, d), km=0.2)
+    return found.withColumn("top_amenities", F.to_json("top_amenities"))
+
+
+@query("a13_amenities_of_hotspots", _a13_sql(2))
 def a13(spark, d):
     """2 km instead of 200 m: the test amenities are sparse."""
     found = places.amenities_of_top_hotspots(

@@ -271,7 +271,7 @@ def label_incidents(incidents: DataFrame, eps_km: float = 0.5, min_points: int =
     spots = density_clusters(incidents, sphere_for(incidents, eps_km), min_points)
     labels = spots.select(F.col("x").alias("longitude"), F.col("y").alias("latitude"), "cluster",
                           "core")
-    return incidents.join(labels, ["latitude", "longitude"])
+    return salted_join(incidents, labels, ["latitude", "longitude"])
 
 
 def label_by_quadrant(incidents: DataFrame, box=None, eps: float = 0.01, min_points: int = 5,
@@ -306,7 +306,7 @@ def label_by_quadrant(incidents: DataFrame, box=None, eps: float = 0.01, min_poi
         found.select(F.col("g").alias("quadrant"), F.col("x").alias("sx"),
                      F.col("y").alias("sy"), "cluster", "core"),
         ["quadrant", "sx", "sy"]).select("quadrant", "latitude", "longitude", "cluster", "core")
-    return incidents.join(labels, ["latitude", "longitude"])
+    return salted_join(incidents, labels, ["latitude", "longitude"])
 
 
 def cluster_profiles(labelled: DataFrame, keys=("cluster",), k: int = 5) -> DataFrame:

@@ -308,3 +308,10 @@ POIS_PER_TYPE = 3
 FALLBACK_BOX_DEG = 0.01
 EARTH_KM = 6371.0
 HOTSPOT_EARTH_KM = 6371.0088
+
+# --- fixed values: optional city sources ----------------------------------------------------
+SERVICE_REQUEST_KINDS = [
+    "Street Light Condition", "Noise - Street/Sidewalk", "Illegal Parking", "Graffiti",
+    "Derelict Vehicles", "Homeless Encampment",
+]
+SERVICE_DATE_FORMATS = ["MM/dd/yyyy hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss"]

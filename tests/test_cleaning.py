@@ -84,3 +84,23 @@ def test_percent_rank_by(spark):
     got = sorted((r.g, r.v, round(r.p, 4)) for r in percent_rank_by(df, "g", "v", "p").collect())
     assert got == [("a", 1.0, 0.0), ("a", 2.0, 0.3333), ("a", 2.0, 0.3333), ("a", 3.0, 1.0),
                    ("b", 5.0, 0.0)]
+
+
+def test_city_layers(spark, tmp_path):
+    from incidentlens.operators.risk import layer_counts
+    from incidentlens.sources.city_layers import read_service_requests, read_street_lights
+
+    (tmp_path / "r.csv").write_text(
+        "Unique Key,Created Date,Complaint Type,Latitude,Longitude\n"
+        '1,01/31/2024 01:02:03 PM,graffiti,40.751,-73.981\n'
+        "2,2024-01-31T13:02:03.000,Illegal Parking,40.752,-73.982\n"
+        "3,not a date,Graffiti,40.9,-73.7\n4,,Heating,40.7,-73.9\n5,,Graffiti,,\n")
+    (tmp_path / "l.csv").write_text("OBJECTID,Latitude,Longitude\n7,40.7512,-73.9811\n8,x,-73.9\n")
+    requests = read_service_requests(spark, str(tmp_path / "r.csv"))
+    got = {r.request_id: str(r.created_at) for r in requests.collect()}
+    assert got == {"1": "2024-01-31 13:02:03", "2": "2024-01-31 13:02:03", "3": "None"}
+    assert read_service_requests(spark, str(tmp_path / "r.csv"), None).count() == 4
+    lights = read_street_lights(spark, str(tmp_path / "l.csv"))
+    cells = {r.grid_cell_id: (r.requests, r.lights) for r in layer_counts(
+        {"requests": requests, "lights": lights}).collect()}
+    assert sorted(cells.values()) == [(1, 0), (2, 1)]

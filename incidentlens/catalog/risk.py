@@ -212,6 +212,20 @@ def d10_refresh(spark, d):
     return _shown(risk.refresh_risk(table, old, new, AS_OF))
 
 
+@query("d10_refreshed_from_marks", sql("inc", f"""@{_risk_sql('inc')}
+SELECT * FROM risk"""))
+def d10_marks(spark, d):
+    """The stream's marks say which cells to compute anew; the result equals a full rebuild."""
+    old, new = halves(spark, d)
+    feed, marks = scratch_folder(spark, "feed"), scratch_folder(spark, "marks")
+    rows = new.select("incident_id", "occurred_at", "latitude", "longitude")
+    rows.write.parquet(feed)
+    stream = spark.readStream.schema(rows.schema).parquet(feed)
+    incremental.run_marking(stream, marks, scratch_folder(spark, "state"))
+    touched = spark.read.schema("grid_cell_id STRING").parquet(marks)
+    return _shown(risk.refresh_cells(risk.risk_table(old, AS_OF), fx.incidents(spark, d), touched, AS_OF))
+
+
 @query("d10_streamed_cell_counts", sql("inc", f"""@
 n AS (SELECT {_cell(2)} AS grid_cell_id, date_trunc('day', occurred_at) AS w, count(*) AS count
   FROM inc WHERE occurred_at IS NOT NULL GROUP BY 1, 2)

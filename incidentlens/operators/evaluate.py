@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def _worst_by_rings(scatter: DataFrame, label: str) -> DataFrame:
     n, s_max, x0, x1, y0, y1 = scatter.agg(
         F.count("*"), F.max("s"), F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
     extent = max(x1 - x0, y1 - y0)
-    radius = max(extent / max(np.sqrt(n), 1.0), extent * 1e-6)
+    radius = max(extent / max(math.sqrt(n), 1.0), extent * 1e-6)
     todo, done = scatter, None
     while True:
         r = float(radius)

@@ -165,12 +165,30 @@ def stale_cells(table: DataFrame, new_incidents: DataFrame, digits: int = 3) ->
 
 def refresh_risk(table: DataFrame, incidents: DataFrame, new_incidents: DataFrame, as_of: str,
                  digits: int = 3) -> DataFrame:
-    """Risk table with only the touched cells computed anew."""
+    """Risk table with only the cells computed anew that the new incidents touch."""
     touched = new_incidents.select(
-        cell_id(F.col("latitude"), F.col("longitude"), digits).alias("grid_cell_id")).distinct()
-    everything = incidents.unionByName(new_incidents).withColumn(
+        cell_id(F.col("latitude"), F.col("longitude"), digits).alias("grid_cell_id"))
+    return refresh_cells(table, incidents.unionByName(new_incidents), touched, as_of, digits)
+
+
+def refresh_cells(table: DataFrame, incidents: DataFrame, touched: DataFrame, as_of: str,
+                  digits: int = 3) -> DataFrame:
+    """Risk table with the cells of `touched` (grid_cell_id, as the stream marks them) computed anew
+    from all incidents.
+
+    The touched cells' box is a filter of plain comparisons on the incidents: where these are stored
+    by place (`write_incidents`), scans skip what lies outside.
+    """
+    touched = touched.select("grid_cell_id").distinct()
+    part = F.split("grid_cell_id", "_")
+    row, col = F.get(part, 0).cast("double"), F.get(part, 1).cast("double")
+    box = touched.agg(F.min(row), F.max(row), F.min(col), F.max(col)).first()
+    if box[0] is None:
+        return table
+    a, b, c, d = ((v + s) / 10 ** digits for v, s in zip(box, (-1, 1, -1, 1), strict=True))
+    there = incidents.filter(F.col("latitude").between(a, b) & F.col("longitude").between(c, d)).withColumn(
         "grid_cell_id", cell_id(F.col("latitude"), F.col("longitude"), digits))
-    fresh = risk_table(everything.join(touched, "grid_cell_id", "left_semi"), as_of, digits)
+    fresh = risk_table(there.join(touched, "grid_cell_id", "left_semi"), as_of, digits)
     return table.join(touched, "grid_cell_id", "left_anti").unionByName(fresh)
 
 

@@ -3,8 +3,9 @@
 Pages are counted once per host and line; the ratio is that count over the host's pages. The lines
 above the ratio of one host are at most (mean lines of its pages) / ratio, so they fit one array per
 host; pages then filter their own lines against it, and no page is ever taken apart and put together
-again. A host with most pages is an ordinary case: counts are combined before the shuffle, and the
-join back may be split, since nothing after it needs the host's rows together.
+again. A host with most pages is an ordinary case: counts are combined before the shuffle, and on the
+way back the arrays are either broadcast, if all of them together are at most `BROADCAST_BYTES`, or
+copied to `SALTS` parts of each host.
 
 Defined results: a null text stays null and counts as a page without lines; empty lines are kept and
 never counted; null hosts are one host; repeated rows are pages of their own; a line repeated on one
@@ -18,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 RATIO = 0.2
 MIN_PAGES = 10
 MIN_COUNT = 5
+BROADCAST_BYTES = 8 << 20
+SALTS = 32
 
 #: Parts of a page without text, tags that end a line, any other tag.
 NO_TEXT = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -58,6 +63,16 @@ def frequent_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_
             .filter(F.col("n_pages") > F.lit(ratio) * F.col("host_pages")))
 
 
+def _with_lists(pages: DataFrame, bad: DataFrame) -> DataFrame:
+    """Pages with their host's list, without bringing a host's pages together."""
+    size = bad.agg(F.sum(F.aggregate("bad", F.octet_length("host"), lambda n, s: n + F.octet_length(s)))).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(bad), "host", "left")
+    copies = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["host", "salt"], "left").drop("salt")
+
+
 def drop_frequent_lines(docs: DataFrame, host: Column, text: Column, output: str = "text",
                         ratio: float = RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT,
                         extra: bool = False) -> DataFrame:
@@ -71,8 +86,8 @@ def drop_frequent_lines(docs: DataFrame, host: Column, text: Column, output: str
     pages = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("host"),
                         text.alias("text"))
     frequent = frequent_lines(pages.select("host", "text"), ratio, min_pages, min_count)
-    bad = frequent.groupBy("host").agg(F.collect_set("line").alias("bad"))
-    found = pages.join(bad, "host", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
+    bad = stored(frequent.groupBy("host").agg(F.collect_set("line").alias("bad")))
+    found = _with_lists(pages, bad).withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
     whole = F.split("text", "\n")
     kept = F.filter(whole, lambda s: ~F.array_contains(F.col("bad"), F.trim(s)))
     found = found.withColumn("_kept", kept).withColumn("_lost", F.size(whole) - F.size("_kept"))

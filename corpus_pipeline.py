@@ -49,7 +49,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _settings(spark)
-    return line_frequency.drop_frequent_lines(docs, F.col("source"), F.col("text"), ratio=SOURCE_RATIO)
+    out = line_frequency.drop_frequent_lines(docs, F.col("source"), F.col("text"), ratio=SOURCE_RATIO)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def m1(spark, d):
     return zones.zone_centres(zoned_by_model(spark, d))
 
 
+@query("m1_rows_in_the_nearest_zone", sql("inc", """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_elsewhere FROM inc"""))
+def m1_nearest(spark, d):
+    """Every incident is in the zone of its nearest fitted centre."""
+    return zones.misplaced(crime_zones(spark, d), fx.incidents(spark, d))
+
+
 @query("m2_assign_zones")
 def m2(spark, d):
     moved = fx.locations(spark, d).withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
@@ -427,6 +434,13 @@ def m22(spark, d):
     return E.zone_coverage(zoned_by_model(spark, d))
 
 
+@query("m22_coverage_of_given_zones", sql("zon", """
+SELECT zone, count(*) AS count, count(*) OVER () AS n_zones_predicted, count(*) OVER () >= 8 AS good_coverage
+FROM zon GROUP BY zone"""))
+def m22_given(spark, d):
+    return E.zone_coverage(zoned(spark, d))
+
+
 @query("m23_score_spread", sql("zon", f"""@
 s AS (SELECT zone, {_SCORE} AS v FROM zon GROUP BY 1)
 SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min,

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,19 @@ def assign(model: PipelineModel, df: DataFrame, out: str = "zone") -> DataFrame:
     return made.select(*df.columns, F.col("zone").alias(out))
 
 
+def misplaced(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """One row: how many rows have a zone, and for how many another centre is nearer."""
+    made = model.transform(df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
+    at = vector_to_array("features")
+    # One entry per fitted centre.
+    distances = F.array(*[
+        F.aggregate(F.zip_with(at, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)),
+                    F.lit(0.0), lambda t, v: t + v) for c in model.stages[-1].clusterCenters()])
+    own = F.get("_d", F.col("zone"))
+    return made.withColumn("_d", distances).agg(
+        F.count("*").alias("n_rows"), F.count_if(own > F.array_min("_d") + 1e-9).alias("n_elsewhere"))
+
+
 def fit_crime_zones(incidents: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10,
                     max_iter: int = 100, parallel: int = 8, standardise: bool = True):
     """Zones by position; with `standardise=False` on raw degrees."""

@@ -30,12 +30,13 @@ def settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
                   .filter("a <> b").distinct())
     moves = []
     while not live.isEmpty():
-        hooks = _hooks(live, len(moves))
+        once = hooks = _hooks(live, len(moves))
         for _ in range(HOPS):
             # A root hooks to itself, so the table squared is the path of twice the length.
             hooks = hooks.join(_renamed(hooks, "to", "further"), "to").select(
                 "node", F.col("further").alias("to"))
         moved = stored(hooks)
+        discard(once)
         moves.append(moved)
         following = stored(
             live.join(_renamed(moved, "a", "x"), "a").join(_renamed(moved, "b", "y"), "b")
@@ -46,14 +47,16 @@ def settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     rounds = len(moves)
     if not moves:
         return nodes.select("node", F.col("node").alias("root")), rounds
-    whole = moves.pop()
-    while moves:
-        step = moves.pop()
+    discard(live)
+    whole = moves[-1]
+    for step in reversed(moves[:-1]):
         whole = step.join(_renamed(whole, "to", "further"), "to", "left").select(
             "node", F.coalesce("further", "to").alias("to"))
     whole = stored(whole)
+    discard(*moves)
     first = whole.groupBy("to").agg(F.min("node").alias("root"))
     roots = stored(whole.join(first, "to").select("node", "root"))
+    discard(whole)
     return nodes.select("node").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")), rounds
 

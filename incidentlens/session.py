@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -56,6 +58,7 @@ def scratch_root(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a shared folder")
         named = tempfile.mkdtemp(prefix="incidentlens-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named

@@ -3,8 +3,9 @@
 A tree splits by the plane halfway between two random points' directions, at the median. The trees are
 fitted on a sample of at most about `SAMPLE` vectors; every vector is indexed. A query walks all trees
 through one priority queue ordered by how far it lies beyond a plane, and takes the best `PROBE_SHARE`
-of all leaves. Leaves are cells of a cogroup: index rows and queries meet by cell, and candidates are
-ranked there by their exact cosine in double precision.
+of all leaves. Leaves are cells, dealt to parts of about `PART_ROWS` index rows; index rows and queries
+meet by part in a cogroup, candidates are ranked there cell by cell by their exact cosine in double
+precision, and a part hands on the k best of each query only.
 
 Equal vectors are one index row with their k + 1 smallest ids, which is all that k neighbours with ties
 to the smaller id can ever need; a vector that a third of all rows share is one row. Leaves larger than
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ SAMPLE = 20_000
 PROBE_SHARE = 0.1
 MIN_PROBES = 64
 BLOCK_ROWS = 16_384
+PART_ROWS = 32_768
 SALTS = 64
 SEED = 11
 
@@ -151,18 +154,19 @@ def _unit(v: np.ndarray) -> np.ndarray:
         1, keepdims=True)
 
 
-CELL = "cell long, n int, ids binary, vectors binary"
+CELL = "part int, cell long, ids binary, vectors binary"
 
 
-def _cells(cell, ids, vectors):
+def _cells(cell, ids, vectors, n_parts):
     """One row per cell, its ids and vectors as bytes."""
     order = np.argsort(cell, kind="stable")
     cuts = np.flatnonzero(np.diff(cell[order], prepend=-1))
     parts = np.split(order, cuts[1:])
+    cell = cell[order][cuts]
     return pa.record_batch([
-        pa.array(cell[order][cuts]), pa.array([len(p) for p in parts], pa.int32()),
+        pa.array(cell % n_parts, pa.int32()), pa.array(cell),
         pa.array([ids[p].tobytes() for p in parts], pa.binary()),
-        pa.array([vectors[p].tobytes() for p in parts], pa.binary())], names=["cell", "n", "ids", "vectors"])
+        pa.array([vectors[p].tobytes() for p in parts], pa.binary())], names=["part", "cell", "ids", "vectors"])
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
@@ -185,6 +189,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     n_leaves = sum(t.n_leaves for t in forest)
     blocks = -(-max(n, 1) * trees // (max(n_leaves, 1) * block_rows))
     count = max(MIN_PROBES, int(np.ceil(probe_share * n_leaves)))
+    n_parts = max(8, n * trees // PART_ROWS)
     held = spark.sparkContext.broadcast(forest)
     first_cell = np.concatenate([[0], np.cumsum([t.n_leaves for t in forest])])
     kind = np.float32 if index.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
@@ -200,7 +205,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             block = ids[:, 0] % blocks
             u = _unit(v)
             for t, tree in enumerate(held.value):
-                yield _cells((first_cell[t] + tree.leaves(u)) * blocks + block, ids, v)
+                yield _cells((first_cell[t] + tree.leaves(u)) * blocks + block, ids, v, n_parts)
 
     def ask(batches):
         for batch in batches:
@@ -214,21 +219,24 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                     cells += range(first, first + blocks)
                     rows += [i] * blocks
             rows = np.array(rows)
-            yield _cells(np.array(cells, np.int64), ids[rows], v[rows])
+            yield _cells(np.array(cells, np.int64), ids[rows], v[rows], n_parts)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
                  "score": pa.array([], pa.float64())}
-        if not left.num_rows or not right.num_rows:
+        asked_cells = {c: right.filter(pc.equal(right["cell"], c)) for c in set(right["cell"].to_pylist())}
+        found = []
+        for c in set(left["cell"].to_pylist()) & set(asked_cells):
+            ids, v = _joined(left.filter(pc.equal(left["cell"], c)), most, kind)
+            query, q = _joined(asked_cells[c], 1, kind)
+            found.append(_rank(ids, v.astype(np.float64), query[:, 0], q.astype(np.float64), k))
+        if not found:
             return pa.table(empty)
-        ids, v = _joined(left, most, kind)
-        query, q = _joined(right, 1, kind)
-        return pa.table(_rank(ids, v.astype(np.float64), query[:, 0], q.astype(np.float64), k))
-
-    n_cells = max(8, n * trees // 16_384)
-    cells = index.mapInArrow(deal, CELL).repartition(n_cells, "cell")
-    questions = asked.mapInArrow(ask, CELL).repartition(n_cells, "cell")
-    found = cells.groupBy("cell").cogroup(questions.groupBy("cell")).applyInArrow(
+        return pa.table(dict(zip(empty, _best(*map(np.concatenate, zip(*found, strict=True)), k), strict=True)))
+
+    cells = index.mapInArrow(deal, CELL).repartition(n_parts, "part")
+    questions = asked.mapInArrow(ask, CELL).repartition(n_parts, "part")
+    found = cells.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(
         meet, "query_id long, vec_id long, score double")
     single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -259,12 +267,17 @@ def _rank(ids, v, query, q, k, step: int = 256):
         score = cosine(q[s + i], v[j])
         each = (ids[j] >= 0) & (ids[j] != query[s + i][:, None])
         pair, place = np.nonzero(each)
-        row, vec, value = s + i[pair], ids[j[pair], place], score[pair]
-        order = np.lexsort((vec, -value, row))
-        row, vec, value = row[order], vec[order], value[order]
-        begin = np.searchsorted(row, row, "left")
-        top = np.arange(len(row)) - begin < k
-        out[0].append(query[row[top]])
-        out[1].append(vec[top])
-        out[2].append(value[top])
-    return dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(x)) for x in out), strict=True))
+        for column, part in zip(out, _best(query[s + i[pair]], ids[j[pair], place], score[pair], k), strict=True):
+            column.append(part)
+    return [np.concatenate(x) for x in out]
+
+
+def _best(query, vec, score, k):
+    """The k best different vectors of each query."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])  # the same pair has the same score
+    query, vec, score = query[new], vec[new], score[new]
+    top = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+    return query[top], vec[top], score[top]

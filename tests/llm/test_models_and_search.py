@@ -230,7 +230,9 @@ def small_model(seed=0):
     klass = rng.integers(0, lm.CLASSES, lm.N_IDS)
     counts = rng.random(lm.N_IDS)
     inside = np.log(counts) - np.log(np.bincount(klass, counts, lm.CLASSES))[klass]
-    return lm.Model(rng.integers(0, lm.OWN_ROWS, lm.N_IDS), klass, inside,
+    pairs = np.unique(rng.integers(0, 200, 3000) * lm.N_IDS + rng.integers(0, 5000, 3000))
+    given = lm._given_before(pairs, rng.integers(1, 9, len(pairs)), klass, inside)
+    return lm.Model(rng.integers(0, lm.OWN_ROWS, lm.N_IDS), klass, inside, *given,
                     rng.normal(0, 0.5, (lm.OWN_ROWS + lm.CLASSES, 4 * lm.WIDTH)).astype(np.float32),
                     rng.normal(0, 0.5, lm.WINDOW).astype(np.float32),
                     rng.normal(0, 0.5, (lm.WIDTH, lm.CLASSES)).astype(np.float32),
@@ -249,7 +251,8 @@ def plain_score(model, ids):
         s = np.array([q[i] @ k[j] + model.near[i - j] for j in range(begin, i + 1)])
         a = np.exp(s) / np.exp(s).sum()
         logits = (e[i] + a @ v[begin:i + 1]) @ model.out + model.bias
-        total += logits[model.klass[ids[p]]] - math.log(np.exp(logits).sum()) + model.inside[ids[p]]
+        total += logits[model.klass[ids[p]]] - math.log(np.exp(logits).sum())
+        total += lm.within_class(model, ids[p - 1:p], ids[p:p + 1])[0]
     return total
 
 
@@ -259,7 +262,10 @@ def test_every_id_is_scored_once_with_its_window():
     docs = [np.concatenate([[lm.BOUNDARY], rng.integers(0, 5000, n - 1), [lm.BOUNDARY]]) for n in lengths]
     got = lm.score_ids(model, np.concatenate(docs), lengths)
     assert np.allclose(got, [plain_score(model, d) for d in docs], rtol=1e-4, atol=1e-2)
-    assert abs(np.exp(model.inside).sum() - lm.CLASSES) < 1e-6  # each class's ids add up to one
+    everything = np.arange(lm.N_IDS)
+    for before in (3, 150, 40_000):  # each class's ids add up to one
+        total = np.bincount(model.klass, np.exp(lm.within_class(model, np.full(lm.N_IDS, before), everything)))
+        assert np.allclose(total, 1, atol=1e-4)
 
 
 def test_training_follows_the_gradient():

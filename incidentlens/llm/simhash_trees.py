@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import stored
+from ..session import discard, stored
 from .textarrays import LOWER, NOT_SPACE, chunks, utf8, words
 
 SHINGLE = 3
@@ -271,6 +271,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = stored(reached.join(smallest, "root").select(F.col("node").alias("fp"), "component_id"))
     known = stored(distinct.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")))
+    discard(edges, nodes, linked, distinct)
     return found.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -285,7 +286,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = stored(components(docs, id_col, text_col, shingle, reach)
                   .filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"))
-    chosen = row.join(kept.select("doc_id"), "doc_id", "left_semi")
+    # The ids grow with the documents, so the join is a shuffle at every size.
+    chosen = row.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not kept.filter("n > 1").isEmpty():
         chosen = chosen.dropDuplicates(["doc_id"])
     return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

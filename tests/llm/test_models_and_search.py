@@ -301,3 +301,33 @@ def test_scores(corpus):
                   for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.score_documents(both.limit(0), remainder != 2).count() == 0
+
+
+def test_every_pair_of_the_training_documents_counts(corpus, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "tea", "pot"]) + str(rng.randrange(40))
+                         for _ in range(rng.randrange(60)))) for i in range(120)] + [(None, "lost row"), (500, None)]
+    learned = [d for d in docs if d[0] is not None and d[0] % 3]
+    seen = []
+    start = lm._start
+    monkeypatch.setattr(lm, "_start", lambda pairs: seen.append(pairs) or start(pairs))
+    monkeypatch.setattr(lm, "STEP_BYTES", 2000)
+    models = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    table = corpus.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(4)
+    got = {r.doc_id: r.score for r in lm.score_documents(table, F.col("doc_id") % 3 != 0).collect()}
+    encode = lm.Encoder(*lm.vocabulary())
+    want = Counter()
+    for _, text in learned:
+        ids = [lm.BOUNDARY, *encode(text or ""), lm.BOUNDARY]
+        want.update(a * lm.N_IDS + b for a, b in zip(ids, ids[1:]))
+    cells, counts, kinds = lm._counted(seen[0], lambda before, ids, n: (before * lm.N_IDS + ids, n))
+    assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == want and set(kinds) == {1}
+    # Scores are those of a model that holds every pair itself.
+    model = models[0]
+    keys = np.array(sorted(want))
+    model.pairs, model.groups = lm._given_before(keys, np.array([want[k] for k in keys.tolist()]), model.klass, model.inside)
+    for doc, text in docs:
+        ids = np.array([lm.BOUNDARY, *encode(text or ""), lm.BOUNDARY])
+        assert math.isclose(got[doc] * math.log(10), plain_score(model, ids), rel_tol=1e-4, abs_tol=1e-2)

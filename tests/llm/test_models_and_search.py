@@ -331,3 +331,11 @@ def test_every_pair_of_the_training_documents_counts(corpus, monkeypatch):
     for doc, text in docs:
         ids = np.array([lm.BOUNDARY, *encode(text or ""), lm.BOUNDARY])
         assert math.isclose(got[doc] * math.log(10), plain_score(model, ids), rel_tol=1e-4, abs_tol=1e-2)
+
+
+def test_a_lookup_loses_no_key():
+    rng = np.random.default_rng(8)
+    keys = rng.permutation(np.unique(rng.integers(0, lm.N_IDS ** 2, 200_000)))
+    value, there = lm.Lookup(keys, keys / 2)(keys)
+    assert there.all() and (value == keys / 2).all()
+    assert not lm.Lookup(keys, keys / 2)(keys + lm.N_IDS ** 2)[1].any()

@@ -118,7 +118,8 @@ FROM k"""
 def op5(spark, read):
     pages = read("pages").select("page_id", "url", "html")
     out = line_frequency.drop_frequent_lines(
-        pages, line_frequency.url_host(F.col("url")), line_frequency.html_text(F.col("html")), extra=True)
+        pages, line_frequency.url_host(F.col("url")), line_frequency.html_text(F.col("html")),
+        min_pages=line_frequency.MIN_PAGES, min_count=line_frequency.MIN_COUNT, extra=True)
     return out.select("page_id", "host", "n_lines", "n_removed", "text")
 
 

@@ -9,9 +9,9 @@ copied to `SALTS` parts of each host.
 
 Defined results: a null text stays null and counts as a page without lines; empty lines are kept and
 never counted; null hosts are one host; repeated rows are pages of their own; a line repeated on one
-page counts once, and all its copies on a page are dropped or kept together. Hosts with fewer than
-`min_pages` pages, and lines on fewer than `min_count` pages, are left alone: a ratio over a handful
-of pages says nothing.
+page counts once, and all its copies on a page are dropped or kept together. The ratio decides on hosts of any
+size; only a line on a single page is never boilerplate, as nothing repeats it. Callers may ask for more:
+hosts with fewer than `min_pages` pages, and lines on fewer than `min_count` pages, are then left alone.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 RATIO = 0.2
+#: The floors of op5's SQL, which that query passes; the operator itself has only LEAST_COUNT.
 MIN_PAGES = 10
 MIN_COUNT = 5
+LEAST_COUNT = 2
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
 
@@ -51,8 +53,8 @@ def lines_of(text: Column) -> Column:
 
 
 
-def frequent_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                   min_count: int = MIN_COUNT) -> DataFrame:
+def frequent_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1,
+                   min_count: int = LEAST_COUNT) -> DataFrame:
     """(host, line, n_pages, host_pages) of boilerplate, for pages(host, text)."""
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     distinct = F.array_distinct(F.filter(lines_of(F.col("text")), lambda s: s != ""))
@@ -74,7 +76,7 @@ def _with_lists(pages: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def drop_frequent_lines(docs: DataFrame, host: Column, text: Column, output: str = "text",
-                        ratio: float = RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT,
+                        ratio: float = RATIO, min_pages: int = 1, min_count: int = LEAST_COUNT,
                         extra: bool = False) -> DataFrame:
     """`docs` with column `output` holding `text` without the host's boilerplate lines.
 

@@ -144,6 +144,19 @@ def test_line_frequency(corpus, monkeypatch, broadcast_bytes):
     assert line_frequency.drop_frequent_lines(docs.limit(0), F.col("host"), F.col("text")).count() == 0
 
 
+def test_boilerplate_of_small_hosts(corpus):
+    rows = [(i, "three", f"menu\nown {i}") for i in range(3)] + [(10 + i, "two", f"own {i}\nfoot") for i in range(2)]
+    rows += [(20, "one", "alone")] + [(30 + i, "twelve", "menu\ntwice" if i < 2 else f"menu\nown {i}") for i in range(12)]
+    rows += [(50 + i, "nine", "both" if i < 2 else f"own {i}") for i in range(9)]
+    docs = corpus.createDataFrame(rows, "page BIGINT, host STRING, text STRING")
+    got = line_frequency.drop_frequent_lines(docs, F.col("host"), F.col("text"))
+    # 2 of 9 pages are above a fifth, 2 of 12 are not; a line on one page stays whatever its share.
+    want = [(i, "three", f"own {i}") for i in range(3)] + [(10 + i, "two", f"own {i}") for i in range(2)]
+    want += [(20, "one", "alone")] + [(30 + i, "twelve", "twice" if i < 2 else f"own {i}") for i in range(12)]
+    want += [(50 + i, "nine", "" if i < 2 else f"own {i}") for i in range(9)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_page_text_and_host(corpus):
     page = "<html><script>x</script><p class='a'>One <b>two</b></p><!-- c --><li>three<br>four</html>"
     row = corpus.createDataFrame([("http://u:p@A.b:80/x?y", page)], "url STRING, html STRING").select(

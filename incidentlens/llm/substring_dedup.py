@@ -15,8 +15,9 @@ smaller id. To find such windows without holding every text against every shard:
 Skew: a task first settles what several of its own documents share and passes one entry on, so a
 passage in a third of all documents is one entry per few megabytes of text. An anchor with more than
 `HOT_ENTRIES` entries even so (a template in near copies) is dealt again by whole windows, each a
-segment of its own. Anchors are compared by 64-bit hashes, which only select; windows are compared
-word by word in the index.
+segment of its own. Anchors are compared by 64-bit hashes, which only select. Equal segments within a task's
+step are settled there by their bytes, so their removals don't come from the index. The index compares
+windows by words numbered by their 64-bit hash: two words that share one would count as the same.
 
 Defined results: a null or empty text has no words and keeps ''; texts shorter than a window lose
 nothing; rows that repeat an id are not smaller than each other; rows without an id lose nothing and

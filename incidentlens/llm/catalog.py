@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (attention_lm, decontaminate, language_mixture, line_frequency, packing, projection_forest,
+from . import (attention_lm, chunk_recipes, decontaminate, language_mixture, line_frequency, packing, projection_forest,
                quality_rules, sharding, simhash_trees, substring_dedup)
 
 QUERIES = {}
@@ -179,6 +179,20 @@ def op10(spark, read):
     return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (
+  SELECT t, count(*) AS group_size, arg_min(doc_id, (-points, doc_id)) AS keep_id FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+
+@query("op12_chunk_recipes", OP12_SQL)
+def op12(spark, read):
+    return chunk_recipes.duplicates(read("documents"))
+
+
 @query("pipeline")
 def pipeline(spark, read):
     import corpus_pipeline

@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (attention_lm, chunk_recipes, decontaminate, language_mixture, line_frequency, packing, projection_forest,
-               quality_rules, sharding, simhash_trees, substring_dedup)
+from . import (attention_lm, chunk_recipes, decontaminate, language_mixture, line_frequency, packing,
+               prefix_trie, projection_forest, quality_rules, sharding, simhash_trees, substring_dedup)
 
 QUERIES = {}
 CHECKS = {}
@@ -179,6 +179,43 @@ def op10(spark, read):
     return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+OP11_SQL = """
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS crc_table),
+t AS (
+  SELECT conv_id, turn, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS it
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(it ORDER BY turn NULLS FIRST, it.r, it.x) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295)) % 9 AS h FROM own, bits),
+c AS (
+  SELECT h.conv_id, coalesce(f.own[1:h.h], []) || h.own[h.h + 1:] AS path
+  FROM h LEFT JOIN own f ON f.conv_id = h.conv_id - h.conv_id % 5),
+prefixes AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM c),
+nodes AS (
+  SELECT depth, path[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth) AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(any_value(path[depth].x)) END AS saved
+  FROM prefixes GROUP BY depth, path[1:depth]),
+children AS (SELECT depth - 1 AS depth, p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (depth, p)),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS upto FROM counted),
+sums AS (
+  SELECT upto AS depth, p[1:upto] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM above GROUP BY upto, p[1:upto])
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN sums s USING (depth, p) LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, read):
+    return prefix_trie.conversation_trie(read("conversations"))
+
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,

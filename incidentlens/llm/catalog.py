@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (attention_lm, chunk_recipes, decontaminate, language_mixture, line_frequency, packing,
-               prefix_trie, projection_forest, quality_rules, sharding, simhash_trees, substring_dedup)
+from . import (attention_lm, chunk_recipes, collocations, decontaminate, language_mixture, line_frequency,
+               packing, prefix_trie, projection_forest, quality_rules, sharding, simhash_trees, substring_dedup)
 
 QUERIES = {}
 CHECKS = {}
@@ -230,6 +230,39 @@ def op12(spark, read):
     return chunk_recipes.duplicates(read("documents"))
 
 
+OP13_SQL = rf"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+    FROM w, (VALUES (1), (2), (3)) sizes(k) WHERE len(ws) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cuts.*, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+    JOIN g y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(ws[i:i + 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k)) AS i FROM c WHERE k = 3)) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  CAST(score AS BIGINT) AS score
+FROM best JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase)
+WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13(spark, read):
+    return collocations.collocations(read("documents"))
+
+
 @query("pipeline")
 def pipeline(spark, read):
     import corpus_pipeline

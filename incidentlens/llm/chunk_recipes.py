@@ -31,12 +31,15 @@ SHORTEST, LONGEST = 128, 4096
 
 
 def _cut_class(remainder: int) -> str:
-    """Characters that a cut may follow, by a rule on code points: every eighth letter, digit or sign of
-    ASCII, and 64 code points out of each 512 beyond."""
-    low = "".join(rf"\x{{{c:X}}}" for c in range(0x21, 0x7F) if c % 8 == remainder)
-    high = "".join(rf"\x{{{c:X}}}-\x{{{c + 63:X}}}"
-                   for c in range(0x80 + 64 * remainder, 0xD800 - 64, 512))
-    return f"[{low}{high}]"
+    """Characters that a cut may follow, by a rule on code points: every eighth one up to Latin-1, one
+    eighth of each block beyond. Blocks stand behind one test for their whole range."""
+    def blocks(low, high, step):
+        inner = "".join(rf"\x{{{c:X}}}-\x{{{c + step // 8 - 1:X}}}"
+                        for c in range(low + step // 8 * remainder, high, step))
+        return rf"[\x{{{low:X}}}-\x{{{high - 1:X}}}&&[{inner}]]"
+
+    low = "".join(rf"\x{{{c:X}}}" for c in range(0x21, 0x100) if c % 8 == remainder)
+    return f"[{low}{blocks(0x100, 0x800, 64)}{blocks(0x800, 0xD800, 4096)}]"
 
 
 def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST) -> str:

@@ -90,11 +90,18 @@ def op4(spark, read):
     return projection_forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def _unescaped(sql: str) -> str:
+    for written, meant in line_frequency.REFERENCES:
+        sql = "replace({}, '{}', '{}')".format(sql, written, meant.replace("'", "''"))
+    return sql
+
+
 OP5_SQL = rf"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-    string_split(regexp_replace(regexp_replace(regexp_replace(html, '{line_frequency.NO_TEXT}', chr(10), 'g'),
-      '{line_frequency.BLOCK_TAGS}', chr(10), 'g'), '{line_frequency.ANY_TAG}', '', 'g'), chr(10)) AS lines
+    string_split({_unescaped(f"""regexp_replace(regexp_replace(regexp_replace(html,
+      '{line_frequency.NO_TEXT}', chr(10), 'g'), '{line_frequency.BLOCK_TAGS}', chr(10), 'g'),
+      '{line_frequency.ANY_TAG}', '', 'g')""")}, chr(10)) AS lines
   FROM pages),
 totals AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 counts AS (
@@ -103,8 +110,8 @@ counts AS (
     FROM p) GROUP BY host, line),
 bad AS (
   SELECT c.host, list(c.line) AS bad FROM counts c JOIN totals t USING (host)
-  WHERE c.n >= {line_frequency.MIN_COUNT} AND t.host_pages >= {line_frequency.MIN_PAGES}
-    AND c.n > {line_frequency.RATIO}::DOUBLE * t.host_pages GROUP BY c.host),
+  WHERE c.n >= {line_frequency.LEAST_COUNT} AND c.n > {line_frequency.RATIO}::DOUBLE * t.host_pages
+  GROUP BY c.host),
 k AS (
   SELECT page_id, host, lines,
     list_filter(lines, lambda s: NOT list_contains(coalesce(b.bad, []::VARCHAR[]), trim(s, ' '))) AS kept
@@ -118,8 +125,7 @@ FROM k"""
 def op5(spark, read):
     pages = read("pages").select("page_id", "url", "html")
     out = line_frequency.drop_frequent_lines(
-        pages, line_frequency.url_host(F.col("url")), line_frequency.html_text(F.col("html")),
-        min_pages=line_frequency.MIN_PAGES, min_count=line_frequency.MIN_COUNT, extra=True)
+        pages, line_frequency.url_host(F.col("url")), line_frequency.html_text(F.col("html")), extra=True)
     return out.select("page_id", "host", "n_lines", "n_removed", "text")
 
 

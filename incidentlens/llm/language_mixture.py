@@ -15,10 +15,9 @@ rows without an id are predicted, never learned from. Only text and lang are rea
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +31,10 @@ FULL_STEPS = 25
 PENALTY = 3.0
 UNKNOWN = "und"
 STEP_BYTES = 2 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows that one matrix of counts holds at most.
+STEP_ROWS = 1000
+#: The letter categories, so no digit or number of any script.
+LETTER = regex.compile(r"\p{L}")
 
 #: Each byte's class: letters and all bytes beyond ASCII are themselves, everything else is a gap.
 _CLASS = np.zeros(256, np.uint32)
@@ -65,7 +67,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"):
     """(languages, probabilities[language, bin]) from all rows with a language and a text."""
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for table in chunks(batches, "text", STEP_BYTES):
+        for table in chunks(batches, "text", STEP_BYTES, STEP_ROWS):
             langs = np.array(table["lang"].to_pylist(), object)
             counts = trigram_counts(table["text"].to_pylist())
             for lang in set(langs.tolist()):
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     share_type = pa.struct([("lang", pa.string()), ("share", pa.float64())])
 
     def run(batches):
-        for table in chunks(batches, "text", STEP_BYTES):
+        for table in chunks(batches, "text", STEP_BYTES, STEP_ROWS):
             texts = table["text"].to_pylist()
             known = [bool(languages and t and LETTER.search(t)) for t in texts]
             at = np.flatnonzero(known)

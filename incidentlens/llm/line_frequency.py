@@ -10,8 +10,8 @@ copied to `SALTS` parts of each host.
 Defined results: a null text stays null and counts as a page without lines; empty lines are kept and
 never counted; null hosts are one host; repeated rows are pages of their own; a line repeated on one
 page counts once, and all its copies on a page are dropped or kept together. The ratio decides on hosts of any
-size; only a line on a single page is never boilerplate, as nothing repeats it. Callers may ask for more:
-hosts with fewer than `min_pages` pages, and lines on fewer than `min_count` pages, are then left alone.
+size; only a line on a single page is never boilerplate, as nothing repeats it. A page is one value and is
+held whole, a few times its size, while its lines are taken apart.
 """
 
 from __future__ import annotations
@@ -22,25 +22,28 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 RATIO = 0.2
-#: The floors of op5's SQL, which that query passes; the operator itself has only LEAST_COUNT.
-MIN_PAGES = 10
-MIN_COUNT = 5
+#: Nothing repeats a line that is on one page only.
 LEAST_COUNT = 2
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
 
 #: Parts of a page without text, tags that end a line, any other tag.
-NO_TEXT = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-BLOCK_TAGS = (r"</?(?:html|head|body|title|meta|nav|ul|ol|li|div|p|br|h[1-6]|article|section|header|footer|main"
+NO_TEXT = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+BLOCK_TAGS = (r"(?i)</?(?:html|head|body|title|meta|nav|ul|ol|li|div|p|br|h[1-6]|article|section|header|footer|main"
               r"|aside|table|tr|td|th|form|hr|blockquote|pre)(?:\s[^>]*)?/?>")
 ANY_TAG = r"<[^>]*>"
+#: Character references that pages commonly hold, the ampersand last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def html_text(html: Column) -> Column:
     """Visible text of a page, a line per block."""
     shown = F.regexp_replace(html, NO_TEXT, "\n")
     lined = F.regexp_replace(shown, BLOCK_TAGS, "\n")
-    return F.regexp_replace(lined, ANY_TAG, "")
+    text = F.regexp_replace(lined, ANY_TAG, "")
+    for written, meant in REFERENCES:
+        text = F.replace(text, F.lit(written), F.lit(meant))
+    return text
 
 
 def url_host(url: Column) -> Column:
@@ -52,16 +55,13 @@ def lines_of(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda s: F.trim(s))
 
 
-
-def frequent_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1,
-                   min_count: int = LEAST_COUNT) -> DataFrame:
+def frequent_lines(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(host, line, n_pages, host_pages) of boilerplate, for pages(host, text)."""
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     distinct = F.array_distinct(F.filter(lines_of(F.col("text")), lambda s: s != ""))
     counts = (pages.select("host", F.explode(distinct).alias("line"))
               .groupBy("host", "line").agg(F.count("*").alias("n_pages")))
-    return (counts.filter(F.col("n_pages") >= min_count)
-            .join(totals.filter(F.col("host_pages") >= min_pages), "host")
+    return (counts.filter(F.col("n_pages") >= LEAST_COUNT).join(totals, "host")
             .filter(F.col("n_pages") > F.lit(ratio) * F.col("host_pages")))
 
 
@@ -76,8 +76,7 @@ def _with_lists(pages: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def drop_frequent_lines(docs: DataFrame, host: Column, text: Column, output: str = "text",
-                        ratio: float = RATIO, min_pages: int = 1, min_count: int = LEAST_COUNT,
-                        extra: bool = False) -> DataFrame:
+                        ratio: float = RATIO, extra: bool = False) -> DataFrame:
     """`docs` with column `output` holding `text` without the host's boilerplate lines.
 
     With `extra`, also `host`, `n_lines` (not empty) and `n_removed`. Texts that lose nothing stay as
@@ -87,7 +86,7 @@ def drop_frequent_lines(docs: DataFrame, host: Column, text: Column, output: str
     key = F.coalesce(host, F.lit("\x00"))
     pages = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("host"),
                         text.alias("text"))
-    frequent = frequent_lines(pages.select("host", "text"), ratio, min_pages, min_count)
+    frequent = frequent_lines(pages.select("host", "text"), ratio)
     bad = stored(frequent.groupBy("host").agg(F.collect_set("line").alias("bad")))
     found = _with_lists(pages, bad).withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
     whole = F.split("text", "\n")

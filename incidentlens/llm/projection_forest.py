@@ -15,7 +15,7 @@ The share of leaves is what decides recall, at any size: see README for measured
 
 Defined results: vectors that are null, empty, zero, or hold a null or a number that is not finite take
 no part, and neither do those of another length than most; null ids take no part; a row that repeats an
-id counts once if its vector is equal; with fewer than k candidates all are returned; an empty table
+id counts once if its vector is equal; a query id with several vectors asks with the smallest; with fewer than k candidates all are returned; an empty table
 gives no rows.
 """
 
@@ -176,7 +176,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     spark = table.sparkSession
     most = k + 1
     index = stored(distinct_vectors(clean_vectors(table, id_col, vector_col), most))
-    asked = clean_vectors(queries, id_col, vector_col).dropDuplicates(["id"])
+    asked = clean_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     n = index.count()
     parts = 1 << 20
     share = max(1, int(parts * min(1.0, sample / max(n, 1))))
@@ -199,9 +199,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             if not batch.num_rows:
                 continue
             v = _matrix(batch["v"]).astype(kind)
-            ids = np.full((len(v), most), -1, np.int64)
             lengths = batch["ids"].value_lengths().to_numpy()
-            ids[np.arange(most) < lengths[:, None]] = batch["ids"].flatten().to_numpy()
+            flat = batch["ids"].flatten().to_numpy()
+            # Rows with fewer ids repeat their first one; the same pair is taken once in the end.
+            ids = np.repeat(flat[np.cumsum(lengths) - lengths][:, None], most, axis=1)
+            ids[np.arange(most) < lengths[:, None]] = flat
             block = ids[:, 0] % blocks
             u = _unit(v)
             for t, tree in enumerate(held.value):
@@ -265,7 +267,7 @@ def _rank(ids, v, query, q, k, step: int = 256):
         edge = np.partition(close, -need, axis=1)[:, -need] - 1e-9
         i, j = np.nonzero(close >= edge[:, None])
         score = cosine(q[s + i], v[j])
-        each = (ids[j] >= 0) & (ids[j] != query[s + i][:, None])
+        each = ids[j] != query[s + i][:, None]
         pair, place = np.nonzero(each)
         for column, part in zip(out, _best(query[s + i[pair]], ids[j[pair], place], score[pair], k), strict=True):
             column.append(part)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+CHUNK_ROWS = 1 << 14
 HASH_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD_MULTIPLIER = 0xD6E8FEB86659FD93
@@ -60,8 +61,9 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batches, text: str, size: int = CHUNK_BYTES):
-    """Tables of whole rows with about `size` bytes of text each; one long text is a chunk of its own."""
+def chunks(batches, text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS):
+    """Tables of whole rows with about `size` bytes of text and `rows` rows at most; one long text is a chunk
+    of its own."""
     for batch in batches:
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         if not table.num_rows:
@@ -71,7 +73,7 @@ def chunks(batches, text: str, size: int = CHUNK_BYTES):
         at = 0
         while at < len(total):
             before = total[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(total, before + size, "right")))
+            upto = min(max(at + 1, int(np.searchsorted(total, before + size, "right"))), at + rows)
             yield table.slice(at, upto - at)
             at = upto
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -53,7 +54,7 @@ def test_links_connect_what_all_pairs_connect(reach):
     values |= {centre ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(30)}
     values = sorted(values)
     points = np.array(values, np.uint64)
-    tree = simhash_trees.fit_tree(points[::3], 6, reach)
+    tree, _ = simhash_trees.fit_tree(points[::3], 6, reach)
     index, shard, home = simhash_trees.route(tree, points, reach)
     assert home.sum() == len(points)
     forest = simhash_trees.Forest()
@@ -75,18 +76,50 @@ def test_links_connect_what_all_pairs_connect(reach):
     assert [find(i) for i in range(len(values))] == brute_components(values, reach)
 
 
-def test_flipping_bits_finds_the_same():
+def test_midpoints_find_the_same():
     rng = np.random.default_rng(1)
-    points = np.unique(rng.integers(0, 1 << 20, 9000).astype(np.uint64))
-    few, many = simhash_trees.Forest(), simhash_trees.Forest()
-    simhash_trees._compare(points[:100], points[:500], 2, few)
-    assert len(points) > 64 * simhash_trees.LEAF
-    simhash_trees._compare(points, points[:50], 2, many)
-    near = np.bitwise_count(points[:50, None] ^ points) <= 2
-    i, j = np.nonzero(near & (points[:50, None] != points))
+    points = np.unique(rng.integers(0, 1 << 20, 3000).astype(np.uint64))
+    assert len(points) > simhash_trees.DENSE
+    found = simhash_trees.Forest(most=100)
+    simhash_trees._compare(points, points[:50], 2, found)
+    i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points) <= 2)
     want = simhash_trees.Forest()
-    want.add(points[i], points[j])
-    assert [x.tolist() for x in many.edges()] == [x.tolist() for x in want.edges()]
+    want.add(points[i[i != j]], points[j[i != j]])
+    assert [sorted(x.tolist()) for x in found.edges()][0] == [sorted(x.tolist()) for x in want.edges()][0]
+
+
+def dense_ball(rng, n, loose):
+    """Fingerprints up to four bits from one centre, in `loose` of its bits."""
+    flips = rng.integers(0, loose, (n, 4))
+    masks = np.bitwise_or.reduce(np.where(rng.random((n, 4)) < 0.8, np.uint64(1) << flips.astype(np.uint64), 0).astype(
+        np.uint64), axis=1)
+    return np.uint64(0x5A5A_1234_9876_F0F0) ^ masks
+
+
+def test_a_dense_ball_is_dealt_by_midpoints(corpus):
+    """Links of a ball next to random fingerprints are those of all pairs, and few rows are sent for it."""
+    rng = np.random.default_rng(4)
+    points = np.unique(np.concatenate([dense_ball(rng, 6000, 64), rng.integers(0, 1 << 63, 2000).astype(np.uint64)]))
+    table = corpus.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(4)
+    got = simhash_trees.fingerprint_links(table, shard_rows=400, sample=8000).toPandas()
+    tree, filled = simhash_trees.fit_tree(points[::8], len(points) // 400, 2)
+    assert filled.max() > simhash_trees.DENSE_SHARDS
+    assert len(simhash_trees.route(tree, points)[0]) < 3 * len(points)
+    forest, want = simhash_trees.Forest(), simhash_trees.Forest()
+    forest.add(got.a.to_numpy().view(np.uint64), got.b.to_numpy().view(np.uint64))
+    for s in range(0, len(points), 500):
+        i, j = np.nonzero(np.bitwise_count(points[s:s + 500, None] ^ points) <= 2)
+        want.add(points[s + i][points[s + i] != points[j]], points[j][points[s + i] != points[j]])
+    assert [x.tolist() for x in forest.edges()] == [x.tolist() for x in want.edges()]
+
+
+def test_long_texts_have_the_same_fingerprint(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 3) for _ in range(n)) for n in (5000, 3, 0, 1, 700)]
+    want = [brute_fingerprint(t) for t in texts]
+    for step in (1 << 15, 97):
+        monkeypatch.setattr(simhash_trees, "STEP", step)
+        assert simhash_trees.fingerprints_of(pa.chunked_array([texts])).tolist() == want
 
 
 def test_components_and_representatives(corpus):
@@ -94,22 +127,65 @@ def test_components_and_representatives(corpus):
     base = [" ".join(rng.choice("abcdefghijklm") * rng.randint(1, 4) for _ in range(rng.randint(0, 300))) for _ in range(40)]
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(100 + i, t.upper() if i % 2 else t + " tail") for i, t in enumerate(base)]
-    rows += [(200, None), (201, ""), (202, " \n"), (3, rows[3][1]), (203, "One"), (204, "one two")]
+    rows += [(200, None), (201, ""), (202, " \n"), (3, rows[3][1]), (203, "One"), (204, "one two"), (None, rows[9][1])]
     docs = corpus.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("fp", F.lit("own")).repartition(3)
     got = simhash_trees.components(docs).withColumn("hex", simhash_trees.hex_fingerprint(F.col("fp"))).collect()
     prints = [brute_fingerprint(t) for _, t in rows]
     roots = brute_components(prints, 2)
     least = {}
     for (d, _), r in zip(rows, roots, strict=True):
-        least[r] = min(least.get(r, d), d)
-    want = sorted((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, roots, strict=True))
-    assert sorted((r.doc_id, r.hex, r.component_id) for r in got) == want
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    want = sorted(((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, roots, strict=True)), key=repr)
+    assert sorted(((r.doc_id, r.hex, r.component_id) for r in got), key=repr) == want
     kept = simhash_trees.keep_representatives(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash_trees.components(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(corpus):
+    """Different texts under one id, rows without an id, and a near copy whose id is a representative elsewhere."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(rng.choice(["ab", "cd", "ef", "gh"]) + str(rng.randint(0, 99)) for _ in range(60))
+                  for _ in range(4))
+    rows = [(1, a, "p"), (1, b, "q"), (2, a.upper(), "r"), (3, c, "s"), (1, c, "t"), (None, d, "u"), (None, d, "v"),
+            (None, a, "w"), (5, None, "x"), (5, None, "y")]
+    docs = corpus.createDataFrame(rows, "doc_id BIGINT, text STRING, key STRING")
+    kept = [tuple(r) for r in simhash_trees.keep_representatives(docs).collect()]
+    assert set(kept) <= set(rows) and len(kept) == 5
+    assert {r[:2] for r in kept} == {(1, a), (1, b), (1, c), (None, d), (5, None)}
+    again = simhash_trees.keep_representatives(docs.repartition(3)).collect()
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in again)
+
+
+def test_negative_ids_and_repeated_query_ids(corpus):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(-3, (v[0] + 0.01).tolist()), (-50, v[1].tolist())]
+    rows += [(50, v[2].tolist())]  # an id with two vectors asks with the smallest
+    table = corpus.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = projection_forest.nearest(table, table.filter("vec_id % 50 = 0")).collect()
+    first = {r.query_id: r.vec_id for r in got if r["rank"] == 1}
+    assert first[0] == -3 and first[-50] == 1
+    assert first[50] == (2 if v[2].tolist() < v[50].tolist() else [r for r in got if r.query_id == 50][0].vec_id)
+
+
+def test_recall_where_the_share_of_leaves_decides(corpus, monkeypatch):
+    monkeypatch.setattr(projection_forest, "MIN_PROBES", 1)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 16)).astype(np.float32)
+    table = corpus.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = projection_forest.nearest(table, table.filter("vec_id % 50 = 0"), leaf_rows=60).toPandas()
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(part.vec_id))
+    assert 0.9 * len(got) <= hits
+
+
 def test_nearest_neighbours(corpus):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(900, 12)).astype(np.float32)
@@ -160,13 +236,13 @@ def test_language_on_held_out_documents(corpus):
     docs = corpus.read.parquet(f"{DATA}/documents.parquet")
     remainder = language_mixture.remainder("doc_id", 4)
     model = language_mixture.learn(docs.filter(remainder != 2))
-    extra = corpus.createDataFrame([(-1, None), (-2, ""), (-3, "12 345 !"), (-4, "世界")], "doc_id BIGINT, text STRING")
+    extra = corpus.createDataFrame([(-1, None), (-2, ""), (-3, "12 345 !"), (-4, "世界"), (-5, "½ ² ① Ⅷ")], "doc_id BIGINT, text STRING")
     both = docs.select("doc_id", "text").unionByName(extra)
     got = {r.doc_id: r for r in language_mixture.predict(both, model).collect()}
     held = [r for r in docs.filter(remainder == 2).collect()]
     assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.98 * len(held)
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert [got[i].lang_pred for i in (-1, -2, -3)] == ["und"] * 3 and got[-4].lang_pred in model[0]
+    assert [got[i].lang_pred for i in (-1, -2, -3, -5)] == ["und"] * 4 and got[-4].lang_pred in model[0]
     nothing = language_mixture.learn(docs.limit(0))
     assert {r.lang_pred for r in language_mixture.predict(docs, nothing).collect()} == {"und"}
 

@@ -58,7 +58,8 @@ def test_empty_documents(corpus):
 
 def test_nulls_and_repeated_rows_pass_through(corpus):
     raw = corpus.read.parquet(f"{DATA}/documents.parquet").limit(30)
-    odd = corpus.createDataFrame([(9001, None, None, None, None), (9002, "", "en", None, 0)], raw.schema)
+    odd = corpus.createDataFrame([(9001, None, None, None, None), (9002, "", "en", None, 0),
+                                  (None, "no id", "en", "s", 5), (9002, "other", "en", "s", 5)], raw.schema)
     docs = raw.unionByName(odd).unionByName(raw.limit(3)).withColumn("host", F.lit("x")).withColumn("row", F.lit(1))
     for name, stage in corpus_pipeline.STAGES:
         columns = docs.columns

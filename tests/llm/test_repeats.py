@@ -133,13 +133,12 @@ def test_line_frequency(corpus, monkeypatch, broadcast_bytes):
     rows = [(i, "h", f" menu \nown {i}\n\nmenu\nfoot" if i < 5 else f"own {i}\nfoot") for i in range(10)]
     rows += [(20, "h", None), (21, "h", ""), (22, None, "menu\nfoot"), (23, "small", "menu"), (23, "small", "menu")]
     docs = corpus.createDataFrame(rows, "page BIGINT, host STRING, text STRING").withColumn("bad", F.lit(1))
-    got = line_frequency.drop_frequent_lines(docs, F.col("host"), F.col("text"), ratio=0.4, min_pages=5, min_count=3,
-                                             extra=False)
+    got = line_frequency.drop_frequent_lines(docs, F.col("host"), F.col("text"), ratio=0.4)
     assert got.columns == docs.columns
     # 5 of 12 pages hold the menu, 10 of 12 the footer.
     want = [(i, "h", f"own {i}\n" if i < 5 else f"own {i}", 1) for i in range(10)] + [
-        (20, "h", None, 1), (21, "h", "", 1), (22, None, "menu\nfoot", 1), (23, "small", "menu", 1),
-        (23, "small", "menu", 1)]
+        (20, "h", None, 1), (21, "h", "", 1), (22, None, "menu\nfoot", 1), (23, "small", "", 1),
+        (23, "small", "", 1)]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert line_frequency.drop_frequent_lines(docs.limit(0), F.col("host"), F.col("text")).count() == 0
 
@@ -158,8 +157,9 @@ def test_boilerplate_of_small_hosts(corpus):
 
 
 def test_page_text_and_host(corpus):
-    page = "<html><script>x</script><p class='a'>One <b>two</b></p><!-- c --><li>three<br>four</html>"
+    page = ("<html><SCRIPT>x</SCRIPT><p class='a'>One <b>two</b></p><!-- c --><LI>three<br>four"
+            "<DIV>a &amp;lt; b&nbsp;c</html>")
     row = corpus.createDataFrame([("http://u:p@A.b:80/x?y", page)], "url STRING, html STRING").select(
         line_frequency.url_host(F.col("url")).alias("h"), line_frequency.html_text(F.col("html")).alias("t")).first()
     assert row.h == "a.b"
-    assert [s for s in row.t.split("\n") if s] == ["One two", "three", "four"]
+    assert [s for s in row.t.split("\n") if s] == ["One two", "three", "four", "a &lt; b c"]

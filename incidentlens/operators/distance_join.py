@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
-from ..session import stored
+from ..session import discard, stored
 from .skew import SMALL_ROWS, is_small, salted_join
 
 CELL = ["_row", "_col"]
 MAX_DIRECT_PAIRS = 200_000_000
 SMALL_SEARCH = 400_000
+#: Points looked at per answer, cuts of a cell into sixteen, and rings before the last.
+PER_ANSWER, FINEST, RINGS = 32, 12, 4
+#: Pairs of location and point that are a short list.
+SHORT_LIST = 5_000_000
 
 
 def with_cell(points: DataFrame, grid: geo.CellGrid, lat="latitude", lon="longitude") -> DataFrame:
@@ -212,6 +216,128 @@ def _candidates(todo, points, km, lat, lon, point_lat, point_lon, max_pairs):
     return salted_join(spots, kept.drop("_n").distinct(), CELL, [point_lat, point_lon])
 
 
+def nearest_k(locations: DataFrame, points: DataFrame, k: int, km: float, by: str, ties=("name",),
+              order=None, slack_km: float = 0.0, lat="lat", lon="lon", point_lat="latitude",
+              point_lon="longitude", per_answer: int = PER_ANSWER, short: int = SHORT_LIST) -> DataFrame:
+    """The first `k` points of each `by` value within `km` of each location's coordinates.
+
+    Returns (_lat, _lon, all columns of the points, distance, rank). Points stand by distance, then by `ties`
+    and position; `order` is another list of sort columns, for which distances that differ by up to `slack_km`
+    may count as equal.
+
+    Rings widen fourfold, from a radius that should hold some of each kind, up to `km`; a location leaves with
+    each value of which it has `k`. In a ring, cells of points bound the k-th distance from above, and cells
+    beyond it are dropped; while the cells left hold more than `per_answer` points for each answer, they are
+    cut finer. So the pairs that are looked at grow with the answers, not with the points in reach. Of points
+    of one value at one coordinate the first k are kept from the start. A list of up to `short` pairs is read
+    without rings and finer cuts.
+    """
+    ties = list(ties)
+    order = order or [F.col("distance"), *ties, point_lat, point_lon]
+    places = stored(locations.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct().filter(
+        F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
+    known = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()).withColumns({
+        "_plat": F.col(point_lat), "_plon": F.col(point_lon), "_by": F.coalesce(F.col(by).cast("string"), F.lit("\0"))})
+    same = Window.partitionBy("_plat", "_plon", "_by").orderBy(*ties)
+    first = known.withColumn("_k", F.row_number().over(same)).filter(F.col("_k") <= k)
+    # Never more than k items.
+    spots = stored(first.groupBy("_plat", "_plon", "_by").agg(
+        F.count("*").alias("_n"), F.collect_list(F.struct(*points.columns)).alias("_items")))
+    per_value = spots.groupBy("_by").agg(F.sum("_n").alias("n"), F.min("_plat").alias("a"), F.max("_plat").alias("b"),
+                                         F.min("_plon").alias("c"), F.max("_plon").alias("d"))
+    values = per_value.agg(F.count("*"), F.sum("n"), F.max("n"), F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
+    answers, done, n_places = [], None, places.count()
+    for r in _rings(values, n_places, k, km, short):
+        kept, n_kept, grid, full = _ring(places, n_places, spots, done, k, r, slack_km, per_answer, short, r < km)
+        pairs = salted_join(kept, with_cell(spots, grid, "_plat", "_plon"), [*CELL, "_by"], ["_lat", "_lon"], n_kept)
+        distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
+        near = pairs.withColumn("distance", distance).filter(F.col("distance") <= r).select(
+            "_lat", "_lon", "_by", "distance", F.inline("_items"))
+        best = Window.partitionBy("_lat", "_lon", "_by").orderBy(*order)
+        found = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        answers.append(found)
+        if full is None:
+            break
+        answers[-1] = stored(found)
+        done = full if done is None else done.unionByName(full)
+        finished = done.groupBy("_lat", "_lon").agg(F.count("*").alias("n")).filter(F.col("n") == values[0])
+        places = stored(places.join(finished, ["_lat", "_lon"], "left_anti"))
+        n_places = places.count()
+        if not n_places:
+            break
+    out = answers[0]
+    for part in answers[1:]:
+        out = out.unionByName(part)
+    return out.drop("_by")
+
+
+def _rings(values, n_places: int, k: int, km: float, short: int) -> list[float]:
+    """Radii: the first should hold a few times k points of a value, if they lay evenly in their box. One
+    radius, where all pairs within it should be a short list."""
+    n_values, n, most, a, b, c, d = values
+    if not n_values:
+        return [km]
+    high, wide = (b - a) * geo.KM_PER_DEGREE, (d - c) * geo.KM_PER_DEGREE * math.cos(math.radians((a + b) / 2))
+    area = max(high, 1e-3) * max(wide, 1e-3)
+    if n_places * n * min(1.0, math.pi * km * km / area) <= short:
+        return [km]
+    r, out = math.sqrt(4 * k * area / (math.pi * most)), []
+    while r < km / 2:
+        out.append(r)
+        r *= 4
+    return [*out[-RINGS:], km]
+
+
+def _ring(places, n_places, spots, done, k, r, slack_km, per_answer, short, open_end):
+    """(cells to read for each location and value, their number, their grid, what is full): the cells that may
+    hold one of the first k within `r`. With `open_end`, only for locations that have k there."""
+    ends = ["_lat", "_lon", "_by"]
+    bounds = [F.min("_plat").alias("_a"), F.max("_plat").alias("_b"), F.min("_plon").alias("_c"),
+              F.max("_plon").alias("_d"), F.sum("_n").alias("_n")]
+    near, far = geo.box_distance_bounds(F.col("_lat"), F.col("_lon"), [F.col(x) for x in ("_a", "_b", "_c", "_d")])
+    nearer = Window.partitionBy(*ends).orderBy("_far", *CELL).rowsBetween(Window.unboundedPreceding, 0)
+
+    def surviving(cells):
+        """Cells that may hold one of the first k: the k-th is no farther than `_limit`."""
+        held = cells.withColumns({"_near": near, "_far": far}).filter(F.col("_near") <= r * (1 + 1e-9))
+        held = held.withColumn("_upto", F.sum("_n").over(nearer))
+        limit = F.min(F.when(F.col("_upto") >= k, F.col("_far"))).over(Window.partitionBy(*ends))
+        held = held.withColumn("_limit", limit)
+        within = F.col("_near") <= F.coalesce("_limit", F.lit(r)) * (1 + 1e-9) + slack_km
+        if open_end:
+            within = within & (F.col("_limit") + slack_km <= r)
+        return stored(held.filter(within).select(*ends, *CELL, "_n"))
+
+    side = r / 2
+    grid = geo.CellGrid(side)
+    placed = with_cell(spots, grid, "_plat", "_plon")
+    # A circle touches some thirty cells of half its radius.
+    search = with_search_cells(places, grid, r, "_lat", "_lon")
+    cells = salted_join(search, placed.groupBy(*CELL, "_by").agg(*bounds), CELL, ["_lat", "_lon"], 50 * n_places)
+    if done is not None:
+        cells = cells.join(done, ends, "left_anti")
+    kept = surviving(cells)
+    full = stored(kept.select(*ends).distinct()) if open_end else None
+    for _ in range(FINEST):
+        size = kept.groupBy(*ends).agg(F.sum("_n").alias("n")).agg(F.sum("n"), F.count("*")).first()
+        if (size[0] or 0) <= max(short, per_answer * k * size[1]):
+            break
+        side /= 4
+        grid = geo.CellGrid(side)
+        finer = with_cell(placed.withColumnsRenamed({"_row": "_row0", "_col": "_col0"}), grid, "_plat", "_plon")
+        parts = finer.groupBy("_row0", "_col0", *CELL, "_by").agg(*bounds)
+        mine = kept.select(*ends, F.col("_row").alias("_row0"), F.col("_col").alias("_col0"))
+        # A fine cell on the border of two coarse ones is two parts here, each with its own points.
+        halves = salted_join(mine, parts, ["_row0", "_col0", "_by"], ["_lat", "_lon"], kept.count())
+        whole = halves.groupBy(*ends, *CELL).agg(
+            F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.min("_c").alias("_c"), F.max("_d").alias("_d"),
+            F.sum("_n").alias("_n"))
+        following = surviving(whole)
+        discard(kept)
+        kept, placed = following, finer.drop("_row0", "_col0")
+    return kept.drop("_n"), kept.count(), grid, full
+
+
 def nearest_centre(locations: DataFrame, centres: DataFrame, zone="zone", centre_lat="center_lat",
                    centre_lon="center_lon", lat="lat", lon="lon", out="zone",
                    max_centres: int = 1_000) -> DataFrame:

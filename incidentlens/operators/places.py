@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,7 +10,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions.geo import haversine_km
 from . import stats
-from .distance_join import counts_within, within_box, within_distance
+from .distance_join import counts_within, nearest_k, within_box, within_distance
 from .skew import salted_join
 
 
@@ -66,10 +66,13 @@ def places_near(incidents: DataFrame, places: DataFrame, km: float,
 def nearest_places_per_type(incidents: DataFrame, places: DataFrame,
                             km: float = rules.INCIDENT_POI_KM, most: int = rules.POIS_PER_TYPE,
                             key: str = "incident_id") -> DataFrame:
-    """At most three places of each type close to each incident."""
-    pairs = places_near(incidents, places, km, key)
-    order = Window.partitionBy(key, "type").orderBy("distance_meters", "name")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    """At most three places of each type close to each incident, by distance in decimetres, then name."""
+    metres = C.round_half_up(F.col("distance") * 1000, 1)
+    where = incidents.select(key, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    found = nearest_k(where, places, most, km, "type", order=[metres, "name"], slack_km=1e-4, lat="_lat",
+                      lon="_lon").withColumn("distance_meters", metres).drop("distance")
+    return salted_join(where, found, ["_lat", "_lon"], [key]).withColumnsRenamed(
+        {"_lat": "crime_lat", "_lon": "crime_lon"})
 
 
 def places_with_fallback(incidents: DataFrame, places: DataFrame, km: float,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from .distance_join import counts_within, within_distance
+from .distance_join import counts_within, nearest_k
+from .skew import salted_join
 
 
 def group_weights(spark: SparkSession) -> DataFrame:
@@ -62,12 +63,11 @@ def nearby_counts(locations: DataFrame, points: DataFrame, km: float,
 def nearest_of_each_type(locations: DataFrame, amenities: DataFrame,
                          km: float = rules.AMENITY_RADIUS_KM, key: str = "loc_id") -> DataFrame:
     """The nearest amenity of each type within `km` (by name, then position, on ties)."""
-    pairs = within_distance(locations.select(key, "lat", "lon"), amenities, km)
-    item = F.struct("distance", "name", "latitude", "longitude")
-    return (pairs.groupBy(key, "type").agg(F.min(item).alias("_best"))
-            .select(key, "type", "_best.name",
-                    C.round_half_up(F.col("_best.distance"), 2).alias("distance_km"),
-                    "_best.latitude", "_best.longitude"))
+    found = nearest_k(locations, amenities, 1, km, "type")
+    home = locations.select(key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    # A coordinate may have any number of locations, and one row per type here.
+    return salted_join(home, found, ["_lat", "_lon"], [key]).select(
+        key, "type", "name", C.round_half_up(F.col("distance"), 2).alias("distance_km"), "latitude", "longitude")
 
 
 def amenity_cards(locations: DataFrame, amenities: DataFrame,

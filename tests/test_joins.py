@@ -71,6 +71,66 @@ def test_nearest_reaches_far_locations(spark, max_pairs):
         assert abs(got[i][1] - d.min()) < 1e-6
 
 
+def brute_nearest_k(places, points, k, km):
+    """{(place, type): [(distance, name)]} for places (lat, lon) and points (name, type, lat, lon)."""
+    out = {}
+    for i, (a, o) in enumerate(places):
+        for name, kind, y, x in points:
+            d = float(haversine(a, o, y, x))
+            if d <= km:
+                out.setdefault((i, kind), []).append((d, name))
+    return {key: sorted(v)[:k] for key, v in out.items()}
+
+
+@pytest.mark.parametrize(("k", "km", "per_answer", "short"), [(1, 3.0, 32, 10**6), (3, 8.0, 1, 0), (2, 0.4, 0.1, 0)])
+def test_nearest_k_of_each_kind(spark, k, km, per_answer, short):
+    rng = np.random.default_rng(k)
+    places = [(40.7 + float(a) / 50, -74.0 + float(b) / 50) for a, b in rng.normal(size=(30, 2))] + [(41.9, -73.0)]
+    spots = [(40.7 + float(a) / 30, -74.0 + float(b) / 30) for a, b in rng.normal(size=(400, 2))]
+    points = [(f"p{i % 90:03d}", ["a", "b", "rare"][2 if i % 80 == 0 else i % 2], y, x) for i, (y, x) in enumerate(spots)]
+    points += [(f"s{i}", "a", 40.7, -74.0) for i in range(20)] + points[:5]  # one coordinate, and repeated rows
+    locations = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate([*places, places[0]])] + [(99, None, 1.0)],
+                                      "loc_id INT, lat DOUBLE, lon DOUBLE")
+    table = spark.createDataFrame(points, "name STRING, type STRING, latitude DOUBLE, longitude DOUBLE")
+    got = {}
+    for r in J.nearest_k(locations, table, k, km, "type", per_answer=per_answer, short=short).collect():
+        got.setdefault((places.index((r._lat, r._lon)), r.type), []).append((r["rank"], r.distance, r.name))
+    want = brute_nearest_k(places, points, k, km)
+    assert set(got) == set(want)
+    for key, rows in got.items():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(want[key]) + 1))
+        assert [r[2] for r in rows] == [w[1] for w in want[key]]
+        assert np.allclose([r[1] for r in rows], [w[0] for w in want[key]])
+
+
+def test_nearest_k_reads_few_of_many_neighbours(spark):
+    """100,000 places around one location: the cells left hold a few points per answer."""
+    points = spark.range(100_000).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), (F.col("id") % 3).cast("string").alias("type"),
+        (40.7 + (F.col("id") * 7919 % 100_003) / 3e6).alias("latitude"),
+        (-74.0 + (F.col("id") * 104_729 % 100_019) / 3e6).alias("longitude"))
+    location = spark.createDataFrame([(1, 40.715, -73.985)], "loc_id INT, lat DOUBLE, lon DOUBLE")
+    spots = points.select(F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"),
+                          F.col("type").alias("_by"), F.lit(1).alias("_n"))
+    place = location.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    kept, n, grid, _ = J._ring(place, 1, spots, None, 3, 50.0, 0.0, J.PER_ANSWER, 0, False)
+    assert n == kept.count()
+    read = kept.join(J.with_cell(spots, grid, "_plat", "_plon"), [*J.CELL, "_by"]).count()
+    assert 9 <= read <= 3 * 3 * J.PER_ANSWER
+    got = J.nearest_k(location, points, 3, 50.0, "type", short=0).collect()
+    rows = points.toPandas()
+    rows["d"] = haversine(40.715, -73.985, rows.latitude, rows.longitude)
+    want = rows.sort_values(["d", "name"]).groupby("type").head(3)
+    assert sorted(r.name for r in got) == sorted(want.name)
+
+
+def test_nearest_k_of_nothing(spark):
+    _, _, locations, _ = frames(spark)
+    empty = spark.createDataFrame([], "name STRING, type STRING, latitude DOUBLE, longitude DOUBLE")
+    assert J.nearest_k(locations, empty, 3, 5.0, "type").count() == 0
+
+
 def test_nearest_without_points(spark):
     _, _, locations, points = frames(spark)
     assert J.nearest(locations, points.limit(0), "pid").count() == 0

@@ -395,12 +395,21 @@ ab AS (SELECT any_value(w) AS w, max(n) FILTER (k = cluster) AS n,
 sil AS (SELECT sum(w * CASE WHEN n > 1 THEN coalesce((b - a) / greatest(a, b), 0) ELSE 0 END) / sum(w) AS s
   FROM ab WHERE b IS NOT NULL)"""
 _CH_QUAD = _CH.replace("FROM hot", "FROM quad")
+_EUCLIDEAN = """
+pt AS (SELECT p.*, c.n FROM p JOIN c USING (cluster)),
+ds AS (SELECT a.cluster, a.x, a.y, a.w, a.n AS own, b.cluster AS k, any_value(b.n) AS n,
+  sum(b.w * sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS t FROM pt a JOIN pt b ON true GROUP BY ALL),
+eu AS (SELECT w, any_value(own) AS n, max(t) FILTER (k = cluster) / greatest(any_value(own) - 1, 1) AS a,
+  min(t / n) FILTER (k <> cluster) AS b FROM ds GROUP BY cluster, x, y, w),
+esil AS (SELECT sum(w * CASE WHEN n > 1 THEN coalesce((b - a) / greatest(a, b), 0) ELSE 0 END) / sum(w) AS s
+  FROM eu WHERE b IS NOT NULL)"""
 
 
-@query("m19_cluster_quality", sql("quad", f"""@{_CH_QUAD},{_SIL}
+@query("m19_cluster_quality", sql("quad", f"""@{_CH_QUAD},{_SIL},{_EUCLIDEAN}
 SELECT (SELECT count(*) FROM c) AS n_clusters,
   (SELECT count(*) FROM quad WHERE cluster = -1) AS n_noise_points,
-  round((SELECT s FROM sil), 6) AS silhouette_score,
+  round((SELECT s FROM esil), 6) AS silhouette_score,
+  round((SELECT s FROM sil), 6) AS silhouette_squared,
   round((SELECT avg(worst) FROM db), 6) AS davies_bouldin_score,
   round((SELECT sum(sc.n * (power(cx - mx, 2) + power(cy - my, 2))) / (count(*) - 1)
     / (sum(w) / (any_value(m.n) - count(*))) FROM sc JOIN m ON true), 3)
@@ -408,6 +417,7 @@ SELECT (SELECT count(*) FROM c) AS n_clusters,
 def m19_quality(spark, d):
     return E.cluster_quality(quadrants(spark, d)).withColumns({
         "silhouette_score": F.round("silhouette_score", 6),
+        "silhouette_squared": F.round("silhouette_squared", 6),
         "davies_bouldin_score": F.round("davies_bouldin_score", 6),
         "calinski_harabasz_score": F.round("calinski_harabasz_score", 3)})
 
@@ -455,10 +465,10 @@ def _rating(c, high, low):
     return f"CASE WHEN {c} > {high} THEN 'EXCELLENT' WHEN {c} > {low} THEN 'GOOD' ELSE 'FAIR' END"
 
 
-@query("m24_overall_grade", sql("quad zon", f"""@{_CH_QUAD},{_SIL},{_PROFILES},
+@query("m24_overall_grade", sql("quad zon", f"""@{_CH_QUAD},{_SIL},{_EUCLIDEAN},{_PROFILES},
 z AS (SELECT zone, avg(concentration) AS c FROM prof GROUP BY 1),
 conc AS (SELECT count(*) AS n, avg(c) AS c FROM z),
-g AS (SELECT 'DBSCAN Clustering' AS model, {_rating("s", 0.5, 0.25)} AS rating, s AS score FROM sil
+g AS (SELECT 'DBSCAN Clustering' AS model, {_rating("s", 0.5, 0.25)} AS rating, s AS score FROM esil
   WHERE s IS NOT NULL UNION ALL
   SELECT 'Demographic Zones', {_rating("c", 60, 40)}, c / 100::DOUBLE FROM conc WHERE n > 0),
 o AS (SELECT avg(score) AS o FROM g)

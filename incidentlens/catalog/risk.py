@@ -290,20 +290,18 @@ def d11_merge(spark, d):
 
 
 @query("d12_between_cities", sql("inc", f"""@
-s AS (SELECT borough AS city, {_cell(2)} AS grid_cell_id, floor({_SCORE} * 10.0::DOUBLE + 0.5)
-  / 10.0::DOUBLE AS v FROM inc GROUP BY 1, 2)
-SELECT city, grid_cell_id, v AS safety_score, round(percent_rank() OVER (PARTITION BY city
+s AS (SELECT borough AS city, {_cell(2)} AS grid_cell_id, {_SCORE} AS v FROM inc GROUP BY 1, 2)
+SELECT city, grid_cell_id, round(v, 6) AS safety_score, round(percent_rank() OVER (PARTITION BY city
   ORDER BY v), 6) AS percentile FROM s"""))
 def d12(spark, d):
     """Boroughs stand for cities."""
     cell = risk.cell_id(F.col("latitude"), F.col("longitude"), 2)
     scores = zones.zone_scores(fx.incidents(spark, d).withColumn(
         "zone", F.struct(F.col("borough").alias("city"), cell.alias("grid_cell_id")))).select(
-        "zone.city", "zone.grid_cell_id",
-        C.round_half_up(F.col("safety_score"), 1).alias("safety_score"))
-    return risk.normalise_between_cities(scores).withColumn(
-        "percentile", F.round("percentile", 6)).select(
-        "city", "grid_cell_id", "safety_score", "percentile")
+        "zone.city", "zone.grid_cell_id", "safety_score")
+    return risk.normalise_between_cities(scores).select(
+        "city", "grid_cell_id", F.round("safety_score", 6).alias("safety_score"),
+        F.round("percentile", 6).alias("percentile"))
 
 
 @query("d13_extra_layers", sql("inc am loc", f"""@

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .silhouette import silhouette
 from .skew import is_small
 
 MAX_LISTED = 2_000
@@ -99,45 +100,16 @@ def _worst_by_rings(scatter: DataFrame, label: str) -> DataFrame:
         radius *= 4
 
 
-def silhouette(df: DataFrame, label: str, x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """One row: mean silhouette of all rows by squared distances, null below two clusters.
-
-    The mean squared distance from a point to a cluster is that to its centre plus the cluster's own
-    variance, so every point needs the clusters' centres only; time grows with the different points.
-    """
-    spots = df.groupBy(F.col(label).alias("c"), F.col(x).alias("x"), F.col(y).alias("y")).agg(
-        F.count("*").alias("w"))
-    centres = spots.groupBy("c").agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("cx"),
-        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("cy"))
-
-    def squared(cx, cy):
-        return (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
-
-    inner = spots.join(centres, "c").groupBy("c").agg(
-        F.first("n").alias("n"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
-        (F.sum(F.col("w") * squared(F.col("cx"), F.col("cy"))) / F.first("n")).alias("v"))
-    # One entry per cluster.
-    listed = inner.agg(F.collect_list(F.struct("c", "n", "cx", "cy", "v"))).scalar()
-    ways = F.transform(F.col("all"), lambda k: F.struct(
-        k["c"].alias("c"), k["n"].alias("n"), (squared(k["cx"], k["cy"]) + k["v"]).alias("d")))
-    own = F.get(F.filter("ways", lambda k: k["c"] == F.col("c")), 0)
-    a, b = own["d"] * own["n"] / (own["n"] - 1), F.array_min(
-        F.transform(F.filter("ways", lambda k: k["c"] != F.col("c")), lambda k: k["d"]))
-    value = F.when(own["n"] > 1, F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0))).otherwise(0.0)
-    seen = spots.withColumn("all", listed).withColumn("ways", ways).select(
-        "w", F.when(b.isNotNull(), value).alias("s"))
-    return seen.agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("silhouette"))
-
-
 def cluster_quality(labelled: DataFrame, label: str = "cluster") -> DataFrame:
-    """One row: cluster and noise counts and the three separation measures, noise left out."""
+    """One row: cluster and noise counts and the separation measures, noise left out; the silhouette with plain
+    distances, which the grades go by, and with squared ones."""
     inside = labelled.filter(F.col(label) != -1)
     centres = centroids(inside, label)
     return labelled.agg(
         F.count_distinct(F.when(F.col(label) != -1, F.col(label))).alias("n_clusters"),
         F.count_if(F.col(label) == -1).alias("n_noise_points")).withColumns({
             "silhouette_score": silhouette(inside, label).scalar(),
+            "silhouette_squared": silhouette(inside, label, squared=True).scalar(),
             "davies_bouldin_score": davies_bouldin(inside, label).scalar(),
             "calinski_harabasz_score": calinski_harabasz(centres).scalar()})
 

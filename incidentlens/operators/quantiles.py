@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .ranking import running_total
 
 MAX_DISTINCT = 200_000
 SPLITS = 256
@@ -73,16 +74,14 @@ def _value_at(counts: DataFrame, rank: int, max_distinct: int) -> float:
 
 
 def percent_rank_by(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """`percent_rank()` of a score within its group without sorting the group's rows.
+    """`percent_rank()` of a score within its group, whatever the group's size.
 
-    Ranks are running totals over the (group, value) counts and reach the rows by a join on those two
-    columns.
+    Ranks are running totals over the (group, value) counts, taken over the whole table by range partitions,
+    and reach the rows by a join on those two columns.
     """
-    counts = df.groupBy(group, value).agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(group).orderBy(value)
-    before = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_n").over(Window.partitionBy(group))
-    ranks = counts.select(
-        group, value,
-        F.when(total > 1, F.coalesce(before, F.lit(0)) / (total - 1)).otherwise(0.0).alias(out))
+    counts = running_total(df.groupBy(group, value).agg(F.count("*").alias("_n")), [group, value], "_n", "_before")
+    sizes = counts.groupBy(group).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_total"))
+    rank = (F.col("_before") - F.col("_start")) / (F.col("_total") - 1)
+    ranks = counts.join(sizes, group).select(
+        group, value, F.when(F.col("_total") > 1, rank).otherwise(0.0).alias(out))
     return df.join(ranks, [group, value], "left")

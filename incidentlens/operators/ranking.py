@@ -26,6 +26,20 @@ def global_rank(df: DataFrame, order, out: str) -> DataFrame:
             .drop("_part", "_pos", "_shift"))
 
 
+def running_total(df: DataFrame, order, value: str, out: str) -> DataFrame:
+    """Sum of `value` over all rows before each row in a total order, by range partitions and prefix sums."""
+    order = list(order)
+    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    return (parts.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .join(F.broadcast(shift), "_part").withColumn(out, F.col("_inside") + F.col("_shift"))
+            .drop("_part", "_inside", "_shift"))
+
+
 def rank_within(df: DataFrame, group, order, out: str) -> DataFrame:
     """Position (from 1) of each row in its group; `order` must tell all rows of a group apart.
 

@@ -159,10 +159,13 @@ def percentile_rank(value: Column, ordered: Column) -> Column:
 
 
 def share_below(table: DataFrame, value: str, out: str) -> DataFrame:
-    """Share (in %) of all rows whose value is strictly smaller, for a table of one row per zone."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.rank().over(Window.orderBy(value))
-    return table.withColumn(out, (rank - 1) * 100.0 / n)
+    """Share (in %) of all rows whose value is strictly smaller; a null value has none below it."""
+    from .ranking import running_total
+
+    counts = running_total(table.groupBy(value).agg(F.count("*").alias("_n")), [value], "_n", "_before")
+    total = counts.agg(F.sum("_n")).scalar()
+    below = counts.select(value, (F.col("_before") * 100.0 / total).alias(out))
+    return table.join(below, value, "left").na.fill(0.0, [out]).select(*table.columns, out)
 
 
 def facets(df: DataFrame, names, keep) -> DataFrame:

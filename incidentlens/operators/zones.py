@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..functions import rules
 from ..session import stored
 from . import stats
 from .distance_join import nearest_centre
+from .silhouette import nearest_of_many
 from .skew import is_small
 
 COORDINATES = ("latitude", "longitude")
@@ -137,18 +138,40 @@ def fit_demographic_zones(incidents: DataFrame, k: int = 25, seed: int = 42, n_i
     features = {f"f_{c}": f"({c} - ({m!r})) / {s!r}D * {COORDINATE_FACTOR}D"
                 for c, (m, s) in scale.items()}
     names = [c for c in rules.DEMOGRAPHIC_COLUMNS if c in incidents.columns]
+    long = []
     for c in names:
-        # Attribute values are a short code list; a longer one is refused, not cut.
-        values = [r[0] for r in known.select(c).distinct().orderBy(c).limit(MAX_LABELS + 1)
-                  .collect()]
+        # Attribute values are a short code list as a rule; one that is longer is indexed instead.
+        values = [r[0] for r in known.select(c).distinct().orderBy(c).limit(MAX_LABELS + 1).collect()]
         if len(values) > MAX_LABELS:
-            raise ValueError(f"{c} has more than {MAX_LABELS} values")
+            long.append(c)
+            continue
         for i, v in enumerate(values):
             features[f"f_{c}_{i}"] = (
                 f"IF({c} = {_literal(v)}, {DEMOGRAPHIC_FACTOR}D, 0D)")
+    if long:
+        return _model_of_long_lists(known, features, long, k, seed, n_init, max_iter, parallel)
     return _model(known, features, k, seed, n_init, max_iter, parallel)
 
 
+def _model_of_long_lists(df: DataFrame, expressions: dict, names, k, seed, n_init, max_iter, parallel) -> PipelineModel:
+    """Like `_model`, with one-hot vectors of the attributes in `names`, weighted like the others."""
+    select = ", ".join(f"{sql} AS {name}" for name, sql in expressions.items())
+    features = SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
+    flat = stored(features.transform(df).groupBy(*expressions, *names).agg(F.count("*").alias("w")))
+    indexed = StringIndexer(inputCols=names, outputCols=[f"i_{c}" for c in names], handleInvalid="keep").fit(flat)
+    encoded = OneHotEncoder(inputCols=[f"i_{c}" for c in names], outputCols=[f"v_{c}" for c in names],
+                            dropLast=False).fit(indexed.transform(flat))
+    wide = [f"w_{c}" for c in names]
+    # A vector times a number, as an interaction of the two.
+    factor = SQLTransformer(statement=f"SELECT *, {DEMOGRAPHIC_FACTOR}D AS _factor FROM __THIS__")
+    scaled = [Interaction(inputCols=["_factor", f"v_{c}"], outputCol=w) for c, w in zip(names, wide, strict=True)]
+    assembler = VectorAssembler(inputCols=[*expressions, *wide], outputCol="features")
+    prepared = PipelineModel(stages=[indexed, encoded, factor, *scaled, assembler])
+    rows = prepared.transform(flat).select("features", F.col("w").cast("double").alias("w"))
+    best = _fit(rows, k, seed, n_init, max_iter, parallel)
+    return PipelineModel(stages=[features, *prepared.stages, best])
+
+
 def demographic_profiles(zoned: DataFrame, zone: str = "zone",
                          names=tuple(rules.DEMOGRAPHIC_COLUMNS)) -> DataFrame:
     """Per zone and attribute: counts of every value, the commonest value and its share in %."""
@@ -275,23 +298,33 @@ def fitted(model: PipelineModel, incidents: DataFrame) -> DataFrame:
 
 
 def assign_to_centres(df: DataFrame, centres: DataFrame, scale: dict, zone: str = "zone",
-                      out: str = "zone") -> DataFrame:
+                      out: str = "zone", max_listed: int = MAX_LABELS) -> DataFrame:
     """Zone by the nearest given centre in standardised space (lowest zone on ties).
 
-    `scale` is {"latitude": (mean, deviation), ...}; centres are in degrees, a few dozen at most
-    (checked), and travel as one array.
+    `scale` is {"latitude": (mean, deviation), ...}; centres are in degrees. Up to `max_listed` of them
+    (checked) travel as one array; more are searched tile by tile. Rows without coordinates have no zone.
     """
-    if not is_small(centres, MAX_LABELS):
-        raise ValueError(f"more than {MAX_LABELS} centres")
+    spread = {c: F.lit(s) for c, (_, s) in scale.items()}
+    if not is_small(centres, max_listed):
+        x, y = F.col("longitude") / spread["longitude"], F.col("latitude") / spread["latitude"]
+        placed = df.withColumns({"_x": x, "_y": y})
+        known = placed.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        found = nearest_of_many(
+            known.select(F.col("_x").alias("x"), F.col("_y").alias("y")),
+            centres.select(F.col(zone).alias("k"), (F.col("center_lon") / spread["longitude"]).alias("cx"),
+                           (F.col("center_lat") / spread["latitude"]).alias("cy")))
+        found = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("k").alias("_k"))
+        return placed.join(found, ["_x", "_y"], "left").withColumn(out, F.col("_k")).select(
+            *[c for c in df.columns if c != out], out)
     listed = centres.select(F.sort_array(F.collect_list(
         F.struct(zone, "center_lat", "center_lon")))).scalar()
-    spread = {c: F.lit(s) for c, (_, s) in scale.items()}
 
     def squared(c):
         dy = (F.col("latitude") - c["center_lat"]) / spread["latitude"]
         dx = (F.col("longitude") - c["center_lon"]) / spread["longitude"]
         return F.struct((dx * dx + dy * dy).alias("d"), c[zone].alias("zone"))
 
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     return (df.withColumn("_centres", listed)
-            .withColumn(out, F.array_min(F.transform("_centres", squared))["zone"])
+            .withColumn(out, F.when(known, F.array_min(F.transform("_centres", squared))["zone"]))
             .drop("_centres"))

@@ -5,7 +5,7 @@ import pytest
 from brute import haversine
 from pyspark.sql import functions as F
 
-from incidentlens.operators import classify, density as D, evaluate as E, places, stats, zones
+from incidentlens.operators import classify, density as D, evaluate as E, places, quantiles, silhouette, stats, zones
 
 
 def blobs(spark, n=240, k=4, seed=1):
@@ -47,10 +47,65 @@ def test_separation_measures(spark):
         a = means.pop(label[i])
         b = min(means.values())
         values.append((b - a) / max(a, b))
-    got = E.silhouette(df, "cluster").first()[0]
+    got = E.silhouette(df, "cluster", squared=True).first()[0]
     assert got == pytest.approx(np.mean(values), rel=1e-9)
 
 
+def plain_silhouette(at, label):
+    """Mean silhouette by all pairs of plain distances."""
+    d = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])
+    values = []
+    for i in range(len(at)):
+        if (label == label[i]).sum() == 1:
+            values.append(0.0)
+            continue
+        means = {c: d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in set(label.tolist())}
+        a = means.pop(label[i])
+        b = min(means.values())
+        values.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(values))
+
+
+def shapes(kind):
+    rng = np.random.default_rng(11)
+    if kind == "one tight, one wide":
+        at = np.concatenate([rng.normal(0, 1e-4, (1500, 2)), rng.uniform(-1, 1, (900, 2)) + [0.3, 0]])
+        return at, np.repeat([0, 1], [1500, 900])
+    if kind == "many":
+        centre = rng.uniform(0, 1, (40, 2)) ** 3
+        label = np.r_[rng.integers(0, 40, 1200), 40, 41]
+        at = np.concatenate([centre[label[:1200]] + rng.normal(0, 0.02, (1200, 2)), [[5.0, 5.0], [0.5, -3.0]]])
+        return at, label
+    at = np.round(rng.uniform(0, 1, (800, 2)), 1)  # much repeated coordinates, all over one another
+    return at, rng.integers(0, 3, 800)
+
+
+@pytest.mark.parametrize("kind", ["one tight, one wide", "many", "repeated"])
+def test_silhouette_with_plain_distances(spark, kind):
+    at, label = shapes(kind)
+    df = spark.createDataFrame([(int(c), float(x), float(y)) for c, (x, y) in zip(label, at, strict=True)],
+                               "cluster INT, longitude DOUBLE, latitude DOUBLE")
+    got = silhouette.silhouette(df, "cluster").first()[0]
+    assert got == pytest.approx(plain_silhouette(at, label), abs=1e-8)
+
+
+def test_most_distances_come_from_series(spark):
+    """Of a large cluster only the cells next to a point are read point by point."""
+    rng = np.random.default_rng(12)
+    at = np.concatenate([rng.uniform(0, 1, (3000, 2)), rng.uniform(3, 4, (3000, 2))])
+    df = spark.createDataFrame([(i // 3000, float(x), float(y)) for i, (x, y) in enumerate(at)],
+                               "cluster INT, longitude DOUBLE, latitude DOUBLE")
+    spots = silhouette._spots(df, "cluster", "longitude", "latitude")
+    clusters = silhouette._clusters(spots)
+    placed = silhouette._placed(spots, clusters)
+    tiles = silhouette._tiles(placed, clusters)
+    rivals = silhouette._rivals(tiles, clusters, False)
+    assert rivals.count() == tiles.count()
+    members = silhouette._members(spots, clusters)
+    far, near = silhouette._walk(rivals, tiles, clusters, silhouette._cells(members), 20)
+    assert near.count() == 0 and far.count() <= 30 * tiles.count()
+
+
 def test_worst_ratio_by_rings(spark):
     rng = np.random.default_rng(8)
     at = rng.uniform(0, 1, (60, 2)) ** 3
@@ -184,3 +239,45 @@ def test_fallback_box(spark):
     got = sorted((r.incident_id, r.name, r.method) for r in places.places_with_fallback(
         incidents, shops, 0.1).collect())
     assert got == [("1", "n", "radius"), ("2", "n", "radius"), ("3", "b", "box")]
+
+
+def test_many_centres_are_searched_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    at, centre = rng.normal(0, 1, (300, 2)), np.concatenate([rng.normal(0, 1, (80, 2)), [[0.5, 0.5], [0.5, 0.5]]])
+    df = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(at)] + [(999, None, 1.0)],
+                               "id INT, latitude DOUBLE, longitude DOUBLE")
+    centres = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(centre)],
+                                    "zone INT, center_lat DOUBLE, center_lon DOUBLE")
+    scale = {"latitude": (0.1, 2.0), "longitude": (0.0, 0.5)}
+    listed = {r.id: r.zone for r in zones.assign_to_centres(df, centres, scale).collect()}
+    searched = zones.assign_to_centres(df, centres, scale, max_listed=10)
+    assert searched.columns == ["id", "latitude", "longitude", "zone"]
+    assert {r.id: r.zone for r in searched.collect()} == listed
+    d = ((at[:, None, 0] - centre[:, 0]) / 2) ** 2 + ((at[:, None, 1] - centre[:, 1]) / 0.5) ** 2
+    assert all(listed[i] == int(np.argmin(d[i])) for i in range(300)) and listed[999] is None
+
+
+def test_demographic_zones_of_long_value_lists(spark, monkeypatch):
+    """Values beyond the short list are indexed and one-hot encoded; the zones are those of the short form."""
+    rng = np.random.default_rng(5)
+    rows = [(str(i), 40.5 + 0.1 * float(rng.integers(0, 2)), -74.0, ["A", "B"][i % 2], "W", "F") for i in range(1200)]
+    df = spark.createDataFrame(rows, "incident_id STRING, latitude DOUBLE, longitude DOUBLE, vic_age_group STRING, "
+                               "vic_race STRING, vic_sex STRING")
+    short = zones.assign(zones.fit_demographic_zones(df, k=4, n_init=2), df)
+    monkeypatch.setattr(zones, "MAX_LABELS", 1)
+    long = zones.assign(zones.fit_demographic_zones(df, k=4, n_init=2), df)
+    both = short.withColumnRenamed("zone", "a").join(long.select("incident_id", F.col("zone").alias("b")), "incident_id")
+    assert both.select("a", "b").distinct().count() == 4
+    assert short.select("zone").distinct().count() == long.select("zone").distinct().count() == 4
+
+
+def test_ranks_without_one_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i % 3 if i % 4 else 0}", float(v)) for i, v in enumerate(rng.integers(0, 40, 400))] + [("solo", 1.0)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    for r in quantiles.percent_rank_by(df, "g", "v", "p").collect():
+        mine = [v for g, v in rows if g == r.g]
+        want = sum(v < r.v for v in mine) / (len(mine) - 1) if len(mine) > 1 else 0.0
+        assert r.p == pytest.approx(want)
+    for r in stats.share_below(df, "v", "p").collect():
+        assert r.p == pytest.approx(100 * sum(v < r.v for _, v in rows) / len(rows))

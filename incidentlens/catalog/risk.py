@@ -10,7 +10,8 @@ from ..operators import classify
 from ..operators import density as D
 from ..operators import hotspots as H
 from ..operators import risk, zones
-from ..session import scratch_folder
+from ..session import scratch_folder, stored
+from ..sources import city_layers
 from ..sources import fixtures as fx
 from ..streaming import incremental
 from .base import (
@@ -226,6 +227,25 @@ def d10_marks(spark, d):
     return _shown(risk.refresh_cells(risk.risk_table(old, AS_OF), fx.incidents(spark, d), touched, AS_OF))
 
 
+@query("d10_risk_from_streamed_counts", sql("inc", f"""@{_risk_sql('inc')}
+SELECT * FROM risk"""))
+def d10_streamed_risk(spark, d):
+    """The stream takes the older incidents, then the new ones; the cells that changed are taken from its
+    totals, and the table equals a full rebuild."""
+    old, new = halves(spark, d)
+    feed, totals, state = (scratch_folder(spark, n) for n in ("feed", "totals", "state"))
+    old.write.parquet(feed)
+    stream = spark.readStream.schema(old.schema).parquet(feed)
+    incremental.run_day_counts(stream, totals, state)
+    table = stored(risk.risk_from_counts(incremental.current_totals(spark, totals), AS_OF))
+    before = incremental.last_batch(spark, totals)
+    new.write.mode("append").parquet(feed)
+    incremental.run_day_counts(stream, totals, state)
+    touched = stored(incremental.changed_cells(spark, totals, before))
+    return _shown(risk.refresh_from_counts(
+        table, incremental.current_totals(spark, totals, touched), touched, AS_OF))
+
+
 @query("d10_streamed_cell_counts", sql("inc", f"""@
 n AS (SELECT {_cell(2)} AS grid_cell_id, date_trunc('day', occurred_at) AS w, count(*) AS count
   FROM inc WHERE occurred_at IS NOT NULL GROUP BY 1, 2)
@@ -270,7 +290,7 @@ def verified(spark, d):
         .alias("last_verified_at"), (k % 5).alias("verification_count"))
 
 
-@query("d11_merge_verified", f"""
+_MERGED = f"""
 WITH am AS (SELECT s_name AS name, DATE '2024-01-01' + CAST(s_suppkey % 60 AS INTEGER) AS t,
   s_suppkey % 5 AS n FROM supplier),
 seen AS (SELECT 'Supplier#' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0') AS name,
@@ -279,16 +299,33 @@ seen AS (SELECT 'Supplier#' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0') AS
 SELECT coalesce(am.name, seen.name) AS name,
   strftime(greatest(am.t, seen.t), '%Y-%m-%d') AS last_verified_at,
   coalesce(am.n, 0) + coalesce(seen.n, 0) AS verification_count
-FROM am FULL JOIN seen ON am.name = seen.name""")
-def d11_merge(spark, d):
+FROM am FULL JOIN seen ON am.name = seen.name"""
+
+
+def sightings(spark, d):
     k = F.col("c_custkey")
-    seen = fx.table(spark, d, "customer").select(
+    return fx.table(spark, d, "customer").select(
         F.concat(F.lit("Supplier#"), F.lpad((k % 120).cast("string"), 9, "0")).alias("name"),
         F.date_add(F.lit("2024-02-01").cast("date"), (k % 20).cast("int")).alias("seen_at"))
-    return risk.merge_verified(verified(spark, d), seen).withColumn(
+
+
+@query("d11_merge_verified", _MERGED)
+def d11_merge(spark, d):
+    return risk.merge_verified(verified(spark, d), sightings(spark, d)).withColumn(
         "last_verified_at", F.date_format("last_verified_at", "yyyy-MM-dd"))
 
 
+@query("d11_merge_written", _MERGED)
+def d11_written(spark, d):
+    """The same merge into a written table, read back after two runs of the same batch."""
+    path = scratch_folder(spark, "verified")
+    risk.write_verified(verified(spark, d), path)
+    for _ in range(2):
+        risk.merge_written(spark, path, sightings(spark, d), batch=1)
+    return risk.read_verified(spark, path).select(
+        "name", F.date_format("last_verified_at", "yyyy-MM-dd").alias("last_verified_at"), "verification_count")
+
+
 @query("d12_between_cities", sql("inc", f"""@
 s AS (SELECT borough AS city, {_cell(2)} AS grid_cell_id, {_SCORE} AS v FROM inc GROUP BY 1, 2)
 SELECT city, grid_cell_id, round(v, 6) AS safety_score, round(percent_rank() OVER (PARTITION BY city
@@ -320,6 +357,28 @@ def d13(spark, d):
             {"lat": "latitude", "lon": "longitude"})})
 
 
+_KINDS = f"[{', '.join(quoted(k) for k in rules.SERVICE_REQUEST_KINDS)}, 'Rodent', NULL]"
+_N_KINDS = len(rules.SERVICE_REQUEST_KINDS) + 2
+
+
+@query("d13_requests_and_lights", f"""
+WITH r AS (SELECT (4050000 + (o_orderkey * 17) % 40000) / 1e5 AS latitude,
+  (-7420000 + (o_orderkey * 31) % 45000) / 1e5 AS longitude FROM orders
+  WHERE o_orderkey % 19 <> 0 AND ({_KINDS})[CAST(o_orderkey % {_N_KINDS} AS INTEGER) + 1] <> 'Rodent'),
+l AS (SELECT (4050000 + (p_partkey * 19) % 40000) / 1e5 AS latitude,
+  (-7420000 + (p_partkey * 37) % 45000) / 1e5 AS longitude FROM part WHERE p_partkey % 23 <> 0),
+e AS (SELECT {_cell(2)} AS grid_cell_id, 'requests' AS layer FROM r UNION ALL SELECT {_cell(2)}, 'lights' FROM l)
+SELECT grid_cell_id, count(*) FILTER (layer = 'requests') AS requests,
+  count(*) FILTER (layer = 'lights') AS lights FROM e GROUP BY 1""")
+def d13_files(spark, d):
+    """Service requests and street lights, written as the city's files and read back, per cell."""
+    requests, lights = scratch_folder(spark, "requests"), scratch_folder(spark, "lights")
+    fx.service_requests(spark, d).write.option("header", True).csv(requests)
+    fx.street_lights(spark, d).write.option("header", True).csv(lights)
+    return risk.layer_counts({"requests": city_layers.read_service_requests(spark, requests),
+                              "lights": city_layers.read_street_lights(spark, lights)})
+
+
 @query("d14_tree_importance")
 def d14(spark, d):
     return classify.tree_importance(

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..session import stored
+from ..session import discard, stored
 from .distance_join import counts_within
 from .quantiles import percent_rank_by
 from .ranking import rank_within
 from .scoring import known_group, weight_tenths
 
 
+#: Partitions of a written amenity table.
+MERGE_BUCKETS = 64
+
+
 def cell_id(lat: Column, lon: Column, digits: int = 3) -> Column:
     """Cells of about 100 m: both coordinates rounded, as text."""
     scale = 10 ** digits
@@ -48,35 +52,60 @@ def confidence(n: Column, newest_days: Column) -> Column:
     return n / (n + F.lit(10.0)) * recency
 
 
-def risk_table(incidents: DataFrame, as_of: str, digits: int = 3) -> DataFrame:
-    """Counts and score per cell, time bucket, day type and group.
+KEYS = ["grid_cell_id", "hour_bucket", "day_type", "demographic_group"]
 
-    The score is the decayed count weighted by group impact, in units of one fresh incident of
-    weight 1.
-    """
-    rows = incidents.select(
+
+def day_rows(incidents: DataFrame, digits: int = 3) -> DataFrame:
+    """A row per incident and group it counts for: cell, time bucket, day type, category and day."""
+    return incidents.select(
         cell_id(F.col("latitude"), F.col("longitude"), digits).alias("grid_cell_id"),
         C.time_bucket(F.col("hour_of_day")).alias("hour_bucket"),
-        day_type(F.col("day_of_week")).alias("day_type"), "crime_category",
-        decay_tenths(F.col("occurred_at"), as_of).alias("decay"),
-        F.date_diff(F.lit(as_of).cast("date"), "occurred_at").alias("age"),
-        F.explode(victim_groups(F.col("vic_age_group"), F.col("vic_sex")))
-        .alias("demographic_group"))
-    keys = ["grid_cell_id", "hour_bucket", "day_type", "demographic_group"]
-    per = rows.groupBy(*keys, "crime_category").agg(
-        F.count("*").alias("n"), F.sum("decay").alias("decay"), F.min("age").alias("age"))
+        day_type(F.col("day_of_week")).alias("day_type"),
+        F.explode(victim_groups(F.col("vic_age_group"), F.col("vic_sex"))).alias("demographic_group"),
+        "crime_category", F.to_date("occurred_at").alias("day"))
+
+
+def day_counts(incidents: DataFrame, digits: int = 3) -> DataFrame:
+    """Counts by what risk depends on. They add up over any parts of the incidents, and don't age."""
+    return day_rows(incidents, digits).groupBy(*KEYS, "crime_category", "day").agg(F.count("*").alias("n"))
+
+
+def risk_from_counts(counts: DataFrame, as_of: str) -> DataFrame:
+    """The risk table of a day's date, with the decay applied to the day counts as they are read."""
+    rows = counts.select(
+        *KEYS, "crime_category", "n", (F.col("n") * decay_tenths(F.col("day"), as_of)).alias("decay"),
+        F.date_diff(F.lit(as_of).cast("date"), "day").alias("age"))
+    per = rows.groupBy(*KEYS, "crime_category").agg(
+        F.sum("n").alias("n"), F.sum("decay").alias("decay"), F.min("age").alias("age"))
     tenths = weight_tenths(F.col("demographic_group"), F.col("crime_category"))
-    total = per.groupBy(*keys).agg(
+    total = per.groupBy(*KEYS).agg(
         F.sum("n").alias("raw_crime_count"), F.sum("decay").alias("d"),
         F.sum(F.col("decay") * tenths).alias("r"), F.min("age").alias("age"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("crime_category", "n"))))
         .alias("crime_breakdown"))
     return total.select(
-        *keys, "raw_crime_count", (F.col("d") / F.lit(10.0)).alias("weighted_crime_count"),
+        *KEYS, "raw_crime_count", (F.col("d") / F.lit(10.0)).alias("weighted_crime_count"),
         "crime_breakdown", (F.col("r") / F.lit(100.0)).alias("risk_score"),
         confidence(F.col("raw_crime_count"), F.col("age")).alias("confidence"))
 
 
+def risk_table(incidents: DataFrame, as_of: str, digits: int = 3) -> DataFrame:
+    """Counts and score per cell, time bucket, day type and group.
+
+    The score is the decayed count weighted by group impact, in units of one fresh incident of
+    weight 1.
+    """
+    return risk_from_counts(day_counts(incidents, digits), as_of)
+
+
+def refresh_from_counts(table: DataFrame, counts: DataFrame, touched: DataFrame, as_of: str) -> DataFrame:
+    """Risk table with the cells of `touched` (grid_cell_id) taken anew from their day counts; what is read of
+    the counts is those cells' rows, and no incident."""
+    touched = touched.select("grid_cell_id").distinct()
+    fresh = risk_from_counts(counts.join(touched, "grid_cell_id", "left_semi"), as_of)
+    return table.join(touched, "grid_cell_id", "left_anti").unionByName(fresh)
+
+
 def write_risk_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").partitionBy("demographic_group").parquet(path)
 
@@ -212,6 +241,50 @@ def merge_verified(amenities: DataFrame, seen: DataFrame, key: str = "name") ->
         .alias("verification_count"))
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def write_verified(table: DataFrame, path: str, key: str = "name", buckets: int = MERGE_BUCKETS) -> None:
+    """Start an amenity table that `merge_written` keeps up to date: files by a hash of the key."""
+    _bucketed(table.withColumn("last_batch", F.lit(-1).cast("long")), key, buckets).repartition("bucket").write.mode(
+        "overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_verified(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def merge_written(spark, path: str, seen: DataFrame, batch: int, key: str = "name",
+                  buckets: int = MERGE_BUCKETS) -> list[int]:
+    """Merge a verification run into the written table; returns the partitions that were overwritten.
+
+    Only partitions that hold a seen key are read and written again. A row remembers the last batch it took,
+    so a batch that is repeated, after a failure or by mistake, changes nothing; batches are numbered upwards.
+    The merged rows are complete in the scratch folder before the first partition is replaced.
+    """
+    fresh = stored(_bucketed(seen, key, buckets))
+    # At most one entry per partition.
+    touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+    if not touched:
+        return []
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    news = fresh.groupBy("bucket", key).agg(F.max("seen_at").alias("seen_at"), F.count("*").alias("times"))
+    merged = old.join(news, ["bucket", key], "full")
+    take = F.col("times").isNotNull() & (F.coalesce("last_batch", F.lit(-2)) < batch)
+    changed = {
+        "last_verified_at": F.when(take, F.greatest("last_verified_at", "seen_at")).otherwise(F.col("last_verified_at")),
+        "verification_count": F.coalesce("verification_count", F.lit(0)) + F.when(take, F.col("times")).otherwise(0),
+        "last_batch": F.when(take, F.lit(batch).cast("long")).otherwise(F.col("last_batch"))}
+    kind = old.schema["verification_count"].dataType
+    changed["verification_count"] = changed["verification_count"].cast(kind)
+    complete = stored(merged.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in old.columns]))
+    complete.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "bucket").parquet(path)
+    discard(fresh, complete)
+    return touched
+
+
 def normalise_between_cities(scores: DataFrame, city: str = "city",
                              score: str = "safety_score") -> DataFrame:
     """Percentile of each score within its city."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..plans.cleaning import clean
 from ..session import prepare, stored
 
@@ -145,3 +146,27 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" and "), (k % 6).cast("string"), F.lit(" Latina women"))).otherwise(""))
     return table(spark, sf_dir, "customer").select(
         k.alias("loc_id"), message.alias("message"), group.alias("group_text"))
+
+
+def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service-request file's columns, one row per order, all text."""
+    k = F.col("o_orderkey")
+    kinds = [*rules.SERVICE_REQUEST_KINDS, "Rodent", None]
+    kind = pick(kinds, k % len(kinds))
+    return table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("Unique Key"),
+        F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a").alias("Created Date"),
+        F.when(k % 3 == 0, F.upper(kind)).otherwise(kind).alias("Complaint Type"),
+        F.when(k % 19 == 0, None).otherwise(((F.lit(4050000) + (k * 17) % 40000) / F.lit(1e5)).cast("string"))
+        .alias("Latitude"),
+        ((F.lit(-7420000) + (k * 31) % 45000) / F.lit(1e5)).cast("string").alias("Longitude"))
+
+
+def street_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A street-light file's columns, one row per part, all text."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k.cast("string").alias("OBJECTID"),
+        ((F.lit(4050000) + (k * 19) % 40000) / F.lit(1e5)).cast("string").alias("Latitude"),
+        F.when(k % 23 == 0, "none").otherwise(((F.lit(-7420000) + (k * 37) % 45000) / F.lit(1e5)).cast("string"))
+        .alias("Longitude"))

@@ -1,4 +1,5 @@
 import datetime as dt
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,50 @@ def test_stream_drops_copies_and_marks_late_rows(spark):
     assert windows == {("2024-01-01", 1)}
     cells = {r.grid_cell_id for r in spark.read.parquet(marks).collect()}
     assert "41500_-73985" in cells and len(cells) == 2
+
+
+def test_streamed_totals_survive_a_repeated_batch(spark, tmp_path):
+    """Totals replace totals: writing a batch again changes nothing, and only changed cells are listed."""
+    from incidentlens.streaming import incremental as inc
+
+    schema = ("incident_id STRING, latitude DOUBLE, longitude DOUBLE, hour_of_day INT, day_of_week INT, "
+              "crime_category STRING, occurred_at TIMESTAMP, vic_age_group STRING, vic_sex STRING")
+    rows = [(str(i), 40.5 + (i % 3) / 100, -74.0, i % 24, i % 7, "THEFT", None if i % 5 == 0 else
+             datetime(2024, 1, 1 + i % 20), "65+" if i % 2 else None, "F") for i in range(60)]
+    first, second = spark.createDataFrame(rows[:50], schema), spark.createDataFrame(
+        [r for r in rows[50:] if r[1] == 40.5], schema)
+    feed, out, state = (str(tmp_path / n) for n in ("feed", "out", "state"))
+    first.write.parquet(feed)
+    stream = spark.readStream.schema(schema).parquet(feed)
+    inc.run_day_counts(stream, out, state)
+    table = risk.risk_from_counts(inc.current_totals(spark, out), "2024-02-20").cache()
+    before = inc.last_batch(spark, out)
+    second.write.mode("append").parquet(feed)
+    inc.run_day_counts(stream, out, state)
+    again = inc.written_totals(spark, out).filter(F.col("batch") == inc.last_batch(spark, out)).drop("batch", "bucket")
+    inc.write_totals(spark.createDataFrame(again.collect(), again.schema), inc.last_batch(spark, out), out)
+    touched = inc.changed_cells(spark, out, before)
+    assert [r.grid_cell_id for r in touched.collect()] == ["40500_-74000"]
+    got = risk.refresh_from_counts(table, inc.current_totals(spark, out, touched), touched, "2024-02-20")
+    want = risk.risk_table(first.unionByName(second), "2024-02-20")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_merge_writes_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    day = lambda n: date(2024, 1, n)
+    table = spark.createDataFrame([(f"p{i}", day(1), 1, "x") for i in range(200)],
+                                  "name STRING, last_verified_at DATE, verification_count INT, type STRING")
+    risk.write_verified(table, path)
+    stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    seen = spark.createDataFrame([("p3", day(5)), ("p3", day(4)), ("new", day(6))], "name STRING, seen_at DATE")
+    assert len(risk.merge_written(spark, path, seen, 1)) == 2
+    risk.merge_written(spark, path, seen, 1)
+    left = [f for f, at in stamps.items() if f.exists() and f.stat().st_mtime_ns == at]
+    assert len({f.parent for f in stamps}) - len({f.parent for f in left}) <= 2
+    rows = {r.name: r for r in risk.read_verified(spark, path).collect()}
+    assert len(rows) == 201 and rows["p3"].last_verified_at == day(5) and rows["p3"].verification_count == 3
+    assert rows["new"].verification_count == 1 and rows["new"].type is None and rows["p4"].verification_count == 1
+    risk.merge_written(spark, path, seen, 2)
+    assert {r.name: r.verification_count for r in risk.read_verified(spark, path).collect()}["p3"] == 5
+    assert risk.merge_written(spark, path, seen.limit(0), 3) == []

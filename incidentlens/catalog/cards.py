@@ -18,8 +18,8 @@ from ..session import stored
 from ..sources import fixtures as fx
 from .base import cases, contains, half_up, list_text, modal, quoted, sql
 from .models import (
-    _GRID, _PROFILES, _SCORE, _TOP3, crime_zones, demographic_rows,
-    demographic_zones, density, zoned_by_model)
+    _GRID, _PROFILES, _SCORE, _TOP3, NUMBERED, crime_zones, demographic_rows,
+    demographic_zones, density, numbered_zones, zoned_by_model)
 from .registry import query
 from .statistics import AM_DIST, NEAR, NOW, as_text, quadrants, zoned
 
@@ -250,6 +250,27 @@ def r9(spark, d):
         layers.density_layer(density(spark, d)))
 
 
+@query("r9_layers_of_given_zones", sql("quad zon", f"""@{_GRID},{NUMBERED},
+{_PROFILES.lstrip().replace('FROM zon', 'FROM num')},
+c AS (SELECT zone, avg(latitude) AS lat, avg(longitude) AS lon FROM num GROUP BY 1)
+SELECT 'dbscan_clusters' AS layer, CAST(cluster AS BIGINT) AS id, round(avg(latitude), 6) AS lat,
+  round(avg(longitude), 6) AS lon, count(*) AS crime_count, CAST(NULL AS VARCHAR) AS dominant_demo,
+  CAST(NULL AS DOUBLE) AS density, CAST(NULL AS VARCHAR) AS classification
+FROM quad WHERE cluster <> -1 GROUP BY cluster
+UNION ALL SELECT 'demographic_zones', zone, round(lat, 6), round(lon, 6), NULL, dominant_value, NULL, NULL
+FROM c JOIN prof USING (zone) WHERE attribute = 'vic_age_group'
+UNION ALL SELECT 'density_zones', NULL, round(lat, 6), round(lon, 6), NULL, NULL, round(density, 6), classification
+FROM grid"""))
+def r9_given(spark, d):
+    """The three layers in one table, with the hotspots by quadrant and fixed zones."""
+    out = layers.map_layers(
+        layers.hotspot_layer(H.cluster_profiles(quadrants(spark, d))),
+        layers.demographic_layer(numbered_zones(spark, d)), layers.density_layer(density(spark, d)))
+    return out.select("layer", F.col("id").cast("long").alias("id"), F.round("lat", 6).alias("lat"),
+                      F.round("lon", 6).alias("lon"), "crime_count", "dominant_demo",
+                      F.round("density", 6).alias("density"), "classification")
+
+
 # --- request texts --------------------------------------------------------------------------
 
 @query("r10_request_parts", sql("req", """

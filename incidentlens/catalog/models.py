@@ -185,6 +185,15 @@ def m9(spark, d):
     return zones.zone_centres(demographic_rows(spark, d))
 
 
+@query("m9_centres_of_given_zones", sql("zon", """
+SELECT zone, round(avg(latitude), 6) AS center_lat, round(avg(longitude), 6) AS center_lon, count(*) AS crime_count
+FROM zon WHERE vic_age_group IS NOT NULL AND vic_race IS NOT NULL AND vic_sex IS NOT NULL GROUP BY zone"""))
+def m9_given(spark, d):
+    """The zone table's centres, of the rows that demographic zones are made of."""
+    return zones.zone_centres(zones.with_demographics(zoned(spark, d))).withColumns({
+        c: F.round(c, 6) for c in ("center_lat", "center_lon")})
+
+
 _ATTRIBUTES = " UNION ALL ".join(
     f"SELECT zone, '{c}' AS attribute, {c} AS value, count(*) AS c FROM zon WHERE {c} IS NOT NULL "
     "GROUP BY 1, 3" for c in rules.DEMOGRAPHIC_COLUMNS)
@@ -218,6 +227,28 @@ def people(spark, d):
         fx.pick(["F", "M"], k % 2).alias("vic_sex"))
 
 
+def numbered_zones(spark, d):
+    """Incidents with a fixed square zone that has a number."""
+    part = lambda c: F.floor(F.col(c) / F.lit(0.1)).cast("long")
+    return fx.incidents(spark, d).withColumn("zone", part("latitude") * 10_000 + part("longitude"))
+
+
+NUMBERED = """
+num AS (SELECT * REPLACE (CAST(floor(latitude / 0.1::DOUBLE) AS BIGINT) * 10000 +
+  CAST(floor(longitude / 0.1::DOUBLE) AS BIGINT) AS zone) FROM zon)"""
+
+
+@query("m11_nearest_of_given_zones", sql("zon loc", f"""@{NUMBERED},
+c AS (SELECT zone, avg(latitude) AS y, avg(longitude) AS x FROM num GROUP BY zone)
+SELECT loc_id, CAST(arg_min(zone, ({haversine('lat', 'lon', 'y', 'x')}, zone)) AS INTEGER) AS demographic_zone,
+  'centre' AS source FROM loc JOIN c ON true GROUP BY loc_id"""))
+def m11_given(spark, d):
+    """Without a model a person's zone is that of the nearest centre."""
+    centres = zones.zone_centres(numbered_zones(spark, d))
+    return zones.predict_demographic_zone(None, centres, people(spark, d)).select(
+        "loc_id", "demographic_zone", "source")
+
+
 @query("m11_predict_demographic_zone")
 def m11(spark, d):
     centres = zones.zone_centres(demographic_rows(spark, d))

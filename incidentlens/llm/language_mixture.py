@@ -9,7 +9,8 @@ score. Documents are independent, so predicting shuffles nothing; a step handles
 texts as one matrix.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no learned language
-everything is `und`; equal shares go to the language that sorts first; repeated rows are answered each;
+everything is `und`; of languages that explain a text equally well the one that sorts first is dropped
+first, and equal shares of those that stay go to the first of them; repeated rows are answered each;
 rows without an id are predicted, never learned from. Only text and lang are read.
 """
 

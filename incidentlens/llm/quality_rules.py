@@ -10,7 +10,8 @@ every row.
 
 Defined results: a null text counts as empty; empty texts get a score like any other; labels other than
 0 and 1 are not learned from; with no labelled rows the score is 0.5, with one class only its share;
-repeated rows are scored each; a repeated label row counts twice.
+repeated rows are scored each, equal texts alike; a repeated label row counts twice. A text is one value; its
+statistics take a few copies of it.
 """
 
 from __future__ import annotations

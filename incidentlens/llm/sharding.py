@@ -6,7 +6,8 @@ most sqrt(2 T) different sizes, whatever the number of groups; that table goes t
 shards' free room is held in a balanced tree. A size's groups take its shards by rank.
 
 Defined results: a null text counts as empty; repeated rows are members of one group; an empty table
-gives no rows; a group larger than the capacity gets a shard of its own.
+gives no rows; a group larger than the capacity gets a shard of its own; groups of equal size take any of
+their places; other columns are ignored. Texts are read for their length and hash only.
 """
 
 from __future__ import annotations

@@ -247,6 +247,32 @@ def test_language_on_held_out_documents(corpus):
     assert {r.lang_pred for r in language_mixture.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_mixture_is_plain_expectation_maximisation():
+    rng = np.random.default_rng(3)
+    probability = rng.dirichlet(np.ones(40), 3)
+    counts = rng.integers(0, 5, (6, 40)).astype(np.float32)
+    got, fit = language_mixture.mixture(counts, probability, np.full((6, 3), 1 / 3), 20)
+    for row, shares, value in zip(counts, got, fit, strict=True):
+        plain = [1 / 3] * 3
+        for _ in range(20):
+            total = [0.0] * 3
+            for bin_, n in enumerate(row):
+                joint = [plain[k] * probability[k][bin_] for k in range(3)]
+                for k in range(3):
+                    total[k] += n * joint[k] / sum(joint)
+            plain = [t / sum(total) for t in total]
+        assert np.allclose(shares, plain, atol=1e-4)
+        want = sum(n * math.log(sum(plain[k] * probability[k][b] for k in range(3))) for b, n in enumerate(row))
+        assert abs(value - want) < 1e-2 * abs(want)
+
+
+def test_of_equal_languages_the_first_is_dropped_first(corpus):
+    docs = corpus.createDataFrame([(1, "abc abc", "zz"), (2, "abc abc", "aa")], "doc_id long, text string, lang string")
+    model = language_mixture.learn(docs)
+    got = language_mixture.predict(docs.withColumn("score", F.lit(1)), model).collect()
+    assert {r.lang_pred for r in got} == {"zz"}
+
+
 def test_mixtures_are_recovered(corpus):
     docs = corpus.read.parquet(f"{DATA}/documents.parquet").filter("lang in ('en', 'fr')")
     model = language_mixture.learn(docs)

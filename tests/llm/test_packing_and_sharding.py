@@ -19,6 +19,21 @@ def test_fast_ids_equal_the_tokenizers_over_latin_text():
         assert slow(text) == fast(text)
 
 
+def test_fast_ids_equal_the_tokenizers_on_whole_texts(corpus):
+    slow, fast = packing.Encoder(packing.vocabulary()[0]), packing.Encoder(*packing.vocabulary())
+    for row in corpus.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert slow(row.text or "") == fast(row.text or "")
+
+
+def test_clashing_columns_are_ignored(corpus):
+    docs = corpus.createDataFrame([(1, "a b"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
+    more = docs.selectExpr("*", "7 AS piece", "'x' AS size", "1 AS shard", "2 AS length")
+    assert packing.pack_documents(more).columns == packing.pack_documents(docs).columns
+    assert packing.pack_documents(more).count() == 4
+    assert sharding.shard_documents(more).columns == sharding.shard_documents(docs).columns
+    assert sharding.shard_documents(more).count() == 4
+
+
 def test_cut():
     assert packing.cut(0, 8) == []
     assert packing.cut(8, 8) == [(0, 8)]

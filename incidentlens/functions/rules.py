@@ -224,6 +224,14 @@ REPORT_TEXT = {
     "group": "\n👥 FOR ",
     "concerns": "⚠️ Specific Concerns:",
     "advice": "\n💡 SAFETY RECOMMENDATIONS",
+    "of_hundred": ("/100 (", ")"),
+    "share": (" (", "% of crimes)"),
+    "numbered": ("  ", ". "),
+    "dash": "  - ",
+    "bullet": "  • ",
+    "warning": "  ⚠️ ",
+    "is": ": ",
+    "incidents": " incidents",
 }
 # group fragment -> (lines below 60, lines from 60)
 CONTEXT_ADVICE = [

@@ -154,7 +154,7 @@ def _when(condition: Column, lines: Column) -> Column:
 
 
 def _capitalised(c: Column) -> Column:
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
 
 
 def safety_report(score: Column, address: Column, amenity: Column, top: Column,
@@ -170,23 +170,23 @@ def safety_report(score: Column, address: Column, amenity: Column, top: Column,
     t = rules.REPORT_TEXT
     numbered = F.transform(
         F.slice(F.coalesce(top, F.array().cast("array<struct<value:string,count:bigint>>")), 1, 3),
-        lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["value"],
-                              F.lit(": "), x["count"].cast("string"), F.lit(" incidents")))
+        lambda x, i: F.concat(F.lit(t["numbered"][0]), (i + 1).cast("string"), F.lit(t["numbered"][1]), x["value"],
+                              F.lit(t["is"]), x["count"].cast("string"), F.lit(t["incidents"])))
     parts = [
         F.array(F.lit(t["title"])),
         _when(F.length(address) > 0, F.array(F.concat(F.lit(t["location"]), address))),
-        F.array(F.concat(F.lit(t["score"]), score.cast("string"), F.lit("/100 ("),
-                         C.safety_level(score), F.lit(")"))),
+        F.array(F.concat(F.lit(t["score"]), score.cast("string"), F.lit(t["of_hundred"][0]),
+                         C.safety_level(score), F.lit(t["of_hundred"][1]))),
         F.array(F.lit(t["top"])), numbered, F.array(F.lit(t["nearby"])),
         F.array(F.concat(F.lit(t["nearby_total"]), nearby.cast("string"))),
     ]
     if peak is not None:
         parts.append(_when(peak.isNotNull(), F.array(F.concat(
-            F.lit(t["peak"]), F.initcap(peak["bucket"]), F.lit(" ("),
-            F.bround(peak["percent"], 0).cast("long").cast("string"), F.lit("% of crimes)")))))
+            F.lit(t["peak"]), F.initcap(peak["bucket"]), F.lit(t["share"][0]),
+            F.bround(peak["percent"], 0).cast("long").cast("string"), F.lit(t["share"][1])))))
     if amenity_count is not None:
         kinds = F.transform(amenity_types, lambda x: F.concat(
-            F.lit("  - "), _capitalised(x["value"]), F.lit(": "), x["count"].cast("string")))
+            F.lit(t["dash"]), _capitalised(x["value"]), F.lit(t["is"]), x["count"].cast("string")))
         parts += [
             F.array(F.lit(t["amenities"]),
                     F.concat(F.lit(t["amenity_total"].format(km=f"{amenity_km:g}")),
@@ -198,8 +198,8 @@ def safety_report(score: Column, address: Column, amenity: Column, top: Column,
     parts += [
         _when(has_context, F.array(F.concat(F.lit(t["group"]), F.upper(context["group"])))),
         _when(has_context & (F.size(related) > 0), _lines(t["concerns"], F.transform(
-            related, lambda x: F.concat(F.lit("  • "), x["value"], F.lit(": "),
-                                        x["count"].cast("string"), F.lit(" incidents"))))),
+            related, lambda x: F.concat(F.lit(t["bullet"]), x["value"], F.lit(t["is"]),
+                                        x["count"].cast("string"), F.lit(t["incidents"]))))),
         F.array(F.lit(t["advice"])),
     ]
     low = score < rules.ADVICE_SCORE
@@ -219,15 +219,15 @@ def safety_report(score: Column, address: Column, amenity: Column, top: Column,
 
 def group_advice(profile: Column, score: Column, offenses: Column) -> Column:
     """Advice text for a parsed group; null without one. `offenses` as in `safety_report`."""
-    t = rules.GROUP_TEXT
+    t, mark = rules.GROUP_TEXT, rules.REPORT_TEXT
     low = score < rules.ADVICE_SCORE
     joined = lambda items: F.array_join(items, ", ")
 
     def matching(words):
         return F.transform(
             F.filter(offenses, lambda o: C.contains_any(F.upper(o["value"]), words)),
-            lambda o: F.concat(F.lit("  ⚠️ "), o["value"], F.lit(": "),
-                               o["count"].cast("string"), F.lit(" incidents")))
+            lambda o: F.concat(F.lit(mark["warning"]), o["value"], F.lit(mark["is"]),
+                               o["count"].cast("string"), F.lit(mark["incidents"])))
 
     parts = [
         F.array(F.lit(t["title"]), F.concat(F.lit(t["people"][0]), profile["total_people"]

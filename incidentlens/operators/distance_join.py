@@ -230,12 +230,18 @@ def nearest_k(locations: DataFrame, points: DataFrame, k: int, km: float, by: st
     beyond it are dropped; while the cells left hold more than `per_answer` points for each answer, they are
     cut finer. So the pairs that are looked at grow with the answers, not with the points in reach. Of points
     of one value at one coordinate the first k are kept from the start. A list of up to `short` pairs is read
-    without rings and finer cuts.
+    without rings and finer cuts, and where not even all pairs are many more, without cells' bounds.
     """
     ties = list(ties)
     order = order or [F.col("distance"), *ties, point_lat, point_lon]
     places = stored(locations.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct().filter(
         F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
+    n_places = places.count()
+    if _few_pairs(points, n_places, km, short, point_lat, point_lon):
+        best = Window.partitionBy("_lat", "_lon", by).orderBy(*order)
+        pairs = within_distance(places, points, km, "_lat", "_lon", point_lat, point_lon)
+        return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+            "_lat", "_lon", "distance", *points.columns, "rank")
     known = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()).withColumns({
         "_plat": F.col(point_lat), "_plon": F.col(point_lon), "_by": F.coalesce(F.col(by).cast("string"), F.lit("\0"))})
     same = Window.partitionBy("_plat", "_plon", "_by").orderBy(*ties)
@@ -246,7 +252,7 @@ def nearest_k(locations: DataFrame, points: DataFrame, k: int, km: float, by: st
     per_value = spots.groupBy("_by").agg(F.sum("_n").alias("n"), F.min("_plat").alias("a"), F.max("_plat").alias("b"),
                                          F.min("_plon").alias("c"), F.max("_plon").alias("d"))
     values = per_value.agg(F.count("*"), F.sum("n"), F.max("n"), F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
-    answers, done, n_places = [], None, places.count()
+    answers, done = [], None
     for r in _rings(values, n_places, k, km, short):
         kept, n_kept, grid, full = _ring(places, n_places, spots, done, k, r, slack_km, per_answer, short, r < km)
         pairs = salted_join(kept, with_cell(spots, grid, "_plat", "_plon"), [*CELL, "_by"], ["_lat", "_lon"], n_kept)
@@ -271,14 +277,27 @@ def nearest_k(locations: DataFrame, points: DataFrame, k: int, km: float, by: st
     return out.drop("_by")
 
 
+def _few_pairs(points, n_places: int, km: float, short: int, point_lat, point_lon) -> bool:
+    """Whether all pairs within `km` should be a short list, and all pairs at most ten times as many."""
+    n, a, b, c, d = points.agg(F.count("*"), F.min(point_lat), F.max(point_lat), F.min(point_lon), F.max(point_lon)).first()
+    if a is None or n_places * n > 10 * short:
+        return a is None
+    return n_places * n * min(1.0, math.pi * km * km / _area(a, b, c, d)) <= short
+
+
+def _area(a, b, c, d) -> float:
+    """Square kilometres of a box, a few square metres at least."""
+    high, wide = (b - a) * geo.KM_PER_DEGREE, (d - c) * geo.KM_PER_DEGREE * math.cos(math.radians((a + b) / 2))
+    return max(high, 1e-3) * max(wide, 1e-3)
+
+
 def _rings(values, n_places: int, k: int, km: float, short: int) -> list[float]:
     """Radii: the first should hold a few times k points of a value, if they lay evenly in their box. One
     radius, where all pairs within it should be a short list."""
     n_values, n, most, a, b, c, d = values
     if not n_values:
         return [km]
-    high, wide = (b - a) * geo.KM_PER_DEGREE, (d - c) * geo.KM_PER_DEGREE * math.cos(math.radians((a + b) / 2))
-    area = max(high, 1e-3) * max(wide, 1e-3)
+    area = _area(a, b, c, d)
     if n_places * n * min(1.0, math.pi * km * km / area) <= short:
         return [km]
     r, out = math.sqrt(4 * k * area / (math.pi * most)), []

@@ -6,13 +6,14 @@ sqrt(d^2 + 2 h^2 (40 + ln n)) only: all others together are below double precisi
 term, however far out the node is. That nearest distance is bounded through cells of spots. The nodes
 that a cell reaches follow from its coordinates by arithmetic, so nodes are never joined with spots:
 each task explodes its spots to their cell's nodes, adds up at most one row per node, and only those
-sums are shuffled.
+sums are shuffled. Locations read crowded cells as a fixed number of points (`proxies`).
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..functions import geo, rules
 from ..session import stored
 from . import stats
 from .distance_join import CELL, with_cell, with_search_cells
+from .proxies import condensed, level_of
 from .skew import is_small, salted_join
 
 #: exp(-x^2 / 2) is zero in double precision beyond this.
@@ -233,7 +235,7 @@ def density_at(locations: DataFrame, points: DataFrame, grid: DataFrame,
         raise ValueError("locations are only evaluated with the geodesic kernel")
     box = geo.city_box(rules.DEFAULT_CITY)
     axes = _axes(box, 50, kernel)
-    spots = spot_weights(points)
+    spots = stored(spot_weights(points))
     places = locations.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct().filter(
         F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
     # Through its nearest node a location is not farther from a spot than this.
@@ -244,12 +246,19 @@ def density_at(locations: DataFrame, points: DataFrame, grid: DataFrame,
     detour = geo.haversine_km(F.col("_lat"), F.col("_lon"), axes[0].value(F.col("i")), axes[1].value(F.col("j")))
     total = spots.agg(F.sum("n")).scalar()
     there = there.withColumn("_km", F.least(F.lit(UNDERFLOW * kernel.bandwidth), _reach(
-        F.col("nearest") + detour, total, kernel.bandwidth))).select("_lat", "_lon", "_km")
+        F.col("nearest") + detour, total, kernel.bandwidth))).select(
+        "_lat", "_lon", "_km", level_of(F.col("_km"), kernel.bandwidth).alias("_level"))
     cells = geo.CellGrid(4 * kernel.bandwidth)
     search = stored(with_search_cells(there, cells, F.col("_km"), "_lat", "_lon"))
-    near = with_cell(spots, cells, "plat", "plon")
-    pairs = near.join(F.broadcast(search), CELL) if is_small(search, 200_000) else salted_join(
-        near, search, CELL, ["plat", "plon"])
+    # Crowded cells are read as a fixed number of points, cut the finer the farther a location reaches.
+    levels = sorted(r[0] for r in search.select("_level").distinct().collect())
+    sources = [condensed(spots, kernel.bandwidth, level).withColumn("_level", F.lit(level)) for level in levels]
+    if not sources:
+        sources = [spots.withColumn("_level", F.lit(0))]
+    near = with_cell(reduce(DataFrame.unionByName, sources), cells, "plat", "plon")
+    keys = [*CELL, "_level"]
+    pairs = near.join(F.broadcast(search), keys) if is_small(search, 200_000) else salted_join(
+        near, search, keys, ["plat", "plon"])
     distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("plat"), F.col("plon"))
     sums = pairs.withColumn("distance", distance).filter(F.col("distance") <= F.col("_km")).groupBy(
         "_lat", "_lon").agg(F.sum(F.col("n") * kernel.value(F.col("distance"))).alias("_kernel"))
@@ -258,7 +267,7 @@ def density_at(locations: DataFrame, points: DataFrame, grid: DataFrame,
     limits = thresholds(grid)
     found = (locations.withColumns({"_lat": F.col("lat"), "_lon": F.col("lon")})
              .join(sums, ["_lat", "_lon"], "left").drop("_lat", "_lon")
-             .withColumn("density", F.coalesce(F.col("_kernel") * scale, F.lit(0.0)))
+             .withColumn("density", F.coalesce(F.greatest(F.col("_kernel"), F.lit(0.0)) * scale, F.lit(0.0)))
              .withColumn("_values", values))
     return found.withColumns({
         "classification": class_of(F.col("density"), limits.select("low_max").scalar(),

@@ -6,6 +6,7 @@ from brute import haversine
 from pyspark.sql import functions as F
 
 from incidentlens.operators import classify, density as D, evaluate as E, places, quantiles, silhouette, stats, zones
+from incidentlens.operators.proxies import condensed
 
 
 def blobs(spark, n=240, k=4, seed=1):
@@ -196,6 +197,31 @@ def test_density_by_group_has_every_node(spark):
     assert set(counts.values()) == {100}
 
 
+def test_crowded_cells_keep_their_density(spark):
+    rng = np.random.default_rng(5)
+    at = np.vstack([rng.normal((40.70, -73.95), 0.002, (12_000, 2)), rng.uniform((40.55, -74.1), (40.9, -73.8), (600, 2))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in at], "latitude DOUBLE, longitude DOUBLE")
+    spots = D.spot_weights(df)
+    here = np.array([(40.70, -73.95), (40.712, -73.94), (40.73, -73.99), (40.62, -74.05), (40.3, -73.95), (41.0, -74.6)])
+    d = haversine(here[:, None, 0], here[:, None, 1], at[:, 0], at[:, 1])
+    for level, reach in enumerate((10, 20, 39)):
+        rows = condensed(spots, 1.11, level).collect()
+        assert len(rows) < len(at) * 0.8 and any(r.n < 0 for r in rows)
+        assert sum(r.n for r in rows) == pytest.approx(len(at), rel=1e-12)
+        got = np.array([(r.plat, r.plon, r.n) for r in rows])
+        e = haversine(here[:, None, 0], here[:, None, 1], got[:, 0], got[:, 1])
+        near = d.min(axis=1) < (reach - 3) * 1.11
+        want = np.where(d < reach * 1.11, np.exp(-d ** 2 / (2 * 1.11 ** 2)), 0).sum(axis=1)
+        sums = (got[:, 2] * np.where(e < reach * 1.11, np.exp(-e ** 2 / (2 * 1.11 ** 2)), 0)).sum(axis=1)
+        assert np.allclose(sums[near], want[near], rtol=1e-7, atol=0)
+    grid = D.density_grid(df)
+    scale = grid.selectExpr("sum(density) / sum(kernel)").first()[0]
+    places = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(here)], "loc_id INT, lat DOUBLE, lon DOUBLE")
+    found = {r.loc_id: r.density for r in D.density_at(places, df, grid).collect()}
+    want = np.exp(-d ** 2 / (2 * 1.11 ** 2)).sum(axis=1) * scale
+    assert np.allclose([found[i] for i in range(len(here))], want, rtol=1e-6, atol=1e-300)
+
+
 def test_class_report(spark):
     rows = [(0.0, 0.0)] * 3 + [(0.0, 1.0)] + [(1.0, 1.0)] * 2 + [(2.0, 0.0)]
     df = spark.createDataFrame(rows, "label DOUBLE, prediction DOUBLE")

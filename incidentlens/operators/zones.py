@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules
 from ..session import stored
-from . import stats
+from . import lloyd, stats
 from .distance_join import nearest_centre
 from .silhouette import nearest_of_many
 from .skew import is_small
@@ -39,7 +39,7 @@ def moments(df: DataFrame, names, sample: bool = False) -> dict:
 
 
 def _fit(rows: DataFrame, k: int, seed: int, n_init: int, max_iter: int, parallel: int):
-    """Best of `n_init` fits by training cost; the fits run as concurrent jobs."""
+    """Best of `n_init` fits of sparse vectors by training cost; the fits run as concurrent jobs."""
     rows = rows.persist()
     try:
         distinct = rows.count()
@@ -55,15 +55,19 @@ def _fit(rows: DataFrame, k: int, seed: int, n_init: int, max_iter: int, paralle
         rows.unpersist()
 
 
-def _model(df: DataFrame, expressions: dict, k, seed, n_init, max_iter, parallel) -> PipelineModel:
-    """Pipeline of feature expressions, assembler and KMeans; it can be saved and loaded."""
+def _model(df: DataFrame, expressions: dict, k, seed, n_init, max_iter) -> PipelineModel:
+    """Pipeline of feature expressions, assembler and KMeans; it can be saved and loaded.
+
+    The best of `n_init` starts by cost; one pass serves all starts. Rows without a feature take no part.
+    """
     select = ", ".join(f"{sql} AS {name}" for name, sql in expressions.items())
     features = SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
     assembler = VectorAssembler(inputCols=list(expressions), outputCol="features")
-    # Written once: the many passes of the fit then read as many partitions as the bytes need.
-    flat = stored(features.transform(df).groupBy(*expressions).agg(F.count("*").alias("w")))
-    rows = assembler.transform(flat).select("features", F.col("w").cast("double").alias("w"))
-    best = _fit(rows, k, seed, n_init, max_iter, parallel)
+    # Written once: the passes of the fit then read as many partitions as the bytes need.
+    names = list(expressions)
+    flat = stored(features.transform(df).groupBy(*names).agg(F.count("*").alias("w")).na.drop(subset=names))
+    fits = lloyd.fit_many(flat, names, k, range(seed, seed + n_init), max_iter)
+    best = lloyd.as_model(df.sparkSession, min(fits, key=lambda f: f[1])[0])
     return PipelineModel(stages=[features, assembler, best])
 
 
@@ -88,14 +92,14 @@ def misplaced(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fit_crime_zones(incidents: DataFrame, k: int = 30, seed: int = 42, n_init: int = 10,
-                    max_iter: int = 100, parallel: int = 8, standardise: bool = True):
+                    max_iter: int = 100, standardise: bool = True):
     """Zones by position; with `standardise=False` on raw degrees."""
     if standardise:
         scale = moments(incidents, COORDINATES)
         features = {f"f_{c}": f"({c} - ({m!r})) / {s!r}D" for c, (m, s) in scale.items()}
     else:
         features = {f"f_{c}": f"{c} + 0D" for c in COORDINATES}
-    return _model(incidents, features, k, seed, n_init, max_iter, parallel)
+    return _model(incidents, features, k, seed, n_init, max_iter)
 
 
 def zone_scores(zoned: DataFrame, zone: str = "zone") -> DataFrame:
@@ -150,7 +154,7 @@ def fit_demographic_zones(incidents: DataFrame, k: int = 25, seed: int = 42, n_i
                 f"IF({c} = {_literal(v)}, {DEMOGRAPHIC_FACTOR}D, 0D)")
     if long:
         return _model_of_long_lists(known, features, long, k, seed, n_init, max_iter, parallel)
-    return _model(known, features, k, seed, n_init, max_iter, parallel)
+    return _model(known, features, k, seed, n_init, max_iter)
 
 
 def _model_of_long_lists(df: DataFrame, expressions: dict, names, k, seed, n_init, max_iter, parallel) -> PipelineModel:
@@ -259,7 +263,7 @@ def fit_race_zones(incidents: DataFrame, k: int = 20, seed: int = 42, n_init: in
         value = c if c in COORDINATES else (
             f"IF(race_std = '{c.removeprefix('is_').upper()}', 1D, 0D)")
         features[f"f_{c}"] = f"({value} - ({m!r})) / {s!r}D"
-    return labelled, _model(labelled, features, k, seed, n_init, max_iter, 1)
+    return labelled, _model(labelled, features, k, seed, n_init, max_iter)
 
 
 def race_zone_table(zoned: DataFrame, zone: str = "zone", above: float = 0.2) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from brute import haversine
 from pyspark.sql import functions as F
 
-from incidentlens.operators import classify, density as D, evaluate as E, places, quantiles, silhouette, stats, zones
+from incidentlens.operators import classify, density as D, evaluate as E, lloyd, places, quantiles, silhouette, stats, zones
 from incidentlens.operators.proxies import condensed
 
 
@@ -197,6 +197,51 @@ def test_density_by_group_has_every_node(spark):
     assert set(counts.values()) == {100}
 
 
+def plain_lloyd(x, w, centres, rounds=200):
+    for _ in range(rounds):
+        zone = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        weight = np.bincount(zone, w, len(centres))
+        centres = np.where(weight[:, None] > 0, np.column_stack(
+            [np.bincount(zone, w * c, len(centres)) for c in x.T]) / np.maximum(weight, 1e-9)[:, None], centres)
+    return centres, (w * ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1)).sum()
+
+
+def test_fits_from_many_starts(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.uniform(-50, 50, (12, 2))
+    x = np.round(middle[rng.integers(0, 12, 3000)] + rng.normal(0, 1.5, (3000, 2)), 3)
+    w = rng.integers(1, 9, len(x))
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, w)], "a DOUBLE, b DOUBLE, w INT")
+    fits = lloyd.fit_many(rows, ["a", "b"], 12, range(5), tol=1e-9)
+    for centres, cost in fits:
+        # Each is where plain steps end, and costs what it says.
+        rest, want = plain_lloyd(x, w, centres, 1)
+        assert np.allclose(rest, centres, atol=1e-6) and cost == pytest.approx(want, rel=1e-6)
+    plain = min(plain_lloyd(x, w, x[rng.choice(len(x), 12, replace=False)])[1] for _ in range(5))
+    best = min(fits, key=lambda f: f[1])
+    assert best[1] <= plain * 1.0001
+    assert all(((best[0] - m) ** 2).sum(axis=1).min() < 1 for m in middle)
+    other = lloyd.fit_many(rows.repartition(7), ["a", "b"], 12, range(5), tol=1e-9)
+    assert np.allclose([c for _, c in other], [c for _, c in fits], rtol=1e-9)
+
+
+def test_fits_of_few_rows_and_saved_models(spark, tmp_path):
+    rows = spark.createDataFrame([(0.0, 5.0, 2), (1.0, 5.0, 1), (9.0, 5.0, 4)], "a DOUBLE, b DOUBLE, w INT")
+    centres, cost = lloyd.fit_many(rows, ["a", "b"], 10, [1, 2])[1]
+    assert sorted(centres[:, 0].round(9).tolist()) == [0.0, 1.0, 9.0] and cost == pytest.approx(0, abs=1e-9)
+    two = lloyd.fit_many(rows, ["a", "b"], 2, [1])[0]
+    assert sorted(two[0][:, 0].round(9).tolist()) == [round(1 / 3, 9), 9.0] and two[1] == pytest.approx(2 / 3)
+    with pytest.raises(ValueError):
+        lloyd.fit_many(rows.limit(0), ["a", "b"], 2, [1])
+    df = spark.createDataFrame([("A", 40.7, -73.9), ("A", 40.71, -73.9), ("B", 40.6, -74.1), ("B", None, -74.1)],
+                               "crime_type STRING, latitude DOUBLE, longitude DOUBLE")
+    fitted = zones.fit_crime_zones(df, k=2, n_init=3)
+    fitted.write().overwrite().save(str(tmp_path / "zones"))
+    again = type(fitted).load(str(tmp_path / "zones"))
+    got = [zones.assign(m, df).groupBy("crime_type").agg(F.collect_set("zone").alias("z")).collect() for m in (fitted, again)]
+    assert all(len(r.z) == 1 for rows in got for r in rows) and sorted(map(str, got[0])) == sorted(map(str, got[1]))
+
+
 def test_crowded_cells_keep_their_density(spark):
     rng = np.random.default_rng(5)
     at = np.vstack([rng.normal((40.70, -73.95), 0.002, (12_000, 2)), rng.uniform((40.55, -74.1), (40.9, -73.8), (600, 2))])

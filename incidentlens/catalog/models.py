@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import classify
+from ..operators import classify, forest
 from ..operators import density as D
 from ..operators import evaluate as E
 from ..operators import hotspots as H
-from ..operators import zones
+from ..operators import stats, zones
+from ..session import stored
 from ..sources import fixtures as fx
 from .base import counts_json, haversine, list_text, modal, severity_points, sql
 from .registry import query
@@ -378,12 +380,125 @@ def m17(spark, d):
         "loc_id", "zone", "sample_size", F.to_json("racial_composition").alias("composition"))
 
 
+_RACE = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f'contains(vic_race, {word!r})' for word in words)} THEN '{name}'"
+    for words, name in rules.RACE_LABELS_4) + " ELSE 'OTHER' END"
+
+
+@query("m17_races_of_given_zones", sql("zon loc", f"""@{NUMBERED},
+lab AS (SELECT zone, latitude, longitude, {_RACE} AS race_std FROM num WHERE vic_race IS NOT NULL),
+c AS (SELECT zone, avg(latitude) AS y, avg(longitude) AS x, count(*) AS sample_size FROM lab GROUP BY 1),
+r AS (SELECT zone, race_std, count(*) AS n FROM lab GROUP BY 1, 2),
+top AS (SELECT zone, string_agg(race_std || ' ' || CAST(round(n * 1000 / sample_size) AS INTEGER), ', '
+  ORDER BY race_std) AS races FROM r JOIN c USING (zone) WHERE n > 0.2 * sample_size GROUP BY 1),
+f AS (SELECT loc_id, arg_min(zone, ({haversine('lat', 'lon', 'y', 'x')}, zone)) AS zone
+  FROM loc JOIN c ON true GROUP BY 1)
+SELECT loc_id, CAST(zone AS INTEGER) AS zone, sample_size, races FROM f JOIN c USING (zone) LEFT JOIN top USING (zone)"""))
+def m17_given(spark, d):
+    """Race shares, in thousandths, of the given zone whose centre is nearest."""
+    zoned_rows = numbered_zones(spark, d).filter(F.col("vic_race").isNotNull())
+    table = zones.race_zone_table(zones.with_race(zoned_rows))
+    found = zones.nearest_centre(fx.locations(spark, d), table).select("loc_id", "zone").join(table, "zone")
+    races = F.transform(F.map_entries("racial_composition"), lambda e: F.concat_ws(
+        " ", e["key"], F.round(e["value"] * 1000).cast("int").cast("string")))
+    return found.select("loc_id", F.col("zone").cast("int").alias("zone"), "sample_size",
+                        F.concat_ws(", ", F.array_sort(races)).alias("races"))
+
+
+def offense_model(spark, d):
+    return model(spark, d, "offenses", lambda: classify.fit_offense_model(fx.incidents(spark, d)))
+
+
 @query("m18_offense_classifier")
 def m18(spark, d):
-    fitted, predictions = classify.fit_offense_model(fx.incidents(spark, d))
+    fitted, predictions = offense_model(spark, d)
     return classify.class_report(predictions, fitted.stages[0].labels)
 
 
+FOREST_TOP = """
+top AS (SELECT crime_type, row_number() OVER (ORDER BY count(*) DESC, crime_type) - 1 AS label
+  FROM inc GROUP BY 1 ORDER BY 2 LIMIT 5),
+few AS (SELECT inc.*, label FROM inc JOIN top USING (crime_type)),
+q AS (SELECT quantile_cont(latitude, 0.5) AS a, quantile_cont(longitude, 0.5) AS b,
+  quantile_cont(longitude, 0.25) AS c, quantile_cont(latitude, 0.75) AS e FROM few)"""
+
+
+@query("m18_exported_forest_agrees", sql("inc", f"""@{FOREST_TOP}
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_other FROM few"""))
+def m18_exported(spark, d):
+    """The fitted forest as a table of nodes: no row gets another class than from the library."""
+    fitted, _ = offense_model(spark, d)
+    nodes = fx.kept(spark, d, "forest", lambda: forest.exported(fitted.stages[-1]))
+    known = fitted.transform(fx.incidents(spark, d)).select(
+        "latitude", "longitude", F.col("prediction").alias("by_library"))
+    depth = fitted.stages[-1].getMaxDepth()
+    made = forest.predictions(known, nodes, ["latitude", "longitude"], depth, len(fitted.stages[0].labels))
+    return made.agg(F.count("*").alias("n_rows"), F.count_if(
+        ~F.col("prediction").eqNullSafe(F.col("by_library"))).alias("n_other"))
+
+
+GIVEN_FEATURES = ["latitude", "longitude", "hour_of_day"]
+
+
+def labelled(spark, d):
+    """Incidents of the five commonest offenses, with the offense's rank as label."""
+    incidents = fx.incidents(spark, d)
+    names = stats.top_overall(incidents, "crime_type", 5)
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "crime_type"))  # five rows
+    return incidents.join(F.broadcast(names.select(
+        "crime_type", (place - 1).cast("double").alias("label"))), "crime_type")
+
+
+def given_forest(rows):
+    """Two trees that split at quantiles of the rows."""
+    at = lambda c, p: F.percentile(c, F.lit(p))
+    q = rows.agg(at("latitude", 0.5).alias("a"), at("longitude", 0.5).alias("b"), at("longitude", 0.25).alias("c"),
+                 at("latitude", 0.75).alias("e"))
+    splits = [(0, 0, 0, F.col("a"), 1, 2), (0, 1, 1, F.col("b"), 3, 4), (0, 2, 2, F.lit(12.0), 5, 6),
+              (1, 0, 1, F.col("c"), 1, 2), (1, 2, 0, F.col("e"), 3, 4)]
+    leaves = [(0, n) for n in (3, 4, 5, 6)] + [(1, n) for n in (1, 3, 4)]
+    none = F.lit(None)
+    items = [(F.lit(t), F.lit(n), F.lit(f), cut, F.lit(x), F.lit(y)) for t, n, f, cut, x, y in splits]
+    items += [(F.lit(t), F.lit(n), none, none, none, none) for t, n in leaves]
+    names = ["tree int", "node int", "feature int", "cut double", "left int", "right int"]
+    rows_ = F.array(*[F.struct(*[c.cast(n.split()[1]).alias(n.split()[0]) for c, n in zip(i, names, strict=True)])
+                      for i in items])
+    return q.select(F.inline(rows_)).withColumn("left_values", F.lit(None).cast("array<double>"))
+
+
+FOREST_LEAVES = """
+walk AS (SELECT few.*, CASE WHEN latitude <= a THEN CASE WHEN longitude <= b THEN [0, 1, 3] ELSE [0, 1, 4] END
+    WHEN hour_of_day <= 12 THEN [0, 2, 5] ELSE [0, 2, 6] END AS p0,
+  CASE WHEN longitude <= c THEN [0, 1] WHEN latitude <= e THEN [0, 2, 3] ELSE [0, 2, 4] END AS p1
+  FROM few JOIN q ON true)"""
+
+
+@query("m18_report_of_given_forest", sql("inc", f"""@{FOREST_TOP},{FOREST_LEAVES},
+v AS (SELECT t, leaf, label, count(*) / sum(count(*)) OVER (PARTITION BY t, leaf) AS share FROM (
+  SELECT 0 AS t, p0[-1] AS leaf, label FROM walk UNION ALL SELECT 1, p1[-1], label FROM walk) GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT p0[-1] AS l0, p1[-1] AS l1 FROM walk),
+s AS (SELECT l0, l1, label, sum(share) AS s FROM l JOIN v ON (t = 0 AND leaf = l0) OR (t = 1 AND leaf = l1)
+  GROUP BY 1, 2, 3),
+best AS (SELECT l0, l1, arg_min(label, (-s, label)) AS prediction FROM s GROUP BY 1, 2),
+p AS (SELECT label, prediction, count(*) AS n FROM walk JOIN best ON p0[-1] = l0 AND p1[-1] = l1 GROUP BY 1, 2),
+r AS (SELECT crime_type, (SELECT sum(n) FROM p WHERE p.label = top.label) AS support,
+  (SELECT sum(n) FROM p WHERE p.prediction = top.label) AS called,
+  coalesce((SELECT sum(n) FROM p WHERE p.label = top.label AND p.prediction = top.label), 0) AS hit FROM top),
+m AS (SELECT crime_type, CAST(support AS BIGINT) AS support, coalesce(hit / called, 0) AS precision,
+  hit / support AS recall FROM r)
+SELECT crime_type, support, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM m"""))
+def m18_given(spark, d):
+    """A given forest whose leaves get their votes from the rows: report of the classes."""
+    rows = labelled(spark, d)
+    nodes = stored(given_forest(rows))
+    counts = stored(forest.node_counts(rows, nodes, GIVEN_FEATURES, 2, "label"))
+    made = forest.predictions(rows, stored(forest.with_votes(nodes, counts, 5)), GIVEN_FEATURES, 2, 5)
+    names = [r[0] for r in rows.select("crime_type", "label").distinct().orderBy("label").collect()]  # five
+    return classify.class_report(made, names).select("crime_type", "support", *[
+        F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # --- evaluation -----------------------------------------------------------------------------
 
 _CH = """

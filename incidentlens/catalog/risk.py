@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..operators import classify
+from ..operators import classify, forest
 from ..operators import density as D
 from ..operators import hotspots as H
 from ..operators import risk, zones
@@ -17,7 +17,7 @@ from ..streaming import incremental
 from .base import (
     NEEDS, VIEWS, cases, counts_json, haversine, hotspot_view, quoted, sql, time_bucket)
 from .cards import _tenths
-from .models import _NODES, _SCORE
+from .models import FOREST_LEAVES, FOREST_TOP, GIVEN_FEATURES, _NODES, _SCORE, given_forest, labelled
 from .registry import query
 
 AS_OF = "2024-02-20"
@@ -386,6 +386,24 @@ def d14(spark, d):
         ["latitude", "longitude", "hour_of_day", "day_of_week"])
 
 
+@query("d14_importance_of_given_forest", sql("inc", f"""@{FOREST_TOP},{FOREST_LEAVES},
+cnt AS (SELECT t, node, crime_category, count(*) AS n FROM (
+  SELECT 0 AS t, unnest(p0) AS node, crime_category FROM walk UNION ALL
+  SELECT 1, unnest(p1), crime_category FROM walk) GROUP BY 1, 2, 3),
+g AS (SELECT t, node, sum(n) - sum(n * n) / sum(n) AS mass FROM cnt GROUP BY 1, 2),
+sp(t, node, l, r, feature) AS (VALUES (0, 0, 1, 2, 'latitude'), (0, 1, 3, 4, 'longitude'),
+  (0, 2, 5, 6, 'hour_of_day'), (1, 0, 1, 2, 'longitude'), (1, 2, 3, 4, 'latitude')),
+dr AS (SELECT sp.t, feature, g.mass - coalesce(x.mass, 0) - coalesce(y.mass, 0) AS gain FROM sp JOIN g USING (t, node)
+  LEFT JOIN g x ON x.t = sp.t AND x.node = l LEFT JOIN g y ON y.t = sp.t AND y.node = r),
+sh AS (SELECT feature, gain / sum(gain) OVER (PARTITION BY t) AS s FROM dr)
+SELECT feature, round(sum(s) / (SELECT sum(s) FROM sh), 6) AS importance FROM sh GROUP BY 1"""))
+def d14_given(spark, d):
+    """How far a given forest's splits part the categories of the five commonest offenses."""
+    rows = labelled(spark, d)
+    found = forest.importance_for(rows, stored(given_forest(rows)), GIVEN_FEATURES, 2, "crime_category")
+    return found.select("feature", F.round("importance", 6).alias("importance"))
+
+
 @query("d15_score_rollup", sql("inc", f"""
 SELECT borough, {_cell(1)} AS grid_cell_id, CAST(grouping(borough) * 2 + grouping({_cell(1)})
   AS BIGINT) AS level, count(*) AS crime_count, round({_SCORE}, 6) AS safety_score

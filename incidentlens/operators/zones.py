@@ -248,11 +248,15 @@ def attribute_importance(zoned: DataFrame, zone: str = "zone") -> DataFrame:
 
 # --- zones of the older analyses ------------------------------------------------------------
 
+def with_race(incidents: DataFrame) -> DataFrame:
+    return incidents.filter(F.col("vic_race").isNotNull()).withColumn(
+        "race_std", C.race_label_4(F.col("vic_race")))
+
+
 def fit_race_zones(incidents: DataFrame, k: int = 20, seed: int = 42, n_init: int = 1,
                    max_iter: int = 100):
     """Zones by position and race label, all z-scored by sample deviation."""
-    labelled = incidents.filter(F.col("vic_race").isNotNull()).withColumn(
-        "race_std", C.race_label_4(F.col("vic_race")))
+    labelled = with_race(incidents)
     names = [label for _, label in rules.RACE_LABELS_4]
     dummies = {f"is_{n.lower()}": F.when(F.col("race_std") == n, 1.0).otherwise(0.0)
                for n in names}

@@ -1,12 +1,14 @@
 """LM scoring: a small causal self-attention model in numpy, and a smoothed unigram base.
 
-The model reads subword ids. The probability of the next id is that of its class, given by one layer of
-causal self-attention over the window, times that of the id within its class, given the id before it
-(absolute discounting, backing off to the class alone). Classes are k-means clusters of ids by their
-neighbours. Ids, pairs of ids and neighbours are counted over all training documents. Only the gradient
-passes read a sample, a fixed share of the training documents at every size; without a document in it
-the parameters stay as they start. They run on the executors: each trains on its part of the
-sample from the same start, and the parameters are averaged by Spark, round by round.
+The model reads subword ids. The probability of the next id is that of its class times that of the id
+within its class, given the id before it (absolute discounting, backing off to the class alone). The
+classes start from their counts after the id before (discounted as well); one layer of causal
+self-attention over the window moves these log weights, so it learns what the pair does not tell: the
+language, the kind of text, what stands two ids back. Classes are k-means clusters of ids by their
+neighbours. Everything is learned from all training documents: ids, pairs of ids and neighbours are
+counted over them, and each is read once by the gradient passes, a third of them per round. These run on
+the executors: each part of the stored ids trains from the same start, and the parameters are averaged by
+Spark, round by round.
 Scoring cuts each document into overlapping windows of `WINDOW` inputs; every id, the end included, is
 scored once, in the first window that gives it at least `WINDOW - STRIDE` inputs of context (or all
 there are), many windows at a time with one causal mask.
@@ -25,7 +27,7 @@ and V are 0 and the model is uniform; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +42,23 @@ from .textarrays import LOWER, NOT_SPACE, chunks, mixed, ranges, utf8, word_hash
 
 N_IDS = 50_257
 BOUNDARY = 50_256
-WINDOW = 32
-STRIDE = 24
-WIDTH = 16
-CLASSES = 64
+WINDOW = 16
+STRIDE = 12
+WIDTH = 8
+CLASSES = 32
 DISCOUNT = 0.75
 OWN_ROWS = 2_048
-NEIGHBOURS = 32
+NEIGHBOURS = 64
 ROUNDS = 3
-BATCH = 64
+BATCH = 512
 RATE = 0.15
-LIMIT = 30.0
-SAMPLE_SHARE = 1 / 16
-PART_BYTES = 4 << 20
+SCALE = 512.0
+#: Bound of every parameter, so that no exponential overflows.
+BOUND = 3.0
 SHARD_BYTES = 16 << 20
 STEP_BYTES = 6 << 20
 PIECE_BYTES = 1 << 20
-SCORE_BLOCK = 256
+SCORE_BLOCK = 128
 SEED = 5
 END_HASH = np.uint64(0)
 
@@ -81,20 +83,20 @@ class Model:
     row: np.ndarray         # input row of each id
     klass: np.ndarray       # class of each id
     inside: np.ndarray      # log probability of each id within its class
+    prior: np.ndarray       # per id before: log probability of each class, by counts
     pairs: Lookup           # of (id before, id): log probability of the id within its class
-    groups: Lookup          # of (id before, class): log of what is left for the class alone
-    table: np.ndarray       # per input row: query, key, value, direct part
+    left: np.ndarray        # per id before and class: log of what is left for the class alone
+    table: np.ndarray       # per input row: query, key, value
     near: np.ndarray        # what a distance adds to the attention score
     out: np.ndarray
-    bias: np.ndarray
-    totals: Lookup | None = None    # of (id before, class): how often the two follow each other
+    totals: np.ndarray | None = None    # per id before and class: how often the two follow each other
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.table, self.near, self.out, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.table, self.near, self.out)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in ("table", "near", "out", "bias"):
+        for name in ("table", "near", "out"):
             shape = getattr(self, name).shape
             size = int(np.prod(shape))
             setattr(self, name, flat[at:at + size].reshape(shape).astype(np.float32))
@@ -107,41 +109,40 @@ def _mask(near: np.ndarray) -> np.ndarray:
     return np.where(distance >= 0, near[np.maximum(distance, 0)], -1e9).astype(np.float32)
 
 
-def windows_of(lengths: np.ndarray):
+def windows_of(lengths: np.ndarray, stride: int = STRIDE):
     """Windows over documents of so many targets each, laid out one after the other with one boundary
     id before each: (first input position, inputs, targets already scored before this window)."""
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     begin = np.cumsum(lengths + 1) - (lengths + 1)
     nth = ranges(np.zeros(len(n), np.int64), n)
-    first = np.repeat(begin, n) + STRIDE * nth
+    first = np.repeat(begin, n) + stride * nth
     inputs = np.minimum(WINDOW, np.repeat(begin + lengths, n) - first)
-    return first, inputs, np.where(nth > 0, WINDOW - STRIDE, 0)
+    return first, inputs, np.where(nth > 0, WINDOW - stride, 0)
 
 
 def _attend(model: Model, mask, x):
     """Hidden states of windows of input rows, and what the backward pass needs."""
-    parts = model.table[x]
-    q, k, v, e = (parts[..., i * WIDTH:(i + 1) * WIDTH] for i in range(4))
-    a = np.matmul(q, k.transpose(0, 2, 1))
+    parts = model.table.take(x.ravel(), 0).reshape(*x.shape, 3 * WIDTH)
+    q, k, v = (np.ascontiguousarray(parts[..., i * WIDTH:(i + 1) * WIDTH]) for i in range(3))
+    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     a += mask
-    np.minimum(a, LIMIT, out=a)
     np.exp(a, out=a)
-    total = a.sum(-1)
-    h = np.matmul(a, v)
-    h /= total[..., None]
-    h += e
-    return h, a, total, q, k, v
+    a /= (a @ np.ones(x.shape[1], np.float32))[..., None]
+    return np.matmul(a, v), a, q, k, v
+
+
+def _classes(model: Model, h, before):
+    """Log weights of the classes after each id, given hidden states: the counts' own, moved by attention."""
+    logits = h @ model.out
+    logits += model.prior.take(before, 0)
+    return logits
 
 
 def within_class(model: Model, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probability of each id within its class, given the id before it."""
     before = before.astype(np.int64)
     value, there = model.pairs(before * N_IDS + ids)
-    value = value.astype(np.float64)
-    rest = np.flatnonzero(~there)
-    left, seen = model.groups(before[rest] * CLASSES + model.klass[ids[rest]])
-    value[rest] = np.where(seen, left, 0.0) + model.inside[ids[rest]]
-    return value
+    return np.where(there, value, model.left[before, model.klass[ids]] + model.inside[ids])
 
 
 def score_ids(model: Model, ids: np.ndarray, lengths: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
@@ -151,65 +152,81 @@ def score_ids(model: Model, ids: np.ndarray, lengths: np.ndarray, given: np.ndar
     first, inputs, done = windows_of(lengths)
     doc = np.repeat(np.arange(len(lengths)), 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)))
     rows, mask = model.row[ids], _mask(model.near)
-    offset = np.arange(WINDOW)
+    offset, ones = np.arange(WINDOW), np.ones(CLASSES, np.float32)
     out = np.zeros(len(lengths))
     for s in range(0, len(first), SCORE_BLOCK):
         f, n, d = (z[s:s + SCORE_BLOCK] for z in (first, inputs, done))
         at = f[:, None] + np.minimum(offset, n[:, None] - 1)
-        h = _attend(model, mask, rows[at])[0]
+        h = _attend(model, mask, rows.take(at))[0]
         scored = (offset >= d[:, None]) & (offset < n[:, None])
-        place = at[scored] + 1
-        target = ids[place]
-        logits = h[scored] @ model.out
-        logits += model.bias
-        np.minimum(logits, LIMIT, out=logits)
-        klass = model.klass[target]
-        value = logits[np.arange(len(klass)), klass].astype(np.float64)
+        place = at[scored]
+        target = ids[place + 1]
+        logits = _classes(model, h[scored], ids[place])
+        value = logits[np.arange(len(place)), model.klass[target]].astype(np.float64)
         np.exp(logits, out=logits)
-        value -= np.log(logits.sum(1).astype(np.float64))
-        value += within_class(model, ids[place - 1], target) if given is None else given[place]
+        value -= np.log((logits @ ones).astype(np.float64))
+        value += within_class(model, ids[place], target) if given is None else given[place + 1]
         out += np.bincount(np.repeat(doc[s:s + SCORE_BLOCK], scored.sum(1)), value, len(lengths))
     return out
 
 
-def train_pass(model: Model, ids: np.ndarray, lengths: np.ndarray, seed: int) -> None:
-    """One pass of Adagrad over the windows, in place."""
+def gradients(model: Model, rows, before, after, counted):
+    """(gradient by place in the table, of distances, of the output) of the summed loss of windows of input
+    rows, given the ids before and the classes after, where `counted`."""
+    h, a, q, k, v = _attend(model, _mask(model.near), rows)
+    hidden = h.reshape(-1, WIDTH)
+    p = _classes(model, hidden, before.ravel())
+    np.exp(p, out=p)
+    weight = counted.ravel().astype(np.float32)
+    p *= (weight / (p @ np.ones(CLASSES, np.float32)))[:, None]
+    p.ravel()[np.arange(0, p.size, CLASSES) + after.ravel()] -= weight
+    dh = (p @ model.out.T).reshape(h.shape)
+    ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    ds -= ((dh * h) @ np.ones(WIDTH, np.float32))[..., None]
+    ds *= a
+    parts = np.empty((*rows.shape, 3 * WIDTH), np.float32)
+    parts[..., :WIDTH] = np.matmul(ds, k)
+    parts[..., WIDTH:2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+    parts[..., 2 * WIDTH:] = np.matmul(a.transpose(0, 2, 1), dh)
+    parts = parts.reshape(-1, 3 * WIDTH)
+    offset = np.arange(WINDOW)
+    distance = offset[:, None] - offset
+    causal = distance >= 0
+    return parts, np.bincount(distance[causal], ds.sum(0)[causal], WINDOW), hidden.T @ p
+
+
+def train_pass(model: Model, ids: np.ndarray, lengths: np.ndarray, seed: int, memory: dict | None = None) -> dict:
+    """One pass of Adagrad over windows side by side: every id is a target once. Changes the model's arrays
+    for new ones; gives the sums of squares for the next pass."""
     rng = np.random.default_rng(seed)
-    first, inputs, done = windows_of(lengths)
+    first, inputs, _ = windows_of(lengths, WINDOW)
     order = rng.permutation(len(first))
-    memory = {n: np.full_like(getattr(model, n), 1e-3) for n in ("table", "near", "out", "bias")}
+    if memory is None:
+        memory = {n: np.full_like(getattr(model, n), 1e-3) for n in ("table", "near", "out")}
+        model.table = model.table.copy()
     offset = np.arange(WINDOW)
-    distance = (offset[:, None] - offset).ravel()
-    causal = distance >= 0
-    rows, klass = model.row[ids], model.klass[ids]
+    rows, klass = model.row[ids].astype(np.uint16), model.klass[ids]
     for s in range(0, len(order), BATCH):
         take = order[s:s + BATCH]
-        at = first[take][:, None] + np.minimum(offset, inputs[take][:, None] - 1)
-        counted = (offset >= done[take][:, None]) & (offset < inputs[take][:, None])
-        x, y = rows[at], klass[at + 1]
-        h, a, total, q, k, v = _attend(model, _mask(model.near), x)
-        a /= total[..., None]
-        logits = np.minimum(h @ model.out + model.bias, LIMIT)
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], -1) - 1, -1)
-        p *= counted[..., None] / np.float32(max(1, counted.sum()))
-        flat = p.reshape(-1, CLASSES)
-        dh = p @ model.out.T
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        parts = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q),
-                                np.matmul(a.transpose(0, 2, 1), dh), dh], -1).reshape(-1, 4 * WIDTH)
-        near = np.bincount(distance[causal], ds.sum(0).ravel()[causal], WINDOW)
+        n = inputs[take][:, None]
+        at = first[take][:, None] + np.minimum(offset, n - 1)
+        counted = offset < n
+        x = rows.take(at)
+        parts, near, out = gradients(model, x, ids.take(at), klass.take(at + 1), counted)
+        share = np.float32(SCALE / counted.sum())
         by_row = np.argsort(x.ravel(), kind="stable")
-        used, begin = np.unique(x.ravel()[by_row], return_index=True)
-        gradient = np.add.reduceat(parts[by_row], begin, axis=0)
-        memory["table"][used] += gradient ** 2
-        model.table[used] -= RATE * gradient / np.sqrt(memory["table"][used])
-        for name, g in (("near", near), ("out", h.reshape(-1, WIDTH).T @ flat), ("bias", flat.sum(0))):
-            g = g.astype(np.float32)
+        sorted_rows = x.ravel()[by_row]
+        begin = np.append(0, np.flatnonzero(sorted_rows[1:] != sorted_rows[:-1]) + 1)
+        used = sorted_rows[begin]
+        gradient = np.add.reduceat(parts.take(by_row, 0), begin, axis=0) * share
+        seen = memory["table"][used] + gradient ** 2
+        memory["table"][used] = seen
+        model.table[used] = np.clip(model.table[used] - RATE * gradient / np.sqrt(seen), -BOUND, BOUND)
+        for name, g in (("near", near), ("out", out)):
+            g = g.astype(np.float32) * share
             memory[name] += g ** 2
-            setattr(model, name, getattr(model, name) - RATE * g / np.sqrt(memory[name]))
+            setattr(model, name, np.clip(getattr(model, name) - RATE * g / np.sqrt(memory[name]), -BOUND, BOUND))
+    return memory
 
 
 def encoded(texts, encode) -> tuple[np.ndarray, np.ndarray]:
@@ -219,38 +236,35 @@ def encoded(texts, encode) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array([len(p) - 1 for p in parts], np.int64)
 
 
-def fit(docs: DataFrame, train: str, pairs: DataFrame, files=None, share: float = SAMPLE_SHARE) -> Model:
-    """The model for documents (doc_id, text, ...) of which those where column `train` holds are
-    learned from; `pairs` has the counts of all their pairs of ids."""
-    files = files or vocabulary()
-    spark = docs.sparkSession
-    learned = docs.filter(train)
-    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 << 20
-    picked = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(parts)) < int(share * parts))
-
-    def encode(batches):
-        encoder = Encoder(*files)
-        for table in chunks(batches, "text"):
-            ids, lengths = encoded(table["text"].to_pylist(), encoder)
-            cuts = np.cumsum(lengths + 1)
-            yield pa.record_batch([pa.array([p.tobytes() for p in np.split(ids, cuts[:-1])], pa.binary())],
-                                  names=["ids"])
-
-    n_parts = max(1, int(size * share) // PART_BYTES)
-    sample = stored(picked.select("text").mapInArrow(encode, "ids binary").repartition(n_parts))
+def fit(steps: DataFrame, pairs: DataFrame) -> Model:
+    """The model learned from all training documents that `steps` (see `_steps`) holds; `pairs` has the
+    counts of all their pairs of ids."""
+    spark = steps.sparkSession
     model = _start(pairs)
-    for turn in range(0 if sample.isEmpty() else ROUNDS):
-        model.load(_averaged(sample, spark.sparkContext.broadcast(model), turn))
-    klass = model.klass
-    group, total, kinds = _counted(pairs, lambda before, ids, n: (before * CLASSES + klass[ids], n))
-    model.groups, model.totals = Lookup(group, np.log(DISCOUNT * kinds / total)), Lookup(group, total)
+    cells, total, kinds = _counted(pairs, lambda before, ids, n: (before * CLASSES + model.klass[ids], n))
+    model.totals, model.left = _by_class(cells, total), _by_class(cells, np.log(DISCOUNT * kinds / total))
+    model.prior = _prior(model.totals)
+    learned = steps.filter("shard = -1").select("ids", "tokens")
+    for turn in range(ROUNDS if len(cells) else 0):
+        model.load(_averaged(learned, spark.sparkContext.broadcast(model), turn))
     return model
 
 
-def _layout(table: pa.Table):
-    docs = [np.frombuffer(b, np.int32) for b in table["ids"].to_pylist()]
-    return np.concatenate(docs), np.array([len(d) - 1 for d in docs], np.int64)
+def _by_class(cells, values) -> np.ndarray:
+    """The values as a table of ids before and classes; zero where the two never follow each other."""
+    out = np.zeros(N_IDS * CLASSES)
+    out[cells] = values
+    return out.reshape(N_IDS, CLASSES)
+
+
+def _prior(count: np.ndarray) -> np.ndarray:
+    """Per id before, the log probability of each class by absolute discounting, from the counts of
+    (id before, class); an id that nothing followed has the classes' own shares."""
+    own = count.sum(0) + 1
+    own /= own.sum()
+    total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+    share = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * own) / np.maximum(total, 1)
+    return np.log(np.where(total > 0, share, own)).astype(np.float32)
 
 
 def pair_keys(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,24 +307,23 @@ def _within(n, total, left):
     return np.log((n - DISCOUNT) / total + np.exp(left))
 
 
-def _given_before(keys, n, klass, inside) -> tuple[Lookup, Lookup]:
-    """The lookups of ids given the id before."""
+def _given_before(keys, n, klass, inside) -> tuple[Lookup, np.ndarray]:
+    """(lookup of ids given the id before, what is left for each class alone)."""
     ids = keys % N_IDS
     group, number = np.unique(keys // N_IDS * CLASSES + klass[ids], return_inverse=True)
     total, kinds = np.bincount(number, n, len(group)), np.bincount(number, minlength=len(group))
     left = np.log(DISCOUNT * kinds / total)
-    return Lookup(keys, _within(n, total[number], left[number] + inside[ids])), Lookup(group, left)
+    return Lookup(keys, _within(n, total[number], left[number] + inside[ids])), _by_class(group, left)
 
 
 def given_before(model: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Log probability within its class of each pair's id, seen n times in training text."""
     keys = keys.astype(np.int64)
     ids = keys % N_IDS
-    group = keys // N_IDS * CLASSES + model.klass[ids]
-    left, seen = model.groups(group)
-    value = np.where(seen, left, 0.0) + model.inside[ids]
+    cell = keys // N_IDS, model.klass[ids]
+    value = model.left[cell] + model.inside[ids]
     here = np.flatnonzero(n)
-    value[here] = _within(n[here], model.totals(group[here])[0], value[here])
+    value[here] = _within(n[here], model.totals[cell][here], value[here])
     return value
 
 
@@ -329,7 +342,10 @@ def _start(pairs: DataFrame) -> Model:
                                 before[right] * 2 * NEIGHBOURS + NEIGHBOURS + second[right]]),
                 np.concatenate([n[left], n[right]]))
 
-    context = _filled(*_counted(pairs, neighbours)[:2], N_IDS * 2 * NEIGHBOURS).reshape(N_IDS, -1).astype(np.float64)
+    cells, n, _ = _counted(pairs, neighbours)
+    context = np.zeros(N_IDS * 2 * NEIGHBOURS, np.float32)
+    context[cells] = n
+    context = context.reshape(N_IDS, -1)
     known = np.flatnonzero(context.sum(1) > 0)
     klass = np.full(N_IDS, CLASSES - 1, np.int64)
     if len(known):
@@ -341,12 +357,11 @@ def _start(pairs: DataFrame) -> Model:
     row = OWN_ROWS + klass
     row[top[:OWN_ROWS]] = np.arange(min(OWN_ROWS, N_IDS))
     row[BOUNDARY] = 0
-    table = rng.normal(0, 0.1, (OWN_ROWS + CLASSES, 4 * WIDTH)).astype(np.float32)
+    table = rng.normal(0, 0.1, (OWN_ROWS + CLASSES, 3 * WIDTH)).astype(np.float32)
     none = Lookup(np.zeros(0, np.int64), np.zeros(0))
-    return Model(row, klass, inside, none, none, table, np.zeros(WINDOW, np.float32),
-                 rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32),
-                 np.log((total + 1) / (total + 1).sum()).astype(np.float32) if total.sum() else
-                 np.log(np.maximum(size, 1e-9) / N_IDS).astype(np.float32))
+    empty = np.zeros((N_IDS, CLASSES))
+    return Model(row, klass, inside, _prior(empty), none, empty, table,
+                 np.zeros(WINDOW, np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32))
 
 
 def _clusters(points, weight, k, rng, steps: int = 12) -> np.ndarray:
@@ -361,31 +376,45 @@ def _clusters(points, weight, k, rng, steps: int = 12) -> np.ndarray:
     return near
 
 
-def _averaged(sample: DataFrame, held, turn: int, block: int = 8192) -> np.ndarray:
-    """Parameters after a pass of each part over its own documents, averaged by the ids read."""
+def _third(ids, tokens, turn: int):
+    """(ids, lengths) of the training documents of a step whose turn it is."""
+    _, _, train = _spread(ids, np.int64, np.bool_, np.bool_)
+    lengths, _, tokens = _spread(tokens, np.int64, np.int64, np.uint16)
+    train = train & (np.arange(len(train)) % ROUNDS == turn)
+    return tokens[np.repeat(train, lengths + 1)], lengths[train]
+
+
+def _averaged(learned: DataFrame, held, turn: int, block: int = 8192) -> np.ndarray:
+    """Parameters after a pass of each part of the stored table over its share of the turn's documents,
+    averaged by the ids read."""
     def train(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        model, read = None, 0
+        for batch in batches:
+            for row_ids, row_tokens in zip(batch["ids"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+                ids, lengths = _third(row_ids, row_tokens, turn)
+                if not len(lengths):
+                    continue
+                model = model or replace(held.value)
+                memory = train_pass(model, ids.astype(np.int32), lengths, turn, memory if read else None)
+                read += len(ids)
+        if model is None:
             return
-        ids, lengths = _layout(pa.Table.from_batches(got))
-        start = held.value
-        model = Model(start.row, start.klass, start.inside, start.pairs, start.groups, start.table.copy(), start.near.copy(),
-                      start.out.copy(), start.bias.copy())
-        train_pass(model, ids, lengths, turn)
         flat = model.parameters()
         cuts = range(0, len(flat), block)
         yield pa.record_batch([
-            pa.array(np.arange(len(cuts)), pa.int32()), pa.array([float(len(ids))] * len(cuts)),
-            pa.array([flat[c:c + block].astype(np.float64).tobytes() for c in cuts], pa.binary())],
+            pa.array(np.arange(len(cuts)), pa.int32()), pa.array([float(read)] * len(cuts)),
+            pa.array([(flat[c:c + block].astype(np.float64) * read).tobytes() for c in cuts], pa.binary())],
             names=["block", "weight", "part"])
 
     def mean(table: pa.Table) -> pa.Table:
-        weight = table["weight"].to_numpy()
-        total = sum(w * np.frombuffer(p, np.float64) for w, p in zip(weight, table["part"].to_pylist(), strict=True))
-        return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(p, np.float64) for p in table["part"].to_pylist())
+        return pa.table({"block": table["block"].slice(0, 1),
+                         "part": pa.array([(total / table["weight"].to_numpy().sum()).tobytes()], pa.binary())})
 
-    found = (sample.mapInArrow(train, "block int, weight double, part binary")
+    found = (learned.mapInArrow(train, "block int, weight double, part binary")
              .groupBy("block").applyInArrow(mean, "block int, part binary").collect())
+    if not found:
+        return held.value.parameters()
     return np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(found, key=lambda r: r.block)])
 
 
@@ -404,7 +433,7 @@ def _spread(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-STEP = "step long, shard int, words binary, places binary"
+STEP = "step long, shard int, words binary, places binary, ids binary, tokens binary"
 
 
 def _steps(files, n_shards: int):
@@ -455,8 +484,7 @@ def _step(step, table, tokens, lengths, hashes, docs, n_shards):
     cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
     begin = np.cumsum(per_word) - per_word
     ids = table["doc_id"].combine_chunks()
-    out = [[step], [-1], [_squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False))],
-           [_squeeze(lengths, np.bincount(docs, minlength=n_docs).astype(np.int64), tokens)]]
+    out = [[step], [-1], [None], [None]]
     for own in np.split(order, cuts[1:]):
         at = ranges(begin[own], per_word[own])
         rank = np.repeat(np.arange(len(own)), per_word[own])
@@ -474,9 +502,12 @@ def _step(step, table, tokens, lengths, hashes, docs, n_shards):
         own = shard == s
         for column, value in zip(out, (step, int(s), _squeeze(_gaps(pair[own]), learned[own]), None), strict=True):
             column.append(value)
-    return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
-                            pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                           names=["step", "shard", "words", "places"])
+    none = [None] * (len(out[0]) - 1)
+    own = (_squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), train > 0),
+           _squeeze(lengths, np.bincount(docs, minlength=n_docs).astype(np.int64), tokens))
+    return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())] + [
+        pa.array(c, pa.binary()) for c in (out[2], out[3], [own[0], *none], [own[1], *none])],
+        names=["step", "shard", "words", "places", "ids", "tokens"])
 
 
 def _gaps(rising: np.ndarray) -> np.ndarray:
@@ -514,8 +545,9 @@ def _gather(held, n_shards: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right["shard"].to_pylist(), right["counts"].to_pylist(), strict=True))
         places = dict(zip(left["shard"].to_pylist(), left["places"].to_pylist(), strict=True))
-        ids, missing = _spread(left["words"].drop_null()[0].as_py(), np.int64, np.bool_)
-        lengths, n_tokens, tokens = _spread(places.pop(-1), np.int64, np.int64, np.uint16)
+        del places[-1]
+        ids, missing, _ = _spread(left["ids"].drop_null()[0].as_py(), np.int64, np.bool_, np.bool_)
+        lengths, n_tokens, tokens = _spread(left["tokens"].drop_null()[0].as_py(), np.int64, np.int64, np.uint16)
         base, known = np.zeros(len(ids)), np.zeros(len(ids))
         for shard, blob in sorted(places.items()):
             rank, doc, times = _spread(blob, np.uint32, np.uint32, np.uint32)
@@ -536,11 +568,12 @@ def _gather(held, n_shards: int):
     return run
 
 
-def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", files=None,
-                    share: float = SAMPLE_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", files=None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; the column
-    `train` says which are learned from. Scores are base-10 logarithms."""
+    `train` says which are learned from. Scores are base-10 logarithms. A vocabulary has `N_IDS` ids at most."""
     files = files or vocabulary()
+    if Encoder(*files).tokenizer.get_vocab_size() > N_IDS:
+        raise ValueError(f"the vocabulary has more than {N_IDS} ids")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        (F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()).alias("train"))
@@ -553,9 +586,8 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     n, v = own.filter(F.col("shard") < n_shards).agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
     pairs = own.filter(F.col("shard") >= n_shards).select("counts")
-    model = spark.sparkContext.broadcast(fit(rows, "train", pairs, files, share))
-    places = steps.filter(F.col("shard") < n_shards).select(
-        "step", "shard", F.when(F.col("shard") < 0, F.col("words")).alias("words"), "places")
+    model = spark.sparkContext.broadcast(fit(steps, pairs))
+    places = steps.filter(F.col("shard") < n_shards).select("step", "shard", "places", "ids", "tokens")
     found = places.groupBy("step").cogroup(
         answers.filter("step is not null").groupBy("step")).applyInArrow(_gather(model, n_shards), RESULT)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

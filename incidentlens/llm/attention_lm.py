@@ -91,6 +91,22 @@ class Model:
     out: np.ndarray
     totals: np.ndarray | None = None    # per id before and class: how often the two follow each other
 
+    def __getstate__(self) -> dict:
+        """What tasks get: of the tables by class the cells in use."""
+        if self.totals is None:
+            return self.__dict__
+        cells = np.flatnonzero(self.totals)
+        small = {"row": self.row.astype(np.uint16), "klass": self.klass.astype(np.uint8), "cells": cells.astype(np.int32),
+                 "totals": self.totals.ravel()[cells], "left": self.left.ravel()[cells].astype(np.float32)}
+        return {k: v for k, v in self.__dict__.items() if k != "prior"} | small
+
+    def __setstate__(self, state: dict) -> None:
+        cells = state.pop("cells", None)
+        if cells is not None:
+            state |= {n: _by_class(cells, state[n]) for n in ("totals", "left")}
+            state |= {n: state[n].astype(np.int64) for n in ("row", "klass")} | {"prior": _prior(state["totals"])}
+        self.__dict__.update(state)
+
     def parameters(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.table, self.near, self.out)])
 
@@ -236,18 +252,19 @@ def encoded(texts, encode) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array([len(p) - 1 for p in parts], np.int64)
 
 
-def fit(steps: DataFrame, pairs: DataFrame) -> Model:
-    """The model learned from all training documents that `steps` (see `_steps`) holds; `pairs` has the
-    counts of all their pairs of ids."""
+def fit(steps: DataFrame, pairs: DataFrame):
+    """The model learned from all training documents that `steps` (see `_steps`) holds, and what tasks hold
+    of it: the same with the parameters of the start. `pairs` has the counts of all their pairs of ids."""
     spark = steps.sparkSession
     model = _start(pairs)
     cells, total, kinds = _counted(pairs, lambda before, ids, n: (before * CLASSES + model.klass[ids], n))
     model.totals, model.left = _by_class(cells, total), _by_class(cells, np.log(DISCOUNT * kinds / total))
     model.prior = _prior(model.totals)
     learned = steps.filter("shard = -1").select("ids", "tokens")
+    held = spark.sparkContext.broadcast(model)
     for turn in range(ROUNDS if len(cells) else 0):
-        model.load(_averaged(learned, spark.sparkContext.broadcast(model), turn))
-    return model
+        model.load(_averaged(learned, held, model.parameters(), turn))
+    return model, held
 
 
 def _by_class(cells, values) -> np.ndarray:
@@ -384,9 +401,18 @@ def _third(ids, tokens, turn: int):
     return tokens[np.repeat(train, lengths + 1)], lengths[train]
 
 
-def _averaged(learned: DataFrame, held, turn: int, block: int = 8192) -> np.ndarray:
-    """Parameters after a pass of each part of the stored table over its share of the turn's documents,
-    averaged by the ids read."""
+def _with(held, parameters) -> Model:
+    """The model that a task holds, with the parameters sent after it."""
+    model = replace(held.value)
+    model.load(parameters.value)
+    return model
+
+
+def _averaged(learned: DataFrame, held, start: np.ndarray, turn: int, block: int = 8192) -> np.ndarray:
+    """Parameters after a pass of each part of the stored table over its share of the turn's documents, from
+    the given start, averaged by the ids read."""
+    sent = learned.sparkSession.sparkContext.broadcast(start.astype(np.float32))
+
     def train(batches):
         model, read = None, 0
         for batch in batches:
@@ -394,7 +420,7 @@ def _averaged(learned: DataFrame, held, turn: int, block: int = 8192) -> np.ndar
                 ids, lengths = _third(row_ids, row_tokens, turn)
                 if not len(lengths):
                     continue
-                model = model or replace(held.value)
+                model = model or _with(held, sent)
                 memory = train_pass(model, ids.astype(np.int32), lengths, turn, memory if read else None)
                 read += len(ids)
         if model is None:
@@ -414,7 +440,7 @@ def _averaged(learned: DataFrame, held, turn: int, block: int = 8192) -> np.ndar
     found = (learned.mapInArrow(train, "block int, weight double, part binary")
              .groupBy("block").applyInArrow(mean, "block int, part binary").collect())
     if not found:
-        return held.value.parameters()
+        return start
     return np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(found, key=lambda r: r.block)])
 
 
@@ -540,7 +566,7 @@ def _answers(table: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def _gather(held, n_shards: int):
+def _gather(held, parameters, n_shards: int):
     """One step: its documents' figures from the answers of all shards."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right["shard"].to_pylist(), right["counts"].to_pylist(), strict=True))
@@ -560,8 +586,9 @@ def _gather(held, n_shards: int):
         for s in np.unique(shard):
             n[shard == s] = _spread(answers[s], np.int64)[0]
         given = np.zeros(len(tokens))
-        given[at] = given_before(held.value, pair, n)[np.searchsorted(pair, keys)]
-        score = score_ids(held.value, tokens.astype(np.int32), lengths, given) / np.log(10)
+        model = _with(held, parameters)
+        given[at] = given_before(model, pair, n)[np.searchsorted(pair, keys)]
+        score = score_ids(model, tokens.astype(np.int32), lengths, given) / np.log(10)
         return pa.table({"doc_id": pa.array(ids, mask=missing), "n_tokens": pa.array(n_tokens),
                          "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base),
                          "score": pa.array(score)})
@@ -586,10 +613,11 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     n, v = own.filter(F.col("shard") < n_shards).agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
     pairs = own.filter(F.col("shard") >= n_shards).select("counts")
-    model = spark.sparkContext.broadcast(fit(steps, pairs))
+    model, held = fit(steps, pairs)
+    parameters = spark.sparkContext.broadcast(model.parameters().astype(np.float32))
     places = steps.filter(F.col("shard") < n_shards).select("step", "shard", "places", "ids", "tokens")
     found = places.groupBy("step").cogroup(
-        answers.filter("step is not null").groupBy("step")).applyInArrow(_gather(model, n_shards), RESULT)
+        answers.filter("step is not null").groupBy("step")).applyInArrow(_gather(held, parameters, n_shards), RESULT)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
                         "score")

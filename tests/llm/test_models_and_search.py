@@ -1,6 +1,7 @@
 """SimHash components, nearest neighbours, language, quality and LM scoring."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -439,9 +440,9 @@ def test_the_model_beats_counts_on_held_out_documents(corpus, monkeypatch):
     # The same counts without attention: the classes' part of the score, with and without its output.
     parts = [np.array([lm.BOUNDARY, *encode(text), lm.BOUNDARY]) for _, text, _ in held]
     lengths, flat = np.array([len(p) - 1 for p in parts]), np.concatenate(parts)
-    trained = lm.score_ids(models[0], flat, lengths, np.zeros(len(flat))).sum()
-    models[0].out = np.zeros_like(models[0].out)
-    assert trained > lm.score_ids(models[0], flat, lengths, np.zeros(len(flat))).sum()
+    trained = lm.score_ids(models[0][0], flat, lengths, np.zeros(len(flat))).sum()
+    models[0][0].out = np.zeros_like(models[0][0].out)
+    assert trained > lm.score_ids(models[0][0], flat, lengths, np.zeros(len(flat))).sum()
 
 
 def test_scores(corpus):
@@ -490,7 +491,7 @@ def test_every_pair_of_the_training_documents_counts(corpus, monkeypatch):
     cells, counts, kinds = lm._counted(seen[0], lambda before, ids, n: (before * lm.N_IDS + ids, n))
     assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == want and set(kinds) == {1}
     # Scores are those of a model that holds every pair itself.
-    model = models[0]
+    model = models[0][0]
     keys = np.array(sorted(want))
     model.pairs, model.left = lm._given_before(keys, np.array([want[k] for k in keys.tolist()]), model.klass, model.inside)
     for doc, text in docs:
@@ -498,6 +499,16 @@ def test_every_pair_of_the_training_documents_counts(corpus, monkeypatch):
         assert math.isclose(got[doc] * math.log(10), plain_score(model, ids), rel_tol=1e-4, abs_tol=1e-2)
 
 
+def test_tasks_get_the_same_model(corpus):
+    rng, model = np.random.default_rng(3), small_model(3)
+    model.totals = np.where(rng.random(model.left.shape) < 0.01, 7.0, 0.0)
+    model.left = np.where(model.totals > 0, -1.5, 0.0)
+    model.prior = lm._prior(model.totals)
+    copy = pickle.loads(pickle.dumps(model))
+    for name in ("row", "klass", "inside", "prior", "left", "totals", "table", "near", "out"):
+        assert np.array_equal(getattr(copy, name), getattr(model, name)), name
+
+
 def test_a_lookup_loses_no_key():
     rng = np.random.default_rng(8)
     keys = rng.permutation(np.unique(rng.integers(0, lm.N_IDS ** 2, 200_000)))

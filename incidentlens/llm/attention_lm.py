@@ -139,7 +139,7 @@ def windows_of(lengths: np.ndarray, stride: int = STRIDE):
 def _attend(model: Model, mask, x):
     """Hidden states of windows of input rows, and what the backward pass needs."""
     parts = model.table.take(x.ravel(), 0).reshape(*x.shape, 3 * WIDTH)
-    q, k, v = (np.ascontiguousarray(parts[..., i * WIDTH:(i + 1) * WIDTH]) for i in range(3))
+    q, k, v = (parts[..., i * WIDTH:(i + 1) * WIDTH] for i in range(3))
     a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     a += mask
     np.exp(a, out=a)
@@ -581,13 +581,13 @@ def _gather(held, parameters, n_shards: int):
             base += np.bincount(doc, times * np.log10(count + 1.0), len(ids))
             known += np.bincount(doc, times * (count > 0), len(ids))
         at, keys = pair_keys(tokens, lengths)
-        pair = np.unique(keys)
+        pair, number = np.unique(keys, return_inverse=True)
         shard, n = pair_shards(pair, n_shards), np.zeros(len(pair), np.int64)
         for s in np.unique(shard):
             n[shard == s] = _spread(answers[s], np.int64)[0]
         given = np.zeros(len(tokens))
         model = _with(held, parameters)
-        given[at] = given_before(model, pair, n)[np.searchsorted(pair, keys)]
+        given[at] = given_before(model, pair, n)[number]
         score = score_ids(model, tokens.astype(np.int32), lengths, given) / np.log(10)
         return pa.table({"doc_id": pa.array(ids, mask=missing), "n_tokens": pa.array(n_tokens),
                          "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base),

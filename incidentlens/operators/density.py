@@ -29,6 +29,8 @@ from .skew import is_small, salted_join
 UNDERFLOW = 39.0
 #: exp(-DIGITS) is below the last digit of a double.
 DIGITS = 40.0
+#: Nodes in all cells' lists up to which the lists are broadcast.
+MAX_LISTED = 200_000
 
 
 @dataclass(frozen=True)
@@ -140,9 +142,11 @@ def _hits(spots: DataFrame, by, axes, kernel: Kernel) -> DataFrame:
         F.col("near") <= _reach(F.col("nearest"), F.col("total"), kernel.bandwidth) * (1 + 1e-9))
     # A cell's nodes are at most the grid's.
     nodes = stored(reached.groupBy(*by, "ci", "cj").agg(F.collect_list(F.struct("i", "j")).alias("nodes")))
+    # A list is as long as the grid at most, so what a broadcast holds follows from the lists' total length.
+    listed = nodes.agg(F.sum(F.size("nodes"))).first()[0] or 0
     keys = [*by, "ci", "cj"]
     placed = _in_cells(spots, axes)
-    joined = (placed.join(F.broadcast(nodes), keys) if is_small(nodes, 2_000)
+    joined = (placed.join(F.broadcast(nodes), keys) if listed <= MAX_LISTED
               else salted_join(placed, nodes, keys, ["plat", "plon"]))
     return joined.withColumn("node", F.explode("nodes")).select(
         *by, "plat", "plon", "n", "node.i", "node.j")
@@ -187,7 +191,8 @@ def density_grid(points: DataFrame, box=None, size: int = 50, kernel: Kernel = K
     The kernel sums are scaled so that the grid adds up to the number of incidents.
     """
     by = list(by)
-    sums = kernel_grid(points, box, size, kernel, by)
+    # Read by totals, classes and result: the kernel is summed once.
+    sums = stored(kernel_grid(points, box, size, kernel, by))
     known = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     cells = size * size
     # One row per group on this side.

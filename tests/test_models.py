@@ -197,6 +197,19 @@ def test_density_by_group_has_every_node(spark):
     assert set(counts.values()) == {100}
 
 
+def test_long_lists_of_nodes_are_not_broadcast(spark, monkeypatch):
+    # Few cells, each with all nodes of the grid: their number says little about their size.
+    _, _, df = blobs(spark)
+    want = {tuple(r) for r in D.density_grid(df, size=10, by=["crime_type"]).select(
+        "crime_type", "i", "j", F.round("density", 9)).collect()}
+    calls = []
+    monkeypatch.setattr(D, "MAX_LISTED", 50)
+    monkeypatch.setattr(D, "salted_join", lambda *a, join=D.salted_join: calls.append(a) or join(*a))
+    got = {tuple(r) for r in D.density_grid(df, size=10, by=["crime_type"]).select(
+        "crime_type", "i", "j", F.round("density", 9)).collect()}
+    assert got == want and len(calls) == 1
+
+
 def plain_lloyd(x, w, centres, rounds=200):
     for _ in range(rounds):
         zone = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)

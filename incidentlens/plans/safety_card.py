@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,12 @@ from ..operators import density as D
 from ..operators import distance_join as J
 from ..operators import scoring, stats, zones
 from ..operators.risk import category_sums
+from ..operators.skew import is_small
+from ..session import stored
 
 BUCKETS = [name for name, _, _ in rules.TIME_BUCKETS]
+#: Values up to which each has a figure of its own on a wide row.
+MOST_VALUES = 200
 LISTED = ["crime_type", *rules.DEMOGRAPHIC_COLUMNS]
 NO_ZONE = ("struct<zone_id:int,profiles:array<struct<attribute:string,dominant_value:string,"
            "concentration:double,value_counts:map<string,bigint>>>,crime_count:bigint>")
@@ -35,13 +40,8 @@ class Models:
     density: DataFrame
 
 
-def nearby_times(locations: DataFrame, incidents: DataFrame,
-                 km: float = rules.INCIDENT_RADIUS_KM, now: str | None = None,
-                 key: str = "loc_id") -> DataFrame:
-    """Incidents around each location: all, by time bucket, of the last 30 days, and by category.
-
-    These are fixed lists, so they are figures of one wide row. Undated incidents have no bucket.
-    """
+def _time_sums(now: str | None) -> dict:
+    """Figures by time bucket, of the last 30 days, and by category."""
     dated = F.col("occurred_at").isNotNull()
     sums = {name: (dated & F.col("hour_of_day").between(a, b)).cast("long")
             for name, a, b in rules.TIME_BUCKETS}
@@ -49,18 +49,62 @@ def nearby_times(locations: DataFrame, incidents: DataFrame,
     if now:
         since = F.lit(now).cast("timestamp") - F.expr("INTERVAL 30 DAYS")
         recent = F.coalesce(F.col("occurred_at") >= since, F.lit(False)).cast("long")
-    return J.counts_within(
-        locations, incidents, km, sums={**sums, "total_recent": recent, **category_sums()},
-        key=key).withColumnRenamed("n", "nearby_crime_count")
+    return {**sums, "total_recent": recent, **category_sums()}
+
+
+def nearby_times(locations: DataFrame, incidents: DataFrame,
+                 km: float = rules.INCIDENT_RADIUS_KM, now: str | None = None,
+                 key: str = "loc_id") -> DataFrame:
+    """Incidents around each location: all, by time bucket, of the last 30 days, and by category.
+
+    These are fixed lists, so they are figures of one wide row. Undated incidents have no bucket.
+    """
+    return J.counts_within(locations, incidents, km, sums=_time_sums(now), key=key
+                           ).withColumnRenamed("n", "nearby_crime_count")
+
+
+def _listed_values(incidents: DataFrame, most: int) -> list | None:
+    """The (attribute, value) pairs that occur, or None if they are more than `most`."""
+    values = stored(stats.facets(incidents, LISTED, []).select("attribute", "value").distinct())
+    if not is_small(values, most):
+        return None
+    return sorted((r["attribute"], r["value"]) for r in values.collect())
+
+
+def _value_sums(values) -> dict:
+    return {f"_v{i}": F.col(a).cast("string").eqNullSafe(F.lit(v)).cast("long") for i, (a, v) in enumerate(values)}
+
+
+def _listed_figures(found: DataFrame, values, key: str) -> DataFrame:
+    """Offenses with counts and commonest attributes, from a figure per value on one wide row."""
+    def items(attribute):
+        all_ = [F.struct((-F.col(f"_v{i}")).alias("o"), F.lit(v).alias("value"))
+                for i, (a, v) in enumerate(values) if a == attribute]
+        none = F.array().cast("array<struct<o:bigint,value:string>>")
+        return F.filter(F.array(*all_), lambda x: x["o"] < 0) if all_ else none
+
+    some = [F.col(f"_v{i}") > 0 for i in range(len(values))]
+    rows = found.filter(reduce(Column.__or__, some, F.lit(False))).select(
+        key, items("crime_type").alias("_types"),
+        *[F.array_min(items(c)).alias(c) for c in rules.DEMOGRAPHIC_COLUMNS])
+    # Offense names are a code list, so the array is short.
+    offenses = F.transform(F.sort_array(F.flatten(F.collect_list("_types"))),
+                           lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("count")))
+    return rows.groupBy(key).agg(offenses.alias("crime_types"), *[
+        F.min(c)["value"].alias(c) for c in rules.DEMOGRAPHIC_COLUMNS])
 
 
 def nearby_values(locations: DataFrame, incidents: DataFrame,
-                  km: float = rules.INCIDENT_RADIUS_KM, key: str = "loc_id") -> DataFrame:
+                  km: float = rules.INCIDENT_RADIUS_KM, key: str = "loc_id", most: int = MOST_VALUES) -> DataFrame:
     """Offenses around each location with counts, and the commonest victim attributes.
 
-    Incidents become (attribute, value) rows that are counted per coordinate before they meet a
-    location, so one radius join serves all attributes.
+    The values that occur are counted first. Up to `most` of them are figures of one wide row, so what is
+    joined does not grow with the number of values; else incidents become (attribute, value) rows that are
+    counted per coordinate before they meet a location. One radius join serves all attributes.
     """
+    values = _listed_values(incidents, most)
+    if values is not None:
+        return _listed_figures(J.counts_within(locations, incidents, km, sums=_value_sums(values), key=key), values, key)
     long = stats.facets(incidents, LISTED, ["latitude", "longitude"])
     found = J.counts_within(locations, long, km, ["attribute", "value"], key=key)
     is_ = lambda a: F.col("attribute") == a
@@ -85,9 +129,19 @@ def listed_categories() -> Column:
 def nearby_summary(locations: DataFrame, incidents: DataFrame,
                    km: float = rules.INCIDENT_RADIUS_KM, now: str | None = None,
                    key: str = "loc_id") -> DataFrame:
-    """Every location with the summary of the incidents around it; zeros where there are none."""
-    times = nearby_times(locations, incidents, km, now, key)
-    values = nearby_values(locations, incidents, km, key)
+    """Every location with the summary of the incidents around it; zeros where there are none.
+
+    While the values are few (checked), one pass counts times, categories and values.
+    """
+    listed = _listed_values(incidents, MOST_VALUES)
+    if listed is None:
+        times = nearby_times(locations, incidents, km, now, key)
+        values = nearby_values(locations, incidents, km, key, 0)
+    else:
+        sums = _time_sums(now)
+        found = stored(J.counts_within(locations, incidents, km, sums={**sums, **_value_sums(listed)}, key=key))
+        times = found.select(key, F.col("n").alias("nearby_crime_count"), *sums)
+        values = _listed_figures(found, listed, key)
     counts = ["nearby_crime_count", "total_recent", *BUCKETS, *rules.CATEGORIES]
     empty = F.array().cast("array<struct<value:string,count:bigint>>")
     return (locations.join(times, key, "left").join(values, key, "left").na.fill(0, counts)

@@ -243,7 +243,8 @@ def g15(spark, d):
 @query("j1_distance_join", sql("loc am", f"""
 SELECT loc_id, name, round({AM_DIST}, 6) AS distance FROM loc JOIN am ON {AM_DIST} <= 2"""))
 def j1(spark, d):
-    return J.within_distance(fx.locations(spark, d), fx.amenities(spark, d), 2.0).select(
+    home = fx.locations(spark, d).select("loc_id", "lat", "lon")
+    return J.within_distance(home, fx.amenities(spark, d), 2.0).select(
         "loc_id", "name", F.round("distance", 6).alias("distance"))
 
 

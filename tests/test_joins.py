@@ -4,6 +4,7 @@ from brute import haversine
 from pyspark.sql import functions as F
 
 from incidentlens.operators import distance_join as J
+from incidentlens.operators import places
 from incidentlens.operators.ranking import global_rank, rank_within, sample_rows
 from incidentlens.operators.skew import salted_join
 
@@ -34,6 +35,58 @@ def test_within_distance_equals_brute_force(spark, lat, small_rows):
     assert got == set(zip(*np.nonzero(d <= 2.0)))
 
 
+@pytest.mark.parametrize("lat", [40.7, 0.0, -60.0, 78.0])
+@pytest.mark.parametrize("in_place, short_points", [(False, 1000), (True, 1000), (False, 0), (True, 0)])
+def test_many_locations_with_short_or_long_points(spark, lat, in_place, short_points):
+    loc, pts, locations, points = frames(spark, lat=lat)
+    found = J.within_distance(locations, points, 2.0, small_rows=0, in_place=in_place, short_points=short_points)
+    got = sorted((r.loc_id, r.pid) for r in found.collect())
+    d = haversine(loc[:, None, 0], loc[:, None, 1], pts[None, :, 0], pts[None, :, 1])
+    assert got == sorted(zip(*np.nonzero(d <= 2.0)))
+
+
+def test_locations_of_one_coordinate_are_lists_of_bounded_length(spark):
+    df = spark.createDataFrame([(i % 4, 1.0, 2.0) for i in range(25)] + [(9, 3.0, None)], "k INT, a DOUBLE, b DOUBLE")
+    lists = [r["_rows"] for r in J.together(df, "a", "b", 10).collect()]
+    assert max(map(len, lists)) <= 10 and sorted(x.k for rows in lists for x in rows) == sorted(i % 4 for i in range(25))
+
+
+@pytest.mark.parametrize("per_list, per_block", [(50, 500), (3, 500), (50, 2), (2, 2)])
+def test_places_near_come_in_order_for_every_incident(spark, monkeypatch, per_list, per_block):
+    monkeypatch.setattr(places, "PER_LIST", per_list)
+    monkeypatch.setattr(places, "PER_BLOCK", per_block)
+    loc, pts, locations, points = frames(spark)
+    incidents = locations.withColumnsRenamed({"loc_id": "incident_id", "lat": "latitude", "lon": "longitude"})
+    d = haversine(loc[:, None, 0], loc[:, None, 1], pts[None, :, 0], pts[None, :, 1])
+    for ordered in (True, False):
+        got = places.places_near(incidents, points, 2.0, ordered=ordered).collect()
+        assert sorted((r.incident_id, r.pid) for r in got) == sorted(zip(*np.nonzero(d <= 2.0)))
+        if ordered:
+            order = [(r.crime_lat, r.crime_lon, r.distance_meters) for r in got]
+            assert order == sorted(order)
+
+
+def test_ranks_of_short_groups_need_no_further_exchange(spark):
+    rows = [(i % 5, i * 7 % 50) for i in range(50)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "g INT, v INT").repartitionByRange(3, "g")
+    ranked = rank_within(df, ["g"], ["v"], "pos", short_groups=True).orderBy("g", "pos")
+    got = [tuple(r) for r in ranked.select("g", "pos", "v").collect()]
+    want = [(g, k + 1, v) for g in range(5) for k, v in enumerate(sorted(v for h, v in rows if h == g))]
+    assert got == want
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1, plan
+
+
+def test_nearest_centre_per_coordinate_keeps_rows(spark):
+    centres = spark.createDataFrame([(1, 40.0, -74.0), (2, 41.0, -74.0)], "zone INT, center_lat DOUBLE, center_lon DOUBLE")
+    rows = [(1, 40.1, -74.0), (1, 40.1, -74.0), (2, 40.9, -74.0), (3, 40.5, -74.0), (4, None, -74.0), (None, 40.9, -74.0)]
+    df = spark.createDataFrame(rows, "loc_id INT, lat DOUBLE, lon DOUBLE")
+    found = J.nearest_centre(df, centres)
+    got = sorted(((r.loc_id, r.zone) for r in found.collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 2), (3, found.filter("loc_id = 3").first().zone), (4, None), (None, 2)], key=str)
+    assert "Exchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("lat, cells", [(40.7, 2), (0.0, 4), (-60.0, 7)])
 def test_counts_within_equal_brute_force(spark, lat, cells):
     loc, pts, locations, points = frames(spark, lat=lat)

@@ -147,9 +147,10 @@ SELECT incident_id, name, type, am.latitude AS latitude, am.longitude AS longitu
   {half_up(_I_DIST + ' * 1000', 1)} AS distance_meters
 FROM inc JOIN am ON {_near_places(3)}"""))
 def g10(spark, d):
-    return places.places_near(fx.incidents(spark, d), fx.amenities(spark, d), 3.0).select(
+    amenities = fx.amenities(spark, d).drop("borough")
+    return places.places_near(fx.incidents(spark, d), amenities, 3.0, ordered=True).select(
         "incident_id", "name", "type", "latitude", "longitude", "crime_lat", "crime_lon",
-        "distance_meters").orderBy("crime_lat", "crime_lon", "distance_meters")
+        "distance_meters")
 
 
 def _g11_sql(km):

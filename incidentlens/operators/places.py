@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,9 +10,13 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions.geo import haversine_km
 from . import stats
-from .distance_join import counts_within, nearest_k, within_box, within_distance
+from .distance_join import counts_within, nearest_k, together, within_box, within_distance
+from ..session import stored
 from .skew import salted_join
 
+#: Keys of one coordinate in a list, and places in a block.
+PER_LIST, PER_BLOCK = 50_000, 500
+
 
 def gazetteer_index(gazetteer: DataFrame) -> DataFrame:
     """One entry per place name: its coordinates and city code."""
@@ -51,16 +55,33 @@ def coordinates_of(texts: DataFrame, gazetteer: DataFrame, text: str = "message"
 
 
 def places_near(incidents: DataFrame, places: DataFrame, km: float,
-                key: str = "incident_id") -> DataFrame:
+                key: str = "incident_id", ordered: bool = False) -> DataFrame:
     """(incident, place) pairs with the distance in metres to one decimal, both positions kept.
 
-    Places are the shorter table, so they are the side that is copied to cells.
+    Places are the shorter table, so they are the side that is copied to cells. Incidents at one coordinate
+    are searched once; the lists of their keys and of the places near them meet last. With `ordered`, rows
+    come by crime_lat, crime_lon and distance: lists are what is sorted, and are unrolled in place.
     """
-    where = incidents.select(key, F.col("latitude").alias("crime_lat"),
-                             F.col("longitude").alias("crime_lon"))
-    return within_distance(places, where, km, "latitude", "longitude", "crime_lat",
-                           "crime_lon").withColumn(
+    at = ["crime_lat", "crime_lon"]
+    where = incidents.select(key, F.col("latitude").alias("crime_lat"), F.col("longitude").alias("crime_lon"))
+    lists = together(where, *at, PER_LIST).select(
+        F.col("_lat").alias("crime_lat"), F.col("_lon").alias("crime_lon"), F.col(f"_rows.{key}").alias("_keys"))
+    lists = stored(lists)
+    pairs = within_distance(places, lists.select(*at).distinct(), km, "latitude", "longitude", *at).withColumn(
         "distance_meters", C.round_half_up(F.col("distance") * 1000, 1)).drop("distance")
+    names = [c for c in pairs.columns if c not in at]
+    unrolled = [F.explode("_keys").alias(key), *at, *names]
+    if not ordered:
+        return pairs.join(lists, at).select(*unrolled)
+    # Where the keys of a coordinate are several lists, its places stand alone, so that the lists can alternate.
+    parts = lists.groupBy(*at).agg(F.count("*").alias("_parts"))
+    nearer = Window.partitionBy(*at).orderBy("distance_meters")
+    block = F.floor((F.row_number().over(nearer) - 1) / F.when(F.col("_parts") > 1, 1).otherwise(PER_BLOCK))
+    first = F.struct("distance_meters", *[c for c in names if c != "distance_meters"])
+    blocks = pairs.join(parts, at).withColumn("_block", block).groupBy(*at, "_block").agg(
+        F.sort_array(F.collect_list(first)).alias("_places"))  # PER_BLOCK items at most
+    rows = blocks.join(lists, at).orderBy(*at, F.get("_places", F.lit(0))["distance_meters"], "_block")
+    return rows.select(*at, F.inline("_places"), "_keys").select(*unrolled)
 
 
 def nearest_places_per_type(incidents: DataFrame, places: DataFrame,

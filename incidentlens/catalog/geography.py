@@ -34,11 +34,18 @@ FROM (SELECT loc_id, {haversine('loc.lat', 'loc.lon', 'inc.latitude', 'inc.longi
   FROM loc JOIN inc ON abs(inc.latitude - loc.lat) <= 1 / 111.0::DOUBLE
     AND abs(inc.longitude - loc.lon) <= 0.013) WHERE d <= 1 GROUP BY 1"""))
 def g2(spark, d):
-    """Every (location, incident) pair within 1 km, summed up per location."""
-    pairs = J.within_distance(fx.locations(spark, d), fx.incidents(spark, d), 1.0)
-    return pairs.groupBy("loc_id").agg(
-        F.count("*").alias("nearby"), F.round(F.sum("distance"), 4).alias("total_km"),
-        F.round(F.min("distance"), 6).alias("nearest_km"))
+    """Every (location, incident) pair within 1 km, summed up per location.
+
+    Pairs are made of coordinates, with the number of incidents there; locations get their coordinate's sums.
+    """
+    home = fx.locations(spark, d).select("loc_id", "lat", "lon")
+    spots = fx.incidents(spark, d).groupBy("latitude", "longitude").agg(F.count("*").alias("n"))
+    pairs = J.within_distance(home.select("lat", "lon").distinct(), spots, 1.0)
+    found = pairs.groupBy("lat", "lon").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("distance")).alias("km"), F.min("distance").alias("nearest"))
+    return home.join(found, ["lat", "lon"]).groupBy("loc_id").agg(
+        F.sum("n").alias("nearby"), F.round(F.sum("km"), 4).alias("total_km"),
+        F.round(F.min("nearest"), 6).alias("nearest_km"))
 
 
 _PATTERN = quoted(rules.COORDINATE_PATTERN)

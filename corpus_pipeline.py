@@ -27,7 +27,7 @@ from incidentlens.llm import (
     quality_rules,
     simhash_trees,
 )
-from incidentlens.session import prepare, scratch_folder
+from incidentlens.session import ROWS_BROADCAST, prepare, scratch_folder
 
 #: Sources hold far more pages than a site does, so a line is boilerplate at a smaller share.
 SOURCE_RATIO = 0.05
@@ -37,7 +37,7 @@ ORACLE_SQL = None
 
 
 def _settings(spark: SparkSession) -> None:
-    prepare(spark)
+    prepare(spark, ROWS_BROADCAST)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 

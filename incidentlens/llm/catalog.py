@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import ROWS_BROADCAST, prepare
 from . import (attention_lm, chunk_recipes, collocations, decontaminate, language_mixture, line_frequency,
                packing, prefix_trie, projection_forest, quality_rules, sharding, simhash_trees, substring_dedup)
 
@@ -30,7 +30,7 @@ def query(name: str, check: str | None = None):
     def add(function):
         @functools.wraps(function)
         def prepared(spark, folder):
-            prepare(spark)
+            prepare(spark, ROWS_BROADCAST)
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
             return function(spark, Tables(spark, folder))
 

@@ -7,6 +7,7 @@ from incidentlens.operators import distance_join as J
 from incidentlens.operators import places
 from incidentlens.operators.ranking import global_rank, rank_within, sample_rows
 from incidentlens.operators.skew import salted_join
+from incidentlens.session import prepare, stored
 
 
 def frames(spark, seed=3, n=40, m=300, lat=40.7, lon=-74.0, spread=0.05):
@@ -243,3 +244,14 @@ def test_sample_is_repeatable(spark):
     two = [r.id for r in sample_rows(df.repartition(5), 50, "key").collect()]
     other = [r.id for r in sample_rows(df, 50, "key", seed=7).collect()]
     assert one == two and len(set(one)) == 50 and one != other
+
+
+def test_long_tables_in_short_files_are_not_broadcast(spark):
+    """A list of cells of a few megabytes on disk, and many times that as a broadcast on the driver."""
+    prepare(spark)
+    cells = stored(spark.range(700_000).select(F.col("id").alias("_row"), F.lit(1).alias("_col"), *[
+        F.lit(float(i)).alias(f"x{i}") for i in range(4)]))
+    joined = salted_join(cells, cells.select("_row", "_col", F.col("x0").alias("y")), ["_row", "_col"])
+    counted = joined.agg(F.count("*"), F.sum("x1"), F.sum("y"))
+    assert counted.collect()[0][0] == 700_000
+    assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import stats
 
+#: Training rows that one task of a forest takes.
+ROWS_PER_TASK = 100_000
+
 
 def split_by_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42):
     """Train and test rows by a hash of the key: the same split on every run and cluster."""
@@ -23,12 +26,23 @@ def only_top(df: DataFrame, value: str, k: int) -> DataFrame:
     return df.join(F.broadcast(stats.top_overall(df, value, k)), value, "left_semi")
 
 
+def dealt(rows: DataFrame, order, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows in equal parts, sorted within each; as they are, if one task can take them all.
+
+    A forest keeps the parts its rows come in through all passes, and files may come as a few large ones.
+    """
+    parts = -(-rows.count() // rows_per_task)
+    return rows if parts <= 1 else rows.repartition(parts).sortWithinPartitions(*order)
+
+
 def fit_offense_model(incidents: DataFrame, features=("latitude", "longitude"),
                       label: str = "crime_type", top: int = 5, key: str = "incident_id",
                       trees: int = 100, depth: int = 10, seed: int = 42):
     """(model, test predictions) of a random forest for the commonest offenses."""
     rows = only_top(incidents.na.drop(subset=[*features, label]), label, top)
     train, test = split_by_hash(rows, key, seed=seed)
+    used = [key, *features, label]
+    train = dealt(train.select(*used), used)
     stages = [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc",
                       handleInvalid="skip"),

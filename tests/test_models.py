@@ -296,6 +296,16 @@ def test_split_is_by_key(spark):
     assert train.join(test, "key").count() == 0
 
 
+def test_training_rows_of_one_part_are_dealt_evenly(spark):
+    """A file of one row group is one part; a forest would train on it in one task."""
+    df = spark.range(0, 1000, 1, 1).select((F.col("id") % 300).cast("string").alias("key"), F.col("id").alias("x"))
+    out = classify.dealt(df, ["key", "x"], 100)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sizes == [100] * 10
+    assert classify.dealt(df, ["key", "x"], 1000) is df
+
+
 def test_chi_square(spark):
     df = spark.createDataFrame([(10, 20, 30, 5), (1, 0, 3, 0)], "a INT, b INT, c INT, d INT")
     chi = stats.yates_chi_square(*[F.col(c) for c in "abcd"])

@@ -60,6 +60,20 @@ def test_substring_dedup_of_nothing(corpus):
     assert substring_dedup.remove_repeats(corpus.createDataFrame([], "doc_id BIGINT, text STRING")).collect() == []
 
 
+def test_substring_dedup_joins_texts_alike_at_every_size(corpus, monkeypatch):
+    plans, held = [], substring_dedup.stored
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df)
+
+    monkeypatch.setattr(substring_dedup, "stored", spy)
+    docs = corpus.createDataFrame(repeating_rows(3), "doc_id BIGINT, text STRING")
+    plans.append(substring_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[doc#\d+L?, mark#", line)]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
 def bench_words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

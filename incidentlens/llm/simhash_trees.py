@@ -341,10 +341,11 @@ def _linked(found: DataFrame, key: str, reach: int, shard_rows: int = SHARD_ROWS
     those that have links; stored tables."""
     distinct = stored(found.groupBy("fp").agg(F.min(key).alias("first")))
     edges = stored(fingerprint_links(distinct, reach, shard_rows))
-    nodes = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    n_nodes = 2 * edges.count()
+    nodes = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n_nodes)
     reached = connected_components(nodes, edges).join(distinct.withColumnRenamed("fp", "node"), "node")
     smallest = reached.groupBy("root").agg(F.min("first").alias("least"))
-    linked = stored(reached.join(smallest, "root").select(F.col("node").alias("fp"), "least"))
+    linked = stored(reached.join(smallest, "root").select(F.col("node").alias("fp"), "least"), n_nodes)
     discard(edges, nodes)
     return distinct, linked
 

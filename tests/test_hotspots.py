@@ -4,6 +4,7 @@ from brute import dbscan, haversine
 from pyspark.sql import functions as F
 
 from incidentlens.functions import rules
+from incidentlens.operators import components
 from incidentlens.operators import hotspots as H
 from incidentlens.operators.components import connected_components, settle
 
@@ -120,3 +121,27 @@ def test_components_of_a_long_chain_settle_in_few_rounds(spark):
     out, rounds = settle(nodes, chain)
     assert rounds <= 20
     assert {r.root: r["count"] for r in out.groupBy("root").count().collect()} == {0: n, n: 1}
+
+
+def test_short_tables_of_components_are_one_file_each(spark, monkeypatch):
+    files, held = [], components.stored
+
+    def spy(df, *rows):
+        table = held(df, *rows)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "stored", spy)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        out, _ = settle(spark.range(61).select(F.col("id").alias("node")), chain)
+        assert {r.root for r in out.collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # How many edges there are is known once they are stored.
+    assert files[0] > 1 and set(files[1:]) == {1}

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules
 from ..functions import text as T
-from ..functions.geo import haversine_km
+from ..functions.geo import CellGrid, haversine_km
 from . import stats
-from .distance_join import counts_within, nearest_k, together, within_box, within_distance
+from .distance_join import (CELL, counts_within, nearest_k, together, with_cell, with_search_cells, within_box,
+                            within_distance)
 from ..session import stored
 from .skew import salted_join
 
 #: Keys of one coordinate in a list, and places in a block.
 PER_LIST, PER_BLOCK = 50_000, 500
+#: Pairs in reach of a block's keys, and of those of a task.
+PER_UNROLLED, PER_TASK = 1_000_000, 10_000_000
 
 
 def gazetteer_index(gazetteer: DataFrame) -> DataFrame:
@@ -58,30 +61,55 @@ def places_near(incidents: DataFrame, places: DataFrame, km: float,
                 key: str = "incident_id", ordered: bool = False) -> DataFrame:
     """(incident, place) pairs with the distance in metres to one decimal, both positions kept.
 
-    Places are the shorter table, so they are the side that is copied to cells. Incidents at one coordinate
-    are searched once; the lists of their keys and of the places near them meet last. With `ordered`, rows
-    come by crime_lat, crime_lon and distance: lists are what is sorted, and are unrolled in place.
+    Incidents at one coordinate are searched once; the lists of their keys and of the places near them meet last.
+    With `ordered`, rows come by crime_lat, crime_lon and distance: lists are put in order and unrolled in place.
     """
     at = ["crime_lat", "crime_lon"]
     where = incidents.select(key, F.col("latitude").alias("crime_lat"), F.col("longitude").alias("crime_lon"))
     lists = together(where, *at, PER_LIST).select(
         F.col("_lat").alias("crime_lat"), F.col("_lon").alias("crime_lon"), F.col(f"_rows.{key}").alias("_keys"))
+    if ordered:
+        return _unrolled_in_order(stored(lists.withColumn("_list", F.monotonically_increasing_id())), places, km, key)
     lists = stored(lists)
     pairs = within_distance(places, lists.select(*at).distinct(), km, "latitude", "longitude", *at).withColumn(
         "distance_meters", C.round_half_up(F.col("distance") * 1000, 1)).drop("distance")
     names = [c for c in pairs.columns if c not in at]
-    unrolled = [F.explode("_keys").alias(key), *at, *names]
-    if not ordered:
-        return pairs.join(lists, at).select(*unrolled)
+    return pairs.join(lists, at).select(F.explode("_keys").alias(key), *at, *names)
+
+
+def _unrolled_in_order(lists: DataFrame, places: DataFrame, km: float, key: str) -> DataFrame:
+    """Pairs of the keys in `lists` (crime_lat, crime_lon, _keys, _list), by crime_lat, crime_lon and distance.
+
+    What a coordinate's list will be unrolled to is known from its keys and the places in the cells around it.
+    Coordinates are dealt in order to as many tasks as that takes, in blocks of a limited number of pairs, each for
+    its share of the places by distance. Blocks stay where they are from there on: a short table of places comes to
+    them, and neither pairs nor lists of places are shuffled.
+    """
+    at, spot = ["crime_lat", "crime_lon"], ["crime_lat", "crime_lon", "_block", "_list"]
+    grid = CellGrid(km)
+    cells = with_cell(places, grid).groupBy(*CELL).agg(F.count("*").alias("_n"))
+    spots = lists.groupBy(*at).agg(F.count("*").alias("_lists"))
+    reach = stored(with_search_cells(spots, grid, km, *at).join(cells, CELL).groupBy(*at, "_lists").agg(
+        F.sum("_n").alias("_reach")))
+    sized = lists.join(reach, at).withColumn("_pairs", F.size("_keys") * F.col("_reach"))
+    total = sized.agg(F.sum("_pairs")).first()[0] or 0
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_TASK)
     # Where the keys of a coordinate are several lists, its places stand alone, so that the lists can alternate.
-    parts = lists.groupBy(*at).agg(F.count("*").alias("_parts"))
-    nearer = Window.partitionBy(*at).orderBy("distance_meters")
-    block = F.floor((F.row_number().over(nearer) - 1) / F.when(F.col("_parts") > 1, 1).otherwise(PER_BLOCK))
-    first = F.struct("distance_meters", *[c for c in names if c != "distance_meters"])
-    blocks = pairs.join(parts, at).withColumn("_block", block).groupBy(*at, "_block").agg(
-        F.sort_array(F.collect_list(first)).alias("_places"))  # PER_BLOCK items at most
-    rows = blocks.join(lists, at).orderBy(*at, F.get("_places", F.lit(0))["distance_meters"], "_block")
-    return rows.select(*at, F.inline("_places"), "_keys").select(*unrolled)
+    blocks = F.when(F.col("_lists") > 1, F.col("_reach")).otherwise(F.ceil(F.greatest(
+        F.col("_reach") / PER_BLOCK, F.col("_pairs") / PER_UNROLLED)))
+    sites = sized.select(*at, "_list", "_keys", blocks.alias("_blocks")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).repartitionByRange(tasks, *spot)
+    pairs = within_distance(sites, places, km, *at, "latitude", "longitude", in_place=True, apart=["_keys"]).withColumn(
+        "distance_meters", C.round_half_up(F.col("distance") * 1000, 1))
+    place = F.struct("distance_meters", *places.columns)
+    # The places near one coordinate.
+    near = pairs.groupBy(*spot, "_blocks").agg(
+        F.first("_keys", ignorenulls=True).alias("_keys"),
+        F.sort_array(F.collect_list(F.when(F.col("distance").isNotNull(), place))).alias("_places"))
+    upto = [F.floor(F.size("_places") * (F.col("_block") + k) / F.col("_blocks")).cast("int") for k in (0, 1)]
+    rows = near.select(*spot, "_keys", F.slice("_places", upto[0] + 1, upto[1] - upto[0]).alias("_places")).orderBy(*spot)
+    return rows.select(*at, F.inline("_places"), "_keys").select(
+        F.explode("_keys").alias(key), *at, "distance_meters", *places.columns)
 
 
 def nearest_places_per_type(incidents: DataFrame, places: DataFrame,

@@ -67,6 +67,38 @@ def test_places_near_come_in_order_for_every_incident(spark, monkeypatch, per_li
             assert order == sorted(order)
 
 
+def test_places_near_a_crowded_coordinate_are_unrolled_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(places, "PER_UNROLLED", 5_000, raising=False)
+    monkeypatch.setattr(places, "PER_TASK", 20_000, raising=False)
+    crowd = [(i, 40.7, -74.0) for i in range(900)] + [(1_000 + i, 40.7 + i / 1000, -74.0) for i in range(1, 20)]
+    incidents = spark.createDataFrame([*crowd, (None, 40.7, -74.0), (1, None, -74.0)],
+                                      "incident_id INT, latitude DOUBLE, longitude DOUBLE")
+    near = spark.createDataFrame([(i, 40.7 + i / 1e5, -74.0) for i in range(100)] + [(100, 40.7, None)],
+                                 "pid INT, latitude DOUBLE, longitude DOUBLE")
+    found = places.places_near(incidents, near, 0.5, ordered=True)
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    at_crowd = [r for r in rows if r.crime_lat == 40.7]
+    assert sorted((str(r.incident_id), r.pid) for r in at_crowd) == sorted(
+        (str(i), p) for i in [*range(900), None] for p in range(100))
+    order = [(r.part, r.crime_lat, r.crime_lon, r.distance_meters) for r in rows]
+    assert order == sorted(order)
+    per_part = [sum(r.part == p for r in rows) for p in {r.part for r in rows}]
+    assert max(per_part) <= 40_000 < len(at_crowd)
+    above = found._jdf.queryExecution().executedPlan().toString().split("rangepartitioning")[0]
+    assert above.count("Exchange") == 1
+
+
+def test_a_long_table_of_places_gives_the_same_rows_in_order(spark, monkeypatch):
+    loc, pts, locations, points = frames(spark)
+    incidents = locations.withColumnsRenamed({"loc_id": "incident_id", "lat": "latitude", "lon": "longitude"})
+    monkeypatch.setattr(J, "HELD_POINTS", 0)
+    got = places.places_near(incidents, points, 2.0, ordered=True).collect()
+    d = haversine(loc[:, None, 0], loc[:, None, 1], pts[None, :, 0], pts[None, :, 1])
+    assert sorted((r.incident_id, r.pid) for r in got) == sorted(zip(*np.nonzero(d <= 2.0)))
+    order = [(r.crime_lat, r.crime_lon, r.distance_meters) for r in got]
+    assert order == sorted(order)
+
+
 def test_ranks_of_short_groups_need_no_further_exchange(spark):
     rows = [(i % 5, i * 7 % 50) for i in range(50)] + [(None, 1)]
     df = spark.createDataFrame(rows, "g INT, v INT").repartitionByRange(3, "g")

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules
 from ..functions import text as T
-from ..functions.geo import CellGrid, haversine_km
+from ..functions.geo import haversine_km
 from . import stats
-from .distance_join import (CELL, counts_within, nearest_k, together, with_cell, with_search_cells, within_box,
-                            within_distance)
+from .distance_join import counts_within, in_reach, nearest_k, together, within_box, within_distance
 from ..session import stored
 from .skew import salted_join
 
@@ -86,11 +85,8 @@ def _unrolled_in_order(lists: DataFrame, places: DataFrame, km: float, key: str)
     them, and neither pairs nor lists of places are shuffled.
     """
     at, spot = ["crime_lat", "crime_lon"], ["crime_lat", "crime_lon", "_block", "_list"]
-    grid = CellGrid(km)
-    cells = with_cell(places, grid).groupBy(*CELL).agg(F.count("*").alias("_n"))
     spots = lists.groupBy(*at).agg(F.count("*").alias("_lists"))
-    reach = stored(with_search_cells(spots, grid, km, *at).join(cells, CELL).groupBy(*at, "_lists").agg(
-        F.sum("_n").alias("_reach")))
+    reach = stored(in_reach(spots, places, km, *at).groupBy(*at, "_lists").agg(F.sum("_n").alias("_reach")))
     sized = lists.join(reach, at).withColumn("_pairs", F.size("_keys") * F.col("_reach"))
     total = sized.agg(F.sum("_pairs")).first()[0] or 0
     tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_TASK)

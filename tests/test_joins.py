@@ -110,6 +110,59 @@ def test_ranks_of_short_groups_need_no_further_exchange(spark):
     assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1, plan
 
 
+@pytest.mark.parametrize("kind", ["INT", "INT NOT NULL"])
+def test_ranks_of_short_groups_as_lists_come_in_order_of_groups(spark, kind):
+    from pyspark.sql.types import StructType
+
+    rows = [(i % 5, i * 7 % 10) for i in range(50)] + [(None, 1)] + [(3, None)] * (kind == "INT")
+    df = spark.createDataFrame(rows, StructType.fromDDL(f"g INT, v {kind}")).repartitionByRange(3, "g")
+    ranked = rank_within(df, ["g"], ["v"], "pos", short_groups=True, in_order=True)
+    values = {g: sorted((v for h, v in rows if h == g), key=lambda v: (v is not None, v)) for g in range(5)}
+    assert [tuple(r) for r in ranked.collect()] == [(g, v, k + 1) for g in range(5) for k, v in enumerate(values[g])]
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_long_lists_of_points_come_to_locations_in_place(spark):
+    points = spark.range(120_000).select(F.col("id").alias("pid"), (F.col("id") / 1e5).alias("latitude"),
+                                         F.lit(1.0).alias("longitude"))
+    locations = spark.createDataFrame([(1, 0.5, 1.0), (2, None, 1.0)], "loc_id INT, lat DOUBLE, lon DOUBLE")
+    found = J.within_distance(locations.repartitionByRange(2, "loc_id"), points, 1.0, in_place=True)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pid for r in found.collect()) == [i for i in range(120_000) if haversine(0.5, 1.0, i / 1e5, 1.0) <= 1.0]
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_columns_apart_come_once_for_each_location(spark, held):
+    loc, pts, locations, points = frames(spark)
+    longer = locations.withColumn("long", F.concat(F.lit("l"), "loc_id"))
+    found = J.within_distance(longer, points, 2.0, in_place=True, short_points=held, apart=["long"]).collect()
+    d = haversine(loc[:, None, 0], loc[:, None, 1], pts[None, :, 0], pts[None, :, 1])
+    pairs = [r for r in found if r.distance is not None]
+    assert sorted((r.loc_id, r.pid) for r in pairs) == sorted(zip(*np.nonzero(d <= 2.0)))
+    assert all(r.long is None for r in pairs)
+    assert sorted(r.long for r in found if r.distance is None) == sorted(f"l{i}" for i in range(len(loc)))
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_positions_by_distance_for_keys_that_repeat_and_names_that_are_missing(spark, tmp_path, monkeypatch, held):
+    from incidentlens.catalog import queries
+
+    keys = [*range(40), 7, 7, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey LONG").write.parquet(f"{tmp_path}/customer.parquet")
+    names = [(k, None if k % 17 == 0 else f"n{k % 60}") for k in range(2_000)]
+    spark.createDataFrame(names, "s_suppkey LONG, s_name STRING").write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(J, "HELD_POINTS", held * 10)
+    got = [tuple(r) for r in queries()["w5_sorted_by_distance"](spark, str(tmp_path)).collect()]
+    place = lambda k, a, b: ((4050000 + k * a % 40000) / 1e5, (-7420000 + k * b % 45000) / 1e5)
+    want = []
+    for k in range(40):
+        near = [(haversine(*place(k, 13, 29), *place(s, 3571, 2903)), n) for s, n in names]
+        near = [(np.floor(km * 10_000 + 0.5), n or "") for km, n in near if km <= 5] * keys.count(k)
+        want += [(k, n or None, i + 1) for i, (_, n) in enumerate(sorted(near))]
+    assert got == want
+
+
 def test_nearest_centre_per_coordinate_keeps_rows(spark):
     centres = spark.createDataFrame([(1, 40.0, -74.0), (2, 41.0, -74.0)], "zone INT, center_lat DOUBLE, center_lon DOUBLE")
     rows = [(1, 40.1, -74.0), (1, 40.1, -74.0), (2, 40.9, -74.0), (3, 40.5, -74.0), (4, None, -74.0), (None, 40.9, -74.0)]

@@ -16,8 +16,8 @@ from .skew import salted_join
 
 #: Keys of one coordinate in a list, and places in a block.
 PER_LIST, PER_BLOCK = 50_000, 500
-#: Pairs in reach of a block's keys, and of those of a task.
-PER_UNROLLED, PER_TASK = 1_000_000, 10_000_000
+#: Pairs in reach of a block's keys, and of those of a task, up to a number of tasks.
+PER_UNROLLED, PER_TASK, MOST_TASKS = 1_000_000, 10_000_000, 10_000
 
 
 def gazetteer_index(gazetteer: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ def _unrolled_in_order(lists: DataFrame, places: DataFrame, km: float, key: str)
     reach = stored(in_reach(spots, places, km, *at).groupBy(*at, "_lists").agg(F.sum("_n").alias("_reach")))
     sized = lists.join(reach, at).withColumn("_pairs", F.size("_keys") * F.col("_reach"))
     total = sized.agg(F.sum("_pairs")).first()[0] or 0
-    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_TASK)
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(
+        total // PER_TASK, MOST_TASKS))
     # Where the keys of a coordinate are several lists, its places stand alone, so that the lists can alternate.
     blocks = F.when(F.col("_lists") > 1, F.col("_reach")).otherwise(F.ceil(F.greatest(
         F.col("_reach") / PER_BLOCK, F.col("_pairs") / PER_UNROLLED)))
